@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("panels",)
+GROUPS = ("panels", "stats", "series", "market")
 
 
 def load_all():

@@ -111,21 +111,27 @@ class Query:
     name: str
     build: Callable[[Market], DataFrame]
     sql: str | None
+    digits: int = 6
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return presentable(self.build(Market(spark, sf_dir)))
+        return presentable(self.build(Market(spark, sf_dir)), self.digits)
 
 
 QUERIES: dict[str, Query] = {}
 
 
 def query(
-    name: str, sql: str | None = None, using: str = "", rounded: str = "", texts: str = ""
+    name: str,
+    sql: str | None = None,
+    using: str = "",
+    rounded: str = "",
+    texts: str = "",
+    digits: int = 6,
 ) -> Callable[[Callable[[Market], DataFrame]], Callable[[Market], DataFrame]]:
     """Registers a query.
 
     ``using`` names the oracle inputs of ``sql``; ``rounded`` its double columns
-    (six digits on both sides) and ``texts`` its dates (ISO text on both sides).
+    (``digits`` on both sides) and ``texts`` its dates (ISO text on both sides).
     """
 
     def register(build: Callable[[Market], DataFrame]) -> Callable[[Market], DataFrame]:
@@ -133,23 +139,23 @@ def query(
             raise ValueError(f"query {name} registered twice")
         text = None
         if sql is not None:
-            swaps = [f"round({c}, 6) + 0e0 AS {c}" for c in rounded.split()]
+            swaps = [f"round({c}, {digits}) + 0e0 AS {c}" for c in rounded.split()]
             swaps += [f"CAST({c} AS VARCHAR) AS {c}" for c in texts.split()]
             star = f"* REPLACE ({', '.join(swaps)})" if swaps else "*"
             text = with_inputs(using.split(), f"SELECT {star} FROM (\n{sql}\n) result")
-        QUERIES[name] = Query(name, build, text)
+        QUERIES[name] = Query(name, build, text, digits)
         return build
 
     return register
 
 
-def presentable(df: DataFrame) -> DataFrame:
+def presentable(df: DataFrame, digits: int = 6) -> DataFrame:
     """Comparable output: rounded doubles, wide integers, dates as ISO text."""
     out = []
     for name, kind in df.dtypes:
         c = F.col(f"`{name}`")
         if kind in ("double", "float") or kind.startswith("decimal"):
-            c = F.round(c.cast("double"), 6) + F.lit(0.0)
+            c = F.round(c.cast("double"), digits) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
         elif kind == "date":
