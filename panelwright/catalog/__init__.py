@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("panels", "stats", "series", "market")
+GROUPS = ("panels", "stats", "series", "market", "quality", "econometrics", "forecast")
 
 
 def load_all():

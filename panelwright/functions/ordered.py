@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwright.session import cut_lineage
+
 BUCKETS = 64
 
 
@@ -30,6 +32,8 @@ def prefix_sums(
     least one column (a constant one for a single group).
     """
     keys = list(keys)
+    # Three branches read the frame, so it is written once instead of derived thrice.
+    df = cut_lineage(df)
     edges = df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_edges")
     )
