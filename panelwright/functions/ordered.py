@@ -76,6 +76,28 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def spread_total(value: str | Column, keys: Sequence[str]) -> Column:
-    """Group total repeated on each row of an already aggregated frame."""
-    return F.sum(value).over(Window.partitionBy(*keys))
+def hash_positions(
+    df: DataFrame, keys: Sequence[str], value: Column, tie: str, out: str, buckets: int
+) -> DataFrame:
+    """Position of each row in the order of a 64-bit hash, within its group, from 1.
+
+    The hash is uniform, so equal hash ranges hold about equally many rows: rows
+    are numbered inside a range and ranges are offset by their counts.
+    """
+    low = F.lit(float(2**63))
+    part = F.least(
+        F.floor((F.col("_h").cast("double") + low) / float(2**64) * buckets), F.lit(buckets - 1)
+    )
+    placed = df.withColumn("_h", value).withColumn("_part", part)
+    counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_c"))
+    below = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *keys, "_part", F.coalesce(F.sum("_c").over(below), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(*keys, "_part").orderBy("_h", tie)
+    return (
+        placed.withColumn("_k", F.row_number().over(inside))
+        .join(offsets, [*keys, "_part"])
+        .withColumn(out, F.col("_before") + F.col("_k"))
+        .drop("_h", "_part", "_k", "_before")
+    )

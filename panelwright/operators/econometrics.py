@@ -164,8 +164,11 @@ def granger(
         "_y",
         *[F.coalesce(F.lag("_y", i).over(w), F.lit(0.0)).alias(f"_y{i}") for i in lags],
         *[F.coalesce(F.lag("_x", i).over(w), F.lit(0.0)).alias(f"_x{i}") for i in lags],
-        F.explode(F.array(*[F.lit(i) for i in lags])).alias("lag"),
-    ).where(F.col("_i") > F.col("lag"))
+    )
+    # The lag grid follows the windows: inside the same select it would run first.
+    lagged = lagged.withColumn("lag", F.explode(F.array(*[F.lit(i) for i in lags]))).where(
+        F.col("_i") > F.col("lag")
+    )
     sums = cross_products(lagged, [*keys, "lag"], columns)
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
