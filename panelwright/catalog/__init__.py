@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("panels", "stats", "series", "market", "quality", "econometrics", "forecast", "graph")
+GROUPS = ("panels", "stats", "series", "market", "quality", "econometrics", "forecast", "graph", "regimes", "sources")
 
 
 def load_all():

@@ -458,28 +458,37 @@ def degree_strength(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def eigenvector_centrality(edges: DataFrame, rounds: int = 300, tolerance: float = 1e-9) -> DataFrame:
-    """Leading eigenvector by power iteration on (A + I), which also settles bipartite graphs."""
-    links = cut_lineage(symmetrised(edges).select("src", "dst", "weight"))
+def eigenvector_centrality(
+    edges: DataFrame, tolerance: float = 1e-7, batch: int = 6, max_batches: int = 50
+) -> DataFrame:
+    """Leading eigenvector by power iteration, scaled to length one.
+
+    A loop of unit weight (relative to the mean strength) at every node keeps
+    bipartite graphs from oscillating and leaves the eigenvectors as they are.
+    Rounds run in batches; the length is taken once per batch.
+    """
+    both = symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("weight"))
+    strength = both.groupBy("src").agg(F.sum("weight").alias("_s"))
+    loop = float(strength.agg(F.avg("_s")).first()[0] or 0.0) / 2
+    loops = strength.select("src", F.col("src").alias("dst"), F.lit(loop).alias("weight"))
+    links = cut_lineage(both.unionByName(loops))
     state = cut_lineage(links.select(F.col("src").alias("node")).distinct().withColumn("v", F.lit(1.0)))
-    for i in range(rounds):
-        spread = links.join(state.withColumnRenamed("node", "dst"), "dst").select(
-            F.col("src").alias("node"), (F.col("weight") * F.col("v")).alias("v")
-        )
-        summed = spread.unionByName(state.select("node", "v")).groupBy("node").agg(F.sum("v").alias("v"))
-        size = summed.agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_l")).withColumn("_one", F.lit(1))
-        scaled = summed.withColumn("_one", F.lit(1)).join(size, "_one").select(
-            "node", ratio("v", "_l").alias("v")
-        )
-        if i % 5 == 4:
-            scaled = cut_lineage(scaled)
-            moved = scaled.join(state.withColumnRenamed("v", "_old"), "node").agg(
-                F.max(F.abs(F.col("v") - F.col("_old")))
-            ).first()[0]
-            if moved is not None and moved < tolerance:
-                state = scaled
-                break
-        state = scaled
+    for _ in range(max_batches):
+        before = state
+        for _ in range(batch):
+            state = (
+                links.join(state.withColumnRenamed("node", "dst"), "dst")
+                .groupBy(F.col("src").alias("node"))
+                .agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
+            )
+        grown = cut_lineage(state)
+        length = float(grown.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0])
+        state = grown.withColumn("v", F.col("v") / F.lit(length))
+        gap = state.join(before.withColumnRenamed("v", "_old"), "node").agg(
+            F.max(F.abs(F.col("v") - F.col("_old")))
+        ).first()[0]
+        if gap < tolerance:
+            break
     return state.select("node", F.col("v").alias("eigenvector"))
 
 
@@ -584,7 +593,7 @@ def modularity(edges: DataFrame, membership: DataFrame, keys: Sequence[str] = ()
 
 
 def communities(
-    edges: DataFrame, keys: Sequence[str] = (), max_levels: int = 4, max_rounds: int = 8
+    edges: DataFrame, keys: Sequence[str] = (), max_levels: int = 3, max_rounds: int = 8
 ) -> DataFrame:
     """Communities by rounds of best modularity moves and contraction, many graphs at once.
 
