@@ -593,13 +593,13 @@ def modularity(edges: DataFrame, membership: DataFrame, keys: Sequence[str] = ()
 
 
 def communities(
-    edges: DataFrame, keys: Sequence[str] = (), max_levels: int = 3, max_rounds: int = 8
+    edges: DataFrame, keys: Sequence[str] = (), max_levels: int = 4, max_rounds: int = 6
 ) -> DataFrame:
     """Communities by rounds of best modularity moves and contraction, many graphs at once.
 
-    In a round only nodes of one hash parity may move, which stops neighbours
-    from swapping for ever; a node takes the neighbouring community of largest
-    gain (ties to the smallest id).  Levels contract communities to nodes until
+    A node takes the neighbouring community of largest gain (ties to the smallest
+    id).  Even rounds allow moves to smaller ids only and odd rounds to larger
+    ones, so two nodes never swap places for ever.  Levels contract communities to nodes until
     nothing moves.
     """
     keys = list(keys)
@@ -620,7 +620,7 @@ def communities(
             ).agg(F.sum("k").alias("k"))
         state = cut_lineage(strength.withColumn("community", F.col("node")))
         moved_any = False
-        quiet = 0
+        pair_moved = False
         for round_no in range(max_rounds):
             mass = state.groupBy(*keys, "community").agg(F.sum("k").alias("_kc"))
             toward = (
@@ -650,7 +650,8 @@ def communities(
             best = ranked.groupBy(*keys, "node", "k", "_own").agg(
                 F.min_by("community", F.struct(-F.col("_g"), "community")).alias("_best")
             )
-            turn = F.pmod(F.xxhash64("node", F.lit(round_no // 2)), F.lit(2)) == round_no % 2
+            upward = F.col("_best") > F.col("_own")
+            turn = upward if round_no % 2 else ~upward
             fresh = cut_lineage(
                 best.select(
                     *keys, "node", "k", F.when(turn, F.col("_best")).otherwise(F.col("_own")).alias("community"),
@@ -660,8 +661,8 @@ def communities(
             moves = fresh.where("_moved").limit(1).count()
             state = fresh.drop("_moved")
             moved_any = moved_any or moves > 0
-            quiet = 0 if moves else quiet + 1
-            if quiet >= 2:
+            pair_moved = moves > 0 or (round_no % 2 == 1 and pair_moved)
+            if round_no % 2 == 1 and not pair_moved:
                 break
         if not moved_any:
             break
