@@ -218,7 +218,7 @@ def fit_fuel_regimes(
 ) -> dict[str, DataFrame]:
     """Model choice by BIC, regime calendar, labelled means and transition matrix.
 
-    Likelihoods use rescaled emissions by default, as the reference numbers do;
+    Likelihoods use rescaled emissions by default, comparable across models of the same data;
     ``rescaled=False`` gives exact densities.
     """
     spark = panel_year.sparkSession

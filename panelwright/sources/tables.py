@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.functions.columns import fiscal_year_of, month_start
+from panelwright.functions.columns import fiscal_year_of
 from panelwright.sources.cleaning import MAKER_MAP, clean
 
 # Order priority read as fuel.
@@ -53,58 +53,66 @@ def dim_state(spark: SparkSession, sf_dir: str, with_all: bool = False) -> DataF
     return states.unionByName(everything)
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line with its market attributes; joins pick their own strategy."""
-    line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", F.to_date("l_shipdate").alias("ship")
-    )
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderpriority", F.to_date("o_orderdate").alias("ordered")
-    )
+def sold_lines(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
+    """Order lines with buyer nation, part and priority, dated by month number.
+
+    ``day`` is ``ship`` or ``ordered``.  Only keys are carried: names join after
+    the aggregation.  Each join takes the strategy its sizes allow.
+    """
+    line_columns = ["l_orderkey", "l_partkey", "l_quantity"]
+    order_columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
+    stamp = "l_shipdate" if day == "ship" else "o_orderdate"
+    (line_columns if day == "ship" else order_columns).append(stamp)
+    line = table(spark, sf_dir, "lineitem").select(*line_columns)
+    orders = table(spark, sf_dir, "orders").select(*order_columns)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    region = table(spark, sf_dir, "region")
-    fuel = F.lit("Others")
-    for priority, name in PRIORITY_FUEL.items():
-        fuel = F.when(F.col("o_orderpriority") == priority, name).otherwise(fuel)
     return (
         line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
         .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .withColumn("fuel", fuel)
+        .withColumn("month_number", F.year(stamp) * 12 + F.month(stamp) - 1)
     )
 
 
+def month_of(number: str = "month_number") -> Column:
+    """First day of a month number (year * 12 + month - 1)."""
+    n = F.col(number)
+    return F.make_date(F.floor(n / 12).cast("int"), n % 12 + 1, F.lit(1))
+
+
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registrations: state x month x maker x fuel, with the observed total as ``ALL``."""
-    base = (
-        lines(spark, sf_dir)
-        .groupBy(
-            state_code("n_nationkey").alias("state_code"),
-            F.col("n_name").alias("state_name"),
-            F.trunc("ship", "month").alias("ship"),
-            F.col("p_brand").alias("maker"),
-            "fuel",
-        )
-        .agg(F.sum("l_quantity").cast("bigint").alias("count"))
+    """Registrations: state x month x maker x fuel, with the observed total as ``ALL``.
+
+    Lines collapse to nation, month, brand and priority first; the national rows
+    and all labels are made from that small result.
+    """
+    cells = (
+        sold_lines(spark, sf_dir, "ship")
+        .groupBy("c_nationkey", "month_number", "p_brand", "o_orderpriority")
+        .agg(F.sum("l_quantity").alias("units"))
     )
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    fuel = F.lit("Others")
+    for priority, name in PRIORITY_FUEL.items():
+        fuel = F.when(F.col("o_orderpriority") == priority, name).otherwise(fuel)
+    local = cells.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     national = F.struct(F.lit("ALL").alias("state_code"), F.lit("All").alias("state_name"))
-    scoped = base.withColumn(
-        "scope", F.explode(F.array(F.struct("state_code", "state_name"), national))
-    )
+    own = F.struct(state_code("n_nationkey").alias("state_code"), F.col("n_name").alias("state_name"))
+    scoped = local.select(
+        F.explode(F.array(own, national)).alias("scope"), "month_number", "p_brand", fuel.alias("fuel"), "units"
+    ).select("scope.*", "month_number", "p_brand", "fuel", "units")
+    date = month_of()
     return (
-        scoped.groupBy("scope", "ship", "maker", "fuel")
-        .agg(F.sum("count").alias("count"))
+        scoped.groupBy("state_code", "state_name", "month_number", "p_brand", "fuel")
+        .agg(F.sum("units").cast("bigint").alias("count"))
         .select(
-            "scope.state_code",
-            "scope.state_name",
-            F.year("ship").alias("year"),
-            F.month("ship").alias("month"),
-            fiscal_year_of("ship").alias("fy"),
-            "maker",
+            "state_code",
+            "state_name",
+            F.year(date).alias("year"),
+            F.month(date).alias("month"),
+            fiscal_year_of(date).alias("fy"),
+            F.col("p_brand").alias("maker"),
             "fuel",
             "count",
         )
@@ -115,36 +123,34 @@ def dispatch_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dispatch lines in the raw column layout, with untidy labels and text quantities."""
     labels = F.array(*[F.lit(k) for k in MAKER_MAP])
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
-    bucket = F.col("o_custkey") % 4
-    city = F.concat(F.lit(" city "), F.col("n_nationkey"), F.lit("-"), bucket.cast("string"))
-    return (
-        lines(spark, sf_dir)
+    city = F.concat(F.lit(" city "), F.col("n_nationkey"), F.lit("-"), F.col("bucket").cast("string"))
+    cells = (
+        sold_lines(spark, sf_dir, "ordered")
         .groupBy(
-            "n_nationkey",
-            "r_name",
-            bucket.alias("bucket"),
-            city.alias("City"),
-            F.trunc("ordered", "month").alias("m"),
-            "p_brand",
-            "p_name",
-            "p_type",
+            "c_nationkey", (F.col("o_custkey") % 4).alias("bucket"), "month_number", "p_brand", "p_name", "p_type"
         )
         .agg(F.sum("l_quantity").cast("bigint").alias("units"))
-        .select(
-            fiscal_year_of("m").alias("Financial Year"),
-            F.datediff("m", F.lit("1899-12-30")).cast("string").alias("Month"),
-            F.col("r_name").alias("CBH"),
-            F.concat(F.lit("RO "), F.col("n_nationkey")).alias("New RO"),
-            "City",
-            F.col("bucket").cast("string").alias("city group"),
-            F.concat(F.col("p_name"), F.lit(" ")).alias("mdl"),
-            F.concat(F.lit(" "), F.lower(F.element_at(labels, brand))).alias("maker"),
-            F.when((F.month("m") == 6) & (F.col("bucket") == 2) & (F.col("p_type") == "PROMO"), "n/a")
-            .otherwise(F.col("units").cast("string"))
-            .alias("SumOfQty"),
-            F.col("p_type").alias("Seg-3"),
-            F.col("p_type").alias("Seg-5"),
-        )
+    )
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    named = (
+        cells.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+        .withColumn("m", month_of())
+    )
+    stray = (F.month("m") == 6) & (F.col("bucket") == 2) & (F.col("p_type") == "PROMO")
+    return named.select(
+        fiscal_year_of("m").alias("Financial Year"),
+        F.datediff("m", F.lit("1899-12-30")).cast("string").alias("Month"),
+        F.col("r_name").alias("CBH"),
+        F.concat(F.lit("RO "), F.col("n_nationkey")).alias("New RO"),
+        city.alias("City"),
+        F.col("bucket").cast("string").alias("city group"),
+        F.concat(F.col("p_name"), F.lit(" ")).alias("mdl"),
+        F.concat(F.lit(" "), F.lower(F.element_at(labels, brand))).alias("maker"),
+        F.when(stray, "n/a").otherwise(F.col("units").cast("string")).alias("SumOfQty"),
+        F.col("p_type").alias("Seg-3"),
+        F.col("p_type").alias("Seg-5"),
     )
 
 
