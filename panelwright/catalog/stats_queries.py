@@ -199,13 +199,14 @@ def _reflections(rounds: int) -> str:
     steps = ["b AS (SELECT state_code AS s, maker AS p FROM rca WHERE rca >= 1)"]
     steps.append("l AS (SELECT 'state_code' AS kind, s AS src, p AS dst FROM b UNION ALL SELECT 'maker', p, s FROM b)")
     steps.append("k0 AS MATERIALIZED (SELECT kind, src, CAST(COUNT(*) AS DOUBLE) AS v FROM l GROUP BY kind, src)")
+    steps.append("c0 AS MATERIALIZED (SELECT kind, src, v - SUM(v * v) OVER (PARTITION BY kind) / SUM(v) OVER (PARTITION BY kind) AS v FROM k0)")
     for i in range(1, rounds + 1):
         steps.append(
-            f"k{i} AS MATERIALIZED (SELECT l.kind, l.src, AVG(k.v) AS v FROM l JOIN k{i - 1} k ON k.src = l.dst GROUP BY l.kind, l.src)"
+            f"c{i} AS MATERIALIZED (SELECT l.kind, l.src, AVG(k.v) AS v FROM l JOIN c{i - 1} k ON k.src = l.dst GROUP BY l.kind, l.src)"
         )
     return f"""WITH rca AS ({_RCA}), {', '.join(steps)}
  SELECT k.src AS node, k.kind, (k.v - AVG(k.v) OVER (PARTITION BY k.kind)) / STDDEV_POP(k.v) OVER (PARTITION BY k.kind) AS complexity, d.v AS degree
- FROM k{rounds} k JOIN k0 d USING (kind, src)"""
+ FROM c{rounds} k JOIN k0 d USING (kind, src)"""
 
 
 @query("agg_15_complexity_indices", _reflections(18), "edges", "complexity degree", digits=4)

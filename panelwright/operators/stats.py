@@ -329,7 +329,15 @@ def complexity_indices(
     )
     links = cut_lineage(a.unionByName(a.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     degree = links.groupBy("src").agg(F.count(F.lit(1)).cast("double").alias("degree"))
-    state = degree.select(F.col("src").alias("dst"), F.col("degree").alias("v"))
+    # The rounds preserve each side's degree-weighted mean, which the z-score drops:
+    # taking it out first keeps full precision as the values draw together.
+    side_of = F.substring("src", 1, 1)
+    centre = degree.groupBy(side_of.alias("_side")).agg(
+        (F.sum(F.col("degree") * F.col("degree")) / F.sum("degree")).alias("_c")
+    )
+    state = degree.withColumn("_side", side_of).join(centre, "_side").select(
+        F.col("src").alias("dst"), (F.col("degree") - F.col("_c")).alias("v")
+    )
     for i in range(1, rounds + 1):
         state = links.join(state, "dst").groupBy("src").agg(F.avg("v").alias("v"))
         state = state.withColumnRenamed("src", "dst")
@@ -346,7 +354,7 @@ def complexity_indices(
     return scored.select(
         F.expr("substring(node, 3)").alias("node"),
         "kind",
-        F.when(spread > 1e-15, (F.col("v") - F.avg("v").over(side)) / spread)
+        F.when(spread > 0, (F.col("v") - F.avg("v").over(side)) / spread)
         .otherwise(0.0)
         .alias("complexity"),
         "degree",
