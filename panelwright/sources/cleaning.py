@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import ratio
@@ -88,25 +88,33 @@ def with_dates(df: DataFrame, serial: str = "month_serial") -> DataFrame:
     )
 
 
-def maker_lookup(spark: SparkSession) -> DataFrame:
-    """The fixed maker table as a frame: label, maker, channel, registration maker."""
-    rows = [
-        (key, maker, channel, REGISTRATION_MAKER.get(maker, maker))
-        for key, (maker, channel) in MAKER_MAP.items()
-    ]
-    return spark.createDataFrame(
-        rows, "maker_key string, maker string, channel string, maker_vahan string"
-    )
+def maker_entry(label: str | Column) -> Column:
+    """(maker, channel, maker_vahan) of a raw label as one struct; null when unknown.
+
+    The fixed table is a literal map, so labelling never shuffles the records.
+    """
+    c = F.col(label) if isinstance(label, str) else label
+    entries: list[Column] = []
+    for key, (maker, channel) in MAKER_MAP.items():
+        entries += [
+            F.lit(key),
+            F.struct(
+                F.lit(maker).alias("maker"),
+                F.lit(channel).cast("string").alias("channel"),
+                F.lit(REGISTRATION_MAKER.get(maker, maker)).alias("maker_vahan"),
+            ),
+        ]
+    return F.try_element_at(F.create_map(*entries), F.upper(F.trim(c)))
 
 
 def normalize_makers(df: DataFrame, raw: str = "maker_raw") -> DataFrame:
     """Adds maker, channel, maker_vahan; unknown labels become Others."""
-    lookup = maker_lookup(df.sparkSession)
-    joined = df.withColumn("maker_key", F.upper(F.trim(raw))).join(lookup, "maker_key", "left")
     return (
-        joined.withColumn("maker", F.coalesce("maker", F.lit("Others")))
-        .withColumn("maker_vahan", F.coalesce("maker_vahan", F.lit("Others")))
-        .drop("maker_key")
+        df.withColumn("_entry", maker_entry(raw))
+        .withColumn("maker", F.coalesce("_entry.maker", F.lit("Others")))
+        .withColumn("channel", F.col("_entry.channel"))
+        .withColumn("maker_vahan", F.coalesce("_entry.maker_vahan", F.lit("Others")))
+        .drop("_entry")
     )
 
 
