@@ -129,12 +129,12 @@ def scan_sql(ser: str) -> str:
     return f"""ser AS ({ser}),
  dd AS (SELECT * FROM (SELECT k, s - LAG(s) OVER w AS y, LAG(s) OVER w AS x FROM ser WHERE s IS NOT NULL WINDOW w AS (PARTITION BY k ORDER BY ord)) WHERE y IS NOT NULL),
  n0 AS (SELECT k, COUNT(*) AS n, COUNT(*) * (VAR_POP(y) - COVAR_POP(x, y) ** 2 / NULLIF(VAR_POP(x), 0)) AS sse0, quantile_cont(x, [{grid}]) AS q FROM dd GROUP BY k),
- g AS (SELECT DISTINCT k, n, unnest(q) AS tau FROM n0 WHERE n >= 12),
- mo AS (SELECT k, tau, COUNT(*) AS c, VAR_POP(x) AS sxx, VAR_POP(h) AS shh, VAR_POP(y) AS syy, COVAR_POP(x, h) AS sxh, COVAR_POP(x, y) AS sxy, COVAR_POP(h, y) AS shy,
-   COUNT(*) FILTER (h > 0) AS above FROM (SELECT dd.k, tau, x, y, GREATEST(x - tau, 0) AS h FROM dd JOIN g USING (k)) GROUP BY k, tau),
- ft AS (SELECT *, (sxy * shh - shy * sxh) / NULLIF(sxx * shh - sxh * sxh, 0) AS bx, (shy * sxx - sxy * sxh) / NULLIF(sxx * shh - sxh * sxh, 0) AS bh FROM mo WHERE above >= 5 AND c - above >= 5),
- fb AS (SELECT *, c * (syy - bx * sxy - bh * shy) AS sse FROM ft WHERE bx IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY sse, tau) = 1),
- scan AS (SELECT n0.k, tau, bx AS slope_below, bx + bh AS slope_above, bh AS hinge_coef, CASE WHEN sse0 > 0 THEN 1 - sse / sse0 END AS sse_gain, n0.n FROM n0 LEFT JOIN fb USING (k))"""
+ g AS (SELECT DISTINCT k, n, sse0, unnest(q) AS tau FROM n0 WHERE n >= 12),
+ mo AS (SELECT k, tau, sse0, COUNT(*) AS c, VAR_POP(x) AS sxx, VAR_POP(h) AS shh, VAR_POP(y) AS syy, COVAR_POP(x, h) AS sxh, COVAR_POP(x, y) AS sxy, COVAR_POP(h, y) AS shy,
+   COUNT(*) FILTER (h > 0) AS above FROM (SELECT dd.k, tau, sse0, x, y, GREATEST(x - tau, 0) AS h FROM dd JOIN g USING (k)) GROUP BY k, tau, sse0),
+ ft AS (SELECT *, (sxy * shh - shy * sxh) / NULLIF(sxx * shh - sxh * sxh, 0) AS bx, (shy * sxx - sxy * sxh) / NULLIF(sxx * shh - sxh * sxh, 0) AS bh FROM mo WHERE above >= 5 AND c - above >= 5 AND sxx * shh - sxh * sxh > 1e-12 * sxx * shh),
+ fb AS (SELECT *, c * (syy - bx * sxy - bh * shy) AS sse FROM ft WHERE bx IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY k ORDER BY round(sse / NULLIF(sse0, 0), 10) NULLS FIRST, tau) = 1),
+ scan AS (SELECT n0.k, tau, bx AS slope_below, bx + bh AS slope_above, bh AS hinge_coef, CASE WHEN n0.sse0 > 0 THEN 1 - sse / n0.sse0 END AS sse_gain, n0.n FROM n0 LEFT JOIN fb USING (k))"""
 
 
 _SCAN_COLS = "tau slope_below slope_above hinge_coef sse_gain"

@@ -29,7 +29,9 @@ def moments2(x: str, h: str, y: str) -> list[Column]:
 def fit2() -> dict[str, Column]:
     """Slopes, intercept and SSE of y on (1, x, h) from :func:`moments2`."""
     sxx, shh, syy, sxh, sxy, shy = (F.col(c) for c in ("_sxx", "_shh", "_syy", "_sxh", "_sxy", "_shy"))
-    det = sxx * shh - sxh * sxh
+    # Collinear regressors leave a determinant of rounding noise: no fit then.
+    full = sxx * shh
+    det = F.when(full - sxh * sxh > 1e-12 * full, full - sxh * sxh)
     bx = F.try_divide(sxy * shh - shy * sxh, det)
     bh = F.try_divide(shy * sxx - sxy * sxh, det)
     return {

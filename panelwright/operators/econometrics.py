@@ -398,20 +398,22 @@ def threshold_scan(
     expanded = (
         moves.join(linear, list(keys))
         .where(F.col("n") >= 2 * min_side + 2)
-        .select(*keys, "_x", "_y", F.explode("_taus").alias("tau"))
+        .select(*keys, "_x", "_y", "_sse0", F.explode("_taus").alias("tau"))
         .withColumn("_h", hinge)
     )
     fits = (
-        expanded.groupBy(*keys, "tau")
+        expanded.groupBy(*keys, "_sse0", "tau")
         .agg(*moments2("_x", "_h", "_y"), F.count_if(F.col("_h") > 0).alias("_above"))
         .where((F.col("_above") >= min_side) & (F.col("_n") - F.col("_above") >= min_side))
     )
     c = fit2()
+    # Errors that differ by rounding noise count as equal; the smaller threshold wins.
+    error = F.round(ratio("sse", "_sse0"), 10)
     best = (
-        fits.select(*keys, "tau", c["bx"].alias("bx"), c["bh"].alias("bh"), c["sse"].alias("sse"))
+        fits.select(*keys, "tau", "_sse0", c["bx"].alias("bx"), c["bh"].alias("bh"), c["sse"].alias("sse"))
         .where(F.col("sse").isNotNull())
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("tau", "bx", "bh", "sse"), F.struct("sse", "tau")).alias("b"))
+        .agg(F.min_by(F.struct("tau", "bx", "bh", "sse"), F.struct(error, F.col("tau"))).alias("b"))
     )
     return linear.join(best, list(keys), "left").select(
         *keys,
