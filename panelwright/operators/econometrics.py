@@ -413,15 +413,15 @@ def threshold_scan(
         fits.select(*keys, "tau", "_sse0", c["bx"].alias("bx"), c["bh"].alias("bh"), c["sse"].alias("sse"))
         .where(F.col("sse").isNotNull())
         .groupBy(*keys)
-        .agg(F.min_by(F.struct("tau", "bx", "bh", "sse"), F.struct(error, F.col("tau"))).alias("b"))
+        .agg(F.min_by(F.struct("tau", "bx", "bh", "sse"), F.struct(error, F.col("tau"))).alias("_b"))
     )
     return linear.join(best, list(keys), "left").select(
         *keys,
-        F.col("b.tau").alias("tau"),
-        F.col("b.bx").alias("slope_below"),
-        (F.col("b.bx") + F.col("b.bh")).alias("slope_above"),
-        F.col("b.bh").alias("hinge_coef"),
-        F.when(F.col("_sse0") > 0, 1 - F.col("b.sse") / F.col("_sse0")).alias("sse_gain"),
+        F.col("_b.tau").alias("tau"),
+        F.col("_b.bx").alias("slope_below"),
+        (F.col("_b.bx") + F.col("_b.bh")).alias("slope_above"),
+        F.col("_b.bh").alias("hinge_coef"),
+        F.when(F.col("_sse0") > 0, 1 - F.col("_b.sse") / F.col("_sse0")).alias("sse_gain"),
         "n",
     )
 

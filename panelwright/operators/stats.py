@@ -226,12 +226,12 @@ def powerlaw_fit(
             x,
             "_upto",
             "_c",
-            F.explode(F.filter("_cands", lambda k: k["xmin"] <= F.col("_x"))).alias("k"),
+            F.explode(F.filter("_cands", lambda k: k["xmin"] <= F.col("_x"))).alias("_k"),
         )
-        .withColumn("_model", 1 - F.pow(x / F.col("k.xmin"), 1 - F.col("k.alpha")))
-        .withColumn("_hi", (F.col("_upto") - F.col("k.below")) / F.col("k.n_tail"))
-        .withColumn("_lo", (F.col("_upto") - F.col("_c") - F.col("k.below")) / F.col("k.n_tail"))
-        .groupBy(*keys, "k")
+        .withColumn("_model", 1 - F.pow(x / F.col("_k.xmin"), 1 - F.col("_k.alpha")))
+        .withColumn("_hi", (F.col("_upto") - F.col("_k.below")) / F.col("_k.n_tail"))
+        .withColumn("_lo", (F.col("_upto") - F.col("_c") - F.col("_k.below")) / F.col("_k.n_tail"))
+        .groupBy(*keys, "_k")
         .agg(
             F.max(
                 F.greatest(F.abs(F.col("_hi") - F.col("_model")), F.abs(F.col("_lo") - F.col("_model")))
@@ -239,13 +239,13 @@ def powerlaw_fit(
         )
     )
     best = gaps.groupBy(*keys).agg(
-        F.min_by(F.struct("k", "ks"), F.struct("ks", "k.xmin")).alias("_best")
+        F.min_by(F.struct("_k", "ks"), F.struct("ks", "_k.xmin")).alias("_best")
     )
     fit = best.select(
         *keys,
-        F.col("_best.k.xmin").alias("xmin"),
-        F.col("_best.k.alpha").alias("alpha"),
-        F.col("_best.k.n_tail").alias("n_tail"),
+        F.col("_best._k.xmin").alias("xmin"),
+        F.col("_best._k.alpha").alias("alpha"),
+        F.col("_best._k.n_tail").alias("n_tail"),
         F.col("_best.ks").alias("ks"),
     )
     tail = counted.join(fit, list(keys)).where(x >= F.col("xmin"))
