@@ -173,15 +173,13 @@ def zipf_exponent(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def powerlaw_fit(
-    df: DataFrame, keys: Sequence[str], value: str, grid: int = 200
-) -> DataFrame:
+def powerlaw_fit(df: DataFrame, keys: Sequence[str], value: str, block: int = 512) -> DataFrame:
     """Power-law tail: xmin by smallest KS distance, alpha, sigma, lognormal likelihood ratio.
 
-    Tail sums of every candidate come from running sums, so only the KS distance
-    compares values with candidates; candidates are the distinct values, or their
-    ``grid`` quantiles once there are more.  The lognormal is fitted to the tail by
-    its two moments (no truncation term).
+    Every distinct value with a tail above it is a candidate.  Tail sums come
+    from running sums; for the KS distance a candidate meets the values one
+    block per row and keeps the largest gap, so no pair becomes a row.  The
+    lognormal is fitted to the tail by its two moments (no truncation term).
     """
     x = F.col("_x")
     counted = (
@@ -191,61 +189,48 @@ def powerlaw_fit(
         .withColumn("_cl", F.col("_c") * F.ln(x))
     )
     running = prefix_sums(counted, keys, "_x", {"_upto": "_c", "_lupto": "_cl"})
-    totals = running.groupBy(*keys).agg(
-        F.sum("_c").alias("_n"),
-        F.sum("_cl").alias("_l"),
-        F.array_distinct(
-            F.percentile_approx("_x", [i / grid for i in range(grid + 1)], 10000)
-        ).alias("_grid"),
-    )
-    placed = running.join(totals, list(keys)).where(F.col("_n") >= 10)
+    totals = running.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum("_cl").alias("_l"))
+    placed = cut_lineage(running.join(totals, list(keys)).where(F.col("_n") >= 10))
     candidates = (
-        placed.where(F.array_contains("_grid", x))
-        .withColumn("_tail", F.col("_n") - F.col("_upto") + F.col("_c"))
-        .withColumn(
-            "_sum", F.col("_l") - F.col("_lupto") + F.col("_cl") - F.col("_tail") * F.ln(x)
-        )
-        .where(F.col("_sum") > 0)
-        .withColumn("alpha", 1 + F.col("_tail") / F.col("_sum"))
-        .groupBy(*keys)
-        .agg(
-            F.collect_list(
-                F.struct(
-                    x.alias("xmin"),
-                    "alpha",
-                    F.col("_tail").alias("n_tail"),
-                    (F.col("_upto") - F.col("_c")).alias("below"),
-                )
-            ).alias("_cands")
-        )
-    )
-    gaps = (
-        placed.join(candidates, list(keys))
+        placed.withColumn("n_tail", F.col("_n") - F.col("_upto") + F.col("_c"))
+        .withColumn("_sum", F.col("_l") - F.col("_lupto") + F.col("_cl") - F.col("n_tail") * F.ln(x))
+        .where((F.col("_sum") > 1e-12) & (F.col("_upto") < F.col("_n")))
         .select(
             *keys,
-            x,
-            "_upto",
-            "_c",
-            F.explode(F.filter("_cands", lambda k: k["xmin"] <= F.col("_x"))).alias("_k"),
-        )
-        .withColumn("_model", 1 - F.pow(x / F.col("_k.xmin"), 1 - F.col("_k.alpha")))
-        .withColumn("_hi", (F.col("_upto") - F.col("_k.below")) / F.col("_k.n_tail"))
-        .withColumn("_lo", (F.col("_upto") - F.col("_c") - F.col("_k.below")) / F.col("_k.n_tail"))
-        .groupBy(*keys, "_k")
-        .agg(
-            F.max(
-                F.greatest(F.abs(F.col("_hi") - F.col("_model")), F.abs(F.col("_lo") - F.col("_model")))
-            ).alias("ks")
+            x.alias("xmin"),
+            (1 + F.col("n_tail") / F.col("_sum")).alias("alpha"),
+            "n_tail",
+            (F.col("_upto") - F.col("_c")).alias("_below"),
         )
     )
+    blocks = max(1, -(-placed.count() // block))
+    values = placed.groupBy(*keys, F.pmod(F.xxhash64("_x"), F.lit(blocks)).alias("_block")).agg(
+        F.collect_list(F.struct("_x", "_upto", "_c")).alias("_values")
+    )
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+
+    def gap(v: Column) -> Column:
+        model = 1 - F.pow(v["_x"] / F.col("xmin"), 1 - F.col("alpha"))
+        above = (v["_upto"] - F.col("_below")) / F.col("n_tail")
+        under = (v["_upto"] - v["_c"] - F.col("_below")) / F.col("n_tail")
+        return F.greatest(F.abs(above - model), F.abs(under - model))
+
+    tails = F.filter("_values", lambda v: v["_x"] >= F.col("xmin"))
+    gaps = (
+        candidates.withColumn("_block", every)
+        .join(values, [*keys, "_block"])
+        .select(*keys, "xmin", "alpha", "n_tail", F.array_max(F.transform(tails, gap)).alias("_gap"))
+        .groupBy(*keys, "xmin", "alpha", "n_tail")
+        .agg(F.max("_gap").alias("ks"))
+    )
     best = gaps.groupBy(*keys).agg(
-        F.min_by(F.struct("_k", "ks"), F.struct("ks", "_k.xmin")).alias("_best")
+        F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), F.struct("ks", "xmin")).alias("_best")
     )
     fit = best.select(
         *keys,
-        F.col("_best._k.xmin").alias("xmin"),
-        F.col("_best._k.alpha").alias("alpha"),
-        F.col("_best._k.n_tail").alias("n_tail"),
+        F.col("_best.xmin").alias("xmin"),
+        F.col("_best.alpha").alias("alpha"),
+        F.col("_best.n_tail").alias("n_tail"),
         F.col("_best.ks").alias("ks"),
     )
     tail = counted.join(fit, list(keys)).where(x >= F.col("xmin"))
