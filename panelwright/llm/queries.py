@@ -25,9 +25,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, _tokenizer_file(), limit=1024).drop("text")
 
 
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    from panelwright.llm.bpe_stream import round_trip
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return round_trip(docs, _tokenizer_file()).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
+        "op6_bpe_round_trip": op6_bpe_round_trip,
     }
 
 
