@@ -33,12 +33,26 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, _tokenizer_file()).drop("text")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements, failure bits and the current policy's verdict for every document."""
+    from panelwright.llm import rule_ledger as rules
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    book = rules.ledger(docs).drop("text", "n_lines")
+    return rules.apply_policy(book, rules.POLICIES["v2"], "kept").withColumn(
+        "base_failed", rules.fails(rules.POLICIES["base"])
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from panelwright.llm import sql
+
+    return {"op9_quality_rules": sql.QUALITY_RULES}

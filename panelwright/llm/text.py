@@ -196,10 +196,8 @@ def window_hashes(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
     n = len(h)
     if n < size:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    whole = np.ones(n - size + 1, bool)
-    for edge in at[1:-1]:  # windows that would cross into the next text
-        whole[max(0, edge - size + 1) : edge] = False
-    first = np.flatnonzero(whole)
+    of = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    first = np.flatnonzero(of[: n - size + 1] == of[size - 1 :])
     return combine([h[first + k] for k in range(size)]), first
 
 
@@ -207,7 +205,6 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-#: Bytes that are special in a pattern; used where a text is cut into pieces for a scanner.
 def safe_pieces(text: str, size: int) -> Iterator[str]:
     """Pieces of a long text, cut where white space follows something else.
 
