@@ -44,8 +44,27 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.decontamination import match, verdict
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = verdict(match(docs, _read(spark, sf_dir, "benchmark")))
+    return judged.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("item_ids")), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_quality_rules": op9_quality_rules,
@@ -55,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from panelwright.llm import sql
 
-    return {"op9_quality_rules": sql.QUALITY_RULES}
+    return {"op4_decontamination": sql.DECONTAMINATION, "op9_quality_rules": sql.QUALITY_RULES}

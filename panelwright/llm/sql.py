@@ -32,3 +32,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
        fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept
 FROM f
 """
+
+DECONTAMINATION = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS size, array_to_string(ws[i:i + least(13, len(ws)) - 1], ' ') AS win
+  FROM b, unnest(range(1, greatest(2, len(ws) - 11))) AS r(i) WHERE len(ws) > 0
+), sizes AS (SELECT DISTINCT size FROM wins
+), seen AS (
+  SELECT doc_id, size, i, array_to_string(ws[i:i + size - 1], ' ') AS win FROM d, sizes, unnest(range(1, len(ws) - size + 2)) AS r(i)
+), hits AS (SELECT doc_id, item_id, size, i FROM seen JOIN wins USING (size, win)
+), covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hits, unnest(range(i, i + size)) AS r(p) GROUP BY ALL
+), found AS (SELECT doc_id, count(DISTINCT item_id) AS n, list_sort(list(DISTINCT item_id)) AS ids FROM hits GROUP BY ALL)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
