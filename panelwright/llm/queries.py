@@ -62,12 +62,35 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier learned outside the held-out fold."""
+    from panelwright.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    return _judged(toxicity.score(docs, model), 0.5)
+
+
+def _judged(scored: DataFrame, threshold: float) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.labelled import fold
+
+    return scored.select(
+        "doc_id",
+        (fold("doc_id") == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op9_quality_rules": op9_quality_rules,
+        "op10_toxicity": op10_toxicity,
     }
 
 
