@@ -44,6 +44,15 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by a line model learned outside the held-out fold."""
+    from panelwright.llm import quality_crf
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_crf.train(docs, _read(spark, sf_dir, "labels"))
+    return _judged(quality_crf.score(docs, model), 0.3)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     from pyspark.sql import functions as F
@@ -86,6 +95,7 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_crf": op1_quality_crf,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
