@@ -33,6 +33,23 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(docs, _tokenizer_file()).drop("text")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines every document loses to earlier ones, and a digest of what it keeps."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        "n_lines",
+        "n_equal",
+        "n_near",
+        F.concat_ws(",", F.col("removed").cast("array<string>")).alias("removed_lines"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the current policy's verdict for every document."""
     from panelwright.llm import rule_ledger as rules
@@ -99,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
+        "op7_line_dedup": op7_line_dedup,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
     }
@@ -107,4 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from panelwright.llm import sql
 
-    return {"op4_decontamination": sql.DECONTAMINATION, "op9_quality_rules": sql.QUALITY_RULES}
+    return {
+        "op4_decontamination": sql.DECONTAMINATION,
+        "op7_line_dedup": sql.LINE_DEDUP,
+        "op9_quality_rules": sql.QUALITY_RULES,
+    }

@@ -54,3 +54,40 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+LINE_DEDUP = r"""
+WITH raw AS (
+  SELECT doc_id, pos - 1 AS pos, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))
+), l AS (SELECT * FROM raw WHERE len(ws) > 0
+), firsts AS (SELECT ws, min((doc_id, pos)) AS f FROM l GROUP BY ws
+), c AS (
+  SELECT row_number() OVER (ORDER BY f) AS r, ws, f, len(ws) AS n, CAST(floor(log2(len(ws))) AS INT) AS k FROM firsts WHERE len(ws) >= 8
+), s AS (
+  SELECT r, 0 AS e, q, ws[:q] AS part FROM (SELECT r, ws, n, unnest(CASE WHEN n = pow(2, k) THEN [CAST(pow(2, k - 1) AS INT), CAST(pow(2, k - 2) AS INT)] ELSE [CAST(pow(2, k - 1) AS INT)] END) AS q FROM c)
+  UNION ALL
+  SELECT r, 1 AS e, q, ws[n - q + 1:] AS part FROM (SELECT r, ws, n, unnest(CASE WHEN n = pow(2, k) THEN [CAST(pow(2, k - 1) AS INT), CAST(pow(2, k - 2) AS INT)] ELSE [CAST(pow(2, k - 1) AS INT)] END) AS q FROM c)
+), pairs AS (SELECT DISTINCT a.r AS a, b.r AS b FROM s a JOIN s b ON a.e = b.e AND a.q = b.q AND a.part = b.part AND a.r < b.r
+), met AS (
+  SELECT b.r, a.ws AS x, b.ws AS y, least(a.n, b.n) AS lo, greatest(a.n, b.n) AS hi, list_reverse(a.ws) AS rx, list_reverse(b.ws) AS ry
+  FROM pairs JOIN c a ON a.r = pairs.a JOIN c b ON b.r = pairs.b WHERE abs(a.n - b.n) <= 1
+), near AS (
+  SELECT DISTINCT r FROM met
+  WHERE coalesce(list_min(list_filter(range(1, lo + 1), lambda i: x[i] <> y[i])) - 1, lo)
+      + coalesce(list_min(list_filter(range(1, lo + 1), lambda i: rx[i] <> ry[i])) - 1, lo) >= hi - 1
+), gone AS (
+  SELECT l.doc_id, l.pos, (l.doc_id, l.pos) <> firsts.f AS equal
+  FROM l JOIN firsts USING (ws) LEFT JOIN (SELECT ws, true AS near FROM c JOIN near USING (r)) USING (ws)
+  WHERE (l.doc_id, l.pos) <> firsts.f OR near
+), per AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE equal) AS n_equal, count(*) FILTER (WHERE NOT equal) AS n_near,
+         string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM gone GROUP BY ALL
+), kept AS (
+  SELECT raw.doc_id, string_agg(raw.line, chr(10) ORDER BY raw.pos) AS text, count(*) FILTER (WHERE len(raw.ws) > 0) AS with_words
+  FROM raw LEFT JOIN gone USING (doc_id, pos) WHERE gone.pos IS NULL GROUP BY ALL
+), counted AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY ALL)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_equal, 0) AS BIGINT) AS n_equal,
+       CAST(coalesce(n_near, 0) AS BIGINT) AS n_near, coalesce(removed, '') AS removed_lines,
+       sha256(CASE WHEN per.n IS NULL THEN coalesce(d.text, '') WHEN per.n = n_lines THEN '' ELSE kept.text END) AS kept_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
