@@ -70,6 +70,13 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(quality_crf.score(docs, model), 0.3)
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    from panelwright.llm.ngram_join import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     from pyspark.sql import functions as F
@@ -113,6 +120,7 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": op1_quality_crf,
+        "op2_ngram_join": op2_ngram_join,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
