@@ -23,19 +23,37 @@ from pyspark.sql import functions as F
 from panelwright.session import cut_lineage
 
 MIN_WORDS = 8
-#: Most rows of line hashes that are sent to every task; more are joined by a shuffle.
+#: Most rows (and numbers in them) that are sent to every task; more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 _BLOCK = 32
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, not once per element of a later lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _sent(small: DataFrame, size: Column | None = None) -> DataFrame:
+    """Marks a written table for sending to every task if its size is within the bound."""
+    total = small.agg(F.coalesce(F.sum(size if size is not None else F.lit(1)), F.lit(0))).first()[0]
+    return F.broadcast(small) if total <= SENT_ROWS else small
+
+
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(F.lower(line), r"[\x20\x09-\x0D]+"), "")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, words) of every line with a word."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(F.split(F.col(f"`{text_col}`"), "\n")).alias("pos", "line"))
-    return rows.select("doc", "pos", _words(F.col("line")).alias("words")).where(F.size("words") > 0)
+def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, pos, h, n, sides) of every line with a word; each line is read once."""
+
+    def measured(words: Column) -> Column:
+        n = F.size(words)
+        sides = F.when(n >= MIN_WORDS, _sides(words, n))
+        return F.struct(F.xxhash64(words).alias("h"), n.alias("n"), sides.alias("sides"))
+
+    lines = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda line: _let(_words(line), measured))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(lines).alias("pos", "m"))
+    return rows.where("m.n > 0").select("doc", "pos", "m.h", "m.n", "m.sides")
 
 
 def _sides(words: Column, n: Column) -> Column:
@@ -57,11 +75,6 @@ def _sides(words: Column, n: Column) -> Column:
     return F.when(edge, F.concat(plain, F.array(side(lower, 0), side(lower, 1)))).otherwise(plain)
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once per row, not once per element of a later lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _running(hashes: Column, size: Column) -> Column:
     """Hash of the first i elements, for i = 0 to ``size``, by way of whole blocks."""
 
@@ -84,60 +97,69 @@ def _running(hashes: Column, size: Column) -> Column:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """(key, h, first, n, at) for each place of a line where an edit may be."""
+    """(key, ord) for each place of a line where an edit may be."""
     w = F.transform("words", lambda x: F.xxhash64(x))
     head, tail = _running(w, F.col("n")), _running(F.reverse(w), F.col("n"))
-    prepared = lines.select("h", "first", "n", "q_first", "q_last", F.struct(head.alias("head"), tail.alias("tail")).alias("run"))
+    prepared = lines.select("ord", "n", "q_first", "q_last", "longer", F.struct(head.alias("head"), tail.alias("tail")).alias("run"))
     n, from_first, to_last = F.col("n"), F.coalesce("q_first", F.lit(2**31 - 1)), F.coalesce("q_last", F.lit(2**31 - 1))
 
-    def place(run: Column, i: Column, left_out: int) -> Column:
-        key = F.xxhash64(F.get(run["head"], i), F.get(run["tail"], n - i - left_out))
-        return F.struct(key.alias("key"), i.alias("at"), F.lit(left_out).alias("out"))
-
     def places(run: Column, left_out: int) -> Column:
-        open_ = F.filter(F.sequence(F.lit(0), n - left_out), lambda i: (i >= from_first) | (i <= n - left_out - to_last))
-        return F.transform(open_, lambda i: place(run, i, left_out))
+        last = n - left_out
+        open_ = F.filter(F.sequence(F.lit(0), last), lambda i: (i >= from_first) | (i <= last - to_last))
+        return F.transform(open_, lambda i: F.xxhash64(F.get(run["head"], i), F.get(run["tail"], last - i)))
 
-    return prepared.select("h", "first", "n", F.explode(_let(F.col("run"), lambda run: F.concat(places(run, 1), places(run, 0)))).alias("p")).select("h", "first", "n", "p.key", "p.at", "p.out")
+    # one word left out meets replaced and longer lines; a line meets itself with a word put in only if a longer one is near
+    keys = _let(F.col("run"), lambda run: F.when(F.col("longer"), F.concat(places(run, 1), places(run, 0))).otherwise(places(run, 1)))
+    return prepared.select("ord", F.explode(keys).alias("key"))
 
 
-def _alike(pairs: DataFrame) -> DataFrame:
-    """Keeps pairs whose words are equal but for the place of the edit."""
+def _within_one_edit(a: Column, b: Column) -> Column:
+    """Whether two word lists differ by at most one word: what they share at both ends leaves one word at most."""
 
-    def without(words: str, out: str) -> Column:
-        n = F.size(words)
-        rest = F.slice(words, F.col("at") + F.col(out) + 1, n)
-        return F.concat(F.slice(words, F.lit(1), F.col("at")), rest)
+    def shared(x: Column, y: Column) -> Column:
+        short = F.least(F.size(x), F.size(y))
+        equal = F.zip_with(F.slice(x, F.lit(1), short), F.slice(y, F.lit(1), short), lambda u, v: u == v)
+        return _let(F.array_position(equal, False), lambda at: F.when(at == 0, short).otherwise(at - 1))
 
-    return pairs.where((F.abs(F.size("a") - F.size("b")) <= 1) & (without("a", "out") == without("b", "first_out")))
+    return shared(a, b) + shared(F.reverse(a), F.reverse(b)) >= F.greatest(F.size(a), F.size(b)) - 1
 
 
-def _near(occurrences: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Hashes of the lines to which an earlier, different line is alike."""
-    sides = occurrences.where(F.col("n") >= MIN_WORDS).select("doc", "pos", "h", "n", F.explode("sides").alias("s")).select("doc", "pos", "h", "s.key", "s.q", "s.end")
-    shared = sides.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    survivors = cut_lineage(
-        sides.join(shared, "key")
+def _candidates(occurrences: DataFrame) -> DataFrame:
+    """(h, first, q_first, q_last, longer) of the lines that share a beginning or an end with another line."""
+    sides = occurrences.where(F.col("n") >= MIN_WORDS).select("doc", "pos", "h", "n", F.explode("sides").alias("s"))
+    sides = sides.select("doc", "pos", "h", "n", "s.key", "s.q", "s.end")
+    shared = sides.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("n").alias("most")).where("low <> high").select("key", "most")
+    return (
+        sides.join(_sent(cut_lineage(shared)), "key")
         .groupBy("h")
         .agg(
             F.min(F.struct("doc", "pos")).alias("first"),
             F.min(F.when(F.col("end") == 0, F.col("q"))).alias("q_first"),
             F.min(F.when(F.col("end") == 1, F.col("q"))).alias("q_last"),
+            F.max(F.col("most") > F.col("n")).alias("longer"),
         )
     )
-    # a set of checked size goes to every task, a larger one is joined by a shuffle
-    wanted = F.broadcast(survivors) if survivors.count() <= SENT_ROWS else survivors
-    lines = _lines(docs, id_col, text_col).withColumn("h", F.xxhash64("words")).where(F.size("words") >= MIN_WORDS)
-    lines = lines.join(wanted, "h").where(F.struct("doc", "pos").eqNullSafe(F.col("first")))
-    lines = cut_lineage(lines.select("h", "first", "words", F.size("words").alias("n"), "q_first", "q_last").dropDuplicates(["h"]))
+
+
+def _near(occurrences: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Hashes of the lines to which an earlier, different line is alike."""
+    per_doc = _candidates(occurrences).groupBy(F.col("first.doc").alias("_doc"))
+    wanted = cut_lineage(per_doc.agg(F.collect_list(F.struct("first.pos", "h", "q_first", "q_last", "longer")).alias("wanted")))
+    source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
+    met = source.join(_sent(wanted, F.size("wanted")), F.col("doc").eqNullSafe(F.col("_doc")))
+    lines = met.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("c"))
+    lines = lines.select("doc", "c.*", _words(F.get("lines", F.col("c.pos"))).alias("words")).dropDuplicates(["h"])
+    # numbered in the order of the documents, so the earliest line has the smallest number
+    ordered = lines.orderBy("doc", "pos").withColumn("ord", F.monotonically_increasing_id())
+    lines = cut_lineage(ordered.select("ord", "h", "words", F.size("words").alias("n"), "q_first", "q_last", "longer"))
 
     around = cut_lineage(_neighbourhood(lines))
-    earliest = around.groupBy("key").agg(F.min(F.struct("first", "h", "out")).alias("e"), F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high")
-    pairs = around.join(earliest, "key").where(F.col("first") > F.col("e.first"))
-    pairs = pairs.select("h", "at", "out", F.col("e.h").alias("first_h"), F.col("e.out").alias("first_out")).distinct()
-    texts = lines.select("h", "words")
-    both = pairs.join(texts.withColumnRenamed("words", "a"), "h").join(texts.select(F.col("h").alias("first_h"), F.col("words").alias("b")), "first_h")
-    return _alike(both).select("h").distinct()
+    shared = around.groupBy("key").agg(F.min("ord").alias("earliest"), F.max("ord").alias("latest")).where("earliest < latest")
+    pairs = around.join(_sent(cut_lineage(shared.select("key", "earliest"))), "key").where("ord > earliest").select("ord", "earliest").distinct()
+    texts = lines.select("ord", "words")
+    later = pairs.join(lines.select("ord", "h", F.col("words").alias("a")), "ord")
+    both = later.join(texts.select(F.col("ord").alias("earliest"), F.col("words").alias("b")), "earliest")
+    return both.where(_within_one_edit(F.col("a"), F.col("b"))).select("h").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,25 +171,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lose nothing.  Rows that share an id count as one document, so equal rows
     keep the same lines; a null id comes before all others.
     """
-    lines = _lines(docs, id_col, text_col).withColumn("n", F.size("words"))
-    sides = F.when(F.col("n") >= MIN_WORDS, _sides(F.col("words"), F.col("n")))
-    occurrences = cut_lineage(lines.select("doc", "pos", F.xxhash64("words").alias("h"), "n", sides.alias("sides")))
+    occurrences = cut_lineage(_occurrences(docs, id_col, text_col))
     near = _near(occurrences, docs, id_col, text_col).withColumn("near", F.lit(True))
-    # a row per line and document already counts as often as the line stands there
     first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("times"))
-    losing = first.join(near, "h", "left").where("times > 1 or near")
+    losing = first.join(near, "h", "left").where("times > 1 or near").select("h", "first", "near")
     here = F.struct("doc", "pos")
     gone = (
         occurrences.select("doc", "pos", "h")
-        .join(losing, "h")
+        .join(_sent(cut_lineage(losing)), "h")
         .withColumn("equal", ~here.eqNullSafe(F.col("first")))
         .where("equal or near")
     )
-    return gone.groupBy("doc").agg(
-        F.sort_array(F.collect_set("pos")).alias("removed"),
-        F.count_distinct(F.when(F.col("equal"), F.col("pos"))).alias("n_equal"),
-        F.count_distinct(F.when(~F.col("equal"), F.col("pos"))).alias("n_near"),
-    )
+    lines = F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "equal"))))
+    count = lambda equal: F.size(F.filter("gone", lambda g: g["equal"] == equal)).cast("long")
+    per_doc = gone.groupBy("doc").agg(lines.alias("gone"))
+    return per_doc.select("doc", F.col("gone.pos").alias("removed"), count(True).alias("n_equal"), count(False).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,16 +195,19 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that loses none stays as it is, null included.  Input columns named like a
     result are replaced.
     """
-    lost = repeated_lines(docs, id_col, text_col).withColumnRenamed("doc", "_doc")
+    lost = cut_lineage(repeated_lines(docs, id_col, text_col).withColumnRenamed("doc", "_doc"))
     rows = docs.drop(*[c for c in ("n_lines", "n_equal", "n_near", "removed") if c not in (id_col, text_col)])
-    joined = rows.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    lines = F.split(F.col(f"`{text_col}`"), "\n")
-    n_lines = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(f"`{text_col}`").isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    shorter = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-    text = F.when(F.col("removed").isNull(), F.col(f"`{text_col}`")).when(F.size("removed") == F.col("n_lines"), F.lit("")).otherwise(shorter)
-    out = joined.withColumn("n_lines", n_lines).withColumn(text_col, text)
+    joined = rows.join(_sent(lost, F.size("removed")), F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    text = F.col(f"`{text_col}`")
+    # what follows the first word's beginning up to the newline: one match per line with a word
+    n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
+
+    def less(lines: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    shorter = F.when(F.col("removed").isNull(), text).when(F.size("removed") == F.col("n_lines"), F.lit("")).otherwise(_let(F.split(text, "\n"), less))
+    out = joined.withColumn("n_lines", n_lines).withColumn(text_col, shorter)
     return out.withColumns({
         "n_equal": F.coalesce("n_equal", F.lit(0).cast("long")),
         "n_near": F.coalesce("n_near", F.lit(0).cast("long")),
