@@ -161,6 +161,12 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows whose score stays below the threshold, with their columns unchanged."""
-    judged = score(docs, train(docs, labels, text_col=text_col), text_col, "_toxicity")
+    """The rows whose score stays below the threshold, with their columns unchanged.
+
+    Without labels of both kinds nothing can be learned, and no row goes.
+    """
+    model = train(docs, labels, text_col=text_col)
+    if not model.coefficient.any():
+        return docs
+    judged = score(docs, model, text_col, "_toxicity")
     return judged.where(F.col("_toxicity") < threshold).drop("_toxicity")
