@@ -15,6 +15,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -27,6 +28,7 @@ from panelwright.llm.vocabulary import ByteBpe, PreTokens, parse
 
 #: Pre-tokens a worker remembers; a full memory is emptied, which costs time and changes no token.
 REMEMBERED = 300_000
+_NO_RULE = (1 << 62, -1)
 
 
 def sufficient_lookahead(merges: Iterable[tuple[bytes, bytes]]) -> int:
@@ -59,27 +61,21 @@ class Transducer:
     def tokens(self, piece: bytes) -> list[int]:
         """All tokens of a byte string that is read to its end."""
         ids = [self.byte_id[b] for b in piece]
-        rule = self.rule
-        if len(ids) > 24:
+        if len(ids) > 64:
             return self._by_heap(ids)
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:], strict=False):
-                found = rule.get(pair)
-                if found is not None and (best is None or found < best[0]):
-                    best = found, pair
-            if best is None:
+        rule, none = self.rule.get, _NO_RULE
+        waiting = [rule(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        while waiting:
+            best = min(waiting)
+            if best is none:
                 break
-            (_, made), (a, b) = best
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                    out.append(made)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = waiting.index(best)
+            ids[i] = best[1]
+            del ids[i + 1], waiting[i]
+            if i < len(waiting):
+                waiting[i] = rule((ids[i], ids[i + 1]), none)
+            if i:
+                waiting[i - 1] = rule((ids[i - 1], ids[i]), none)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
@@ -171,9 +167,12 @@ class Codec:
 
     def _encode(self, piece: str) -> bytes:
         raw = piece.encode()
-        encoder = Encoder(self.rules)
-        ids = [*encoder.feed(raw), *encoder.finish()]
-        out = np.array(ids, "<u4").tobytes()
+        if len(raw) <= self.rules.lookahead:  # no token of it is stable before its end
+            ids = self.rules.tokens(raw)
+        else:
+            encoder = Encoder(self.rules)
+            ids = [*encoder.feed(raw), *encoder.finish()]
+        out = struct.pack(f"<{len(ids)}I", *ids)
         if len(raw) <= 256:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
