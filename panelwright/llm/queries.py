@@ -77,6 +77,20 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: The query's key; whoever replaces real data passes a secret one.
+SURROGATE_KEY = "panelwright"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities replaced in every document, and a digest of the new text."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.pii_surrogates import replace
+
+    out = replace(_read(spark, sf_dir, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return out.select("doc_id", "n_entities", F.concat_ws(",", "kinds").alias("kinds"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     from pyspark.sql import functions as F
@@ -128,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_crf": op1_quality_crf,
         "op2_ngram_join": op2_ngram_join,
+        "op3_pii_surrogates": op3_pii_surrogates,
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
