@@ -50,6 +50,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under the learned model and the additive unigram model."""
+    from panelwright.llm.pitman_yor import score_documents
+
+    return score_documents(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the current policy's verdict for every document."""
     from panelwright.llm import rule_ledger as rules
@@ -147,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_token_counts": op5_token_counts,
         "op6_bpe_round_trip": op6_bpe_round_trip,
         "op7_line_dedup": op7_line_dedup,
+        "op8_pitman_yor": op8_pitman_yor,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
         "pipeline": pipeline,
