@@ -14,9 +14,19 @@ from panelwright.operators import graph, regimes, series
 YEAR = 2000
 
 
+_FITTED: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def fitted(m: Market) -> dict[str, DataFrame]:
-    rows = local_year(m).where(F.col("year") <= YEAR)
-    return regimes.fit_fuel_regimes(rows, (2, 3), min_years=6, restarts=2, max_rounds=25)
+    """The full search, once per application and folder: six queries read it.
+
+    The tables hold seven years, so sequences of six are long enough here; the operator's default is eight.
+    """
+    key = (m.spark.sparkContext.applicationId, m.sf_dir)
+    if key not in _FITTED:
+        rows = local_year(m).where(F.col("year") <= YEAR)
+        _FITTED[key] = regimes.fit_fuel_regimes(rows, (2, 3, 4), min_years=6, restarts=4, max_rounds=200)
+    return _FITTED[key]
 
 
 @query("reg_01_hmm_transitions")

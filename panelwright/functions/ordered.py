@@ -10,6 +10,7 @@ exact, and no task sees more than about 1/buckets of a hot group.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,13 @@ from panelwright.session import cut_lineage
 BUCKETS = 64
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null: null meets null, and the keys come from the left side."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -37,7 +45,7 @@ def prefix_sums(
     edges = df.groupBy(*keys).agg(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_edges")
     )
-    cut = df.join(edges, on=keys, how="left").withColumn(
+    cut = same_keys_join(df, edges, keys, "left").withColumn(
         "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))
     ).drop("_edges")
     totals = cut.groupBy(*keys, "_bucket").agg(
@@ -57,7 +65,7 @@ def prefix_sums(
     running = cut.select(
         "*", *[F.sum(source).over(inside).alias(f"_r_{out}") for out, source in sums.items()]
     )
-    joined = running.join(offsets, on=[*keys, "_bucket"], how="inner")
+    joined = same_keys_join(running, offsets, [*keys, "_bucket"])
     return joined.select(
         *df.columns, *[(F.col(f"_r_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums]
     )
@@ -96,8 +104,7 @@ def hash_positions(
     )
     inside = Window.partitionBy(*keys, "_part").orderBy("_h", tie)
     return (
-        placed.withColumn("_k", F.row_number().over(inside))
-        .join(offsets, [*keys, "_part"])
+        same_keys_join(placed.withColumn("_k", F.row_number().over(inside)), offsets, [*keys, "_part"])
         .withColumn(out, F.col("_before") + F.col("_k"))
         .drop("_h", "_part", "_k", "_before")
     )

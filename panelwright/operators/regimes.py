@@ -1,14 +1,16 @@
 """Latent regimes: a Gaussian hidden Markov model over many sequences.
 
 The sequences stay distributed as one array row per entity.  Each EM round is
-one job for all (k, restart) models at once: tasks run forward-backward over
-their sequences and emit sums, Spark adds the sums, and the driver turns them
-into the next parameters.
+one job for all (k, restart) models at once: tasks run the recursions over their
+sequences, all of one length together, and emit sums; Spark adds them, and the
+driver turns them into the next parameters.  Everything is kept as logarithms,
+so likelihoods are exact densities and comparable across models.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -20,12 +22,31 @@ from panelwright.session import cut_lineage
 
 FUEL_COLUMNS = ["petrol_share", "diesel_share", "cng_share", "ev_share", "hybrid_share"]
 VARIANCE_FLOOR = 1e-4
-Params = dict[str, np.ndarray]
 Key = tuple[int, int]
 
 assert sorted(FUEL_COLUMNS) == sorted(SHARE_COLUMNS)
 
 
+@dataclass(frozen=True)
+class Hmm:
+    """Logarithms of the first state's and the moves' probabilities; centre and variance per state and column."""
+
+    log_first: np.ndarray
+    log_move: np.ndarray
+    centre: np.ndarray
+    variance: np.ndarray
+
+    @property
+    def move(self) -> np.ndarray:
+        return np.exp(self.log_move)
+
+    def log_density(self, x: np.ndarray) -> np.ndarray:
+        """Log density of each point (sequence, step, column) in each state."""
+        precision = 1 / self.variance
+        square = (x**2) @ precision.T - 2 * x @ (self.centre * precision).T + (self.centre**2 * precision).sum(1)
+        return -0.5 * (square + np.log(2 * np.pi * self.variance).sum(1))
+
+
 def sequences(
     df: DataFrame, entity: str, order: str, columns: Sequence[str], min_length: int = 8
 ) -> DataFrame:
@@ -44,152 +65,130 @@ def sequences(
     )
 
 
-def _matrix(x) -> np.ndarray:
-    return np.array([np.asarray(row, dtype=float) for row in x])
-
-
-def _emissions(x: np.ndarray, p: Params, rescaled: bool) -> tuple[np.ndarray, float]:
-    """State likelihoods per step; rescaled by the step maximum unless the exact value is asked."""
-    diff = x[:, None, :] - p["means"][None]
-    log_p = -0.5 * (
-        (diff**2 / p["vars"][None]).sum(axis=2) + np.log(2 * np.pi * p["vars"]).sum(axis=1)[None]
-    )
-    top = log_p.max(axis=1, keepdims=True)
-    return np.maximum(np.exp(log_p - top), 1e-300), 0.0 if rescaled else float(top.sum())
-
-
-def _expected(x: np.ndarray, p: Params, rescaled: bool) -> list[float]:
-    """Sufficient statistics of one sequence, flattened."""
-    b, offset = _emissions(x, p, rescaled)
-    steps, k = b.shape
-    alpha, beta, scale = np.zeros((steps, k)), np.ones((steps, k)), np.zeros(steps)
-    forward = p["start"] * b[0]
-    for t in range(steps):
-        if t:
-            forward = (alpha[t - 1] @ p["trans"]) * b[t]
-        scale[t] = forward.sum()
-        alpha[t] = forward / scale[t]
-    for t in range(steps - 2, -1, -1):
-        beta[t] = p["trans"] @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-    gamma = alpha * beta
-    gamma /= gamma.sum(axis=1, keepdims=True)
-    joint = alpha[:-1, :, None] * p["trans"][None] * (b[1:] * beta[1:])[:, None, :]
-    pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-    return [
-        float(np.log(scale).sum() + offset),
-        *gamma[0],
-        *pairs.ravel(),
-        *gamma.sum(axis=0),
-        *(gamma.T @ x).ravel(),
-        *(gamma.T @ (x * x)).ravel(),
-    ]
-
-
-def _next_params(sums: np.ndarray, k: int, d: int) -> tuple[float, Params]:
-    cuts = np.cumsum([1, k, k * k, k, k * d])
-    ll, start, pairs, weight, first, second = np.split(sums, cuts)
-    pairs = pairs.reshape(k, k)
-    weight = np.maximum(weight, 1e-12)
-    means = first.reshape(k, d) / weight[:, None]
-    spread = second.reshape(k, d) / weight[:, None] - means**2
-    return float(ll[0]), {
-        "start": start / start.sum(),
-        "trans": pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1e-12),
-        "means": means,
-        "vars": np.maximum(spread, VARIANCE_FLOOR),
-    }
-
-
-def _initial(seqs: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> dict[Key, Params]:
-    """Distinct observations drawn by hash as means, the global variance, sticky transitions."""
+def _log_sum(values: np.ndarray, axis: int) -> np.ndarray:
+    return np.logaddexp.reduce(values, axis=axis)
+
+
+def _by_length(rows) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, points) of the sequences of each length, stacked."""
+    stacked: dict[int, list[int]] = {}
+    points = [np.stack([np.asarray(v, dtype=float) for v in x]) for x in rows]
+    for i, x in enumerate(points):
+        stacked.setdefault(len(x), []).append(i)
+    for places in stacked.values():
+        yield np.array(places), np.stack([points[i] for i in places])
+
+
+def _sums(x: np.ndarray, model: Hmm) -> np.ndarray:
+    """What EM needs of sequences of one length: log likelihood, first states, moves, weights and moments."""
+    density = model.log_density(x)
+    steps = x.shape[1]
+    ahead = [model.log_first + density[:, 0]]
+    for t in range(1, steps):
+        ahead.append(_log_sum(ahead[-1][:, :, None] + model.log_move, 1) + density[:, t])
+    behind = [np.zeros_like(ahead[0])]
+    for t in range(steps - 1, 0, -1):
+        behind.append(_log_sum(model.log_move + (density[:, t] + behind[-1])[:, None, :], 2))
+    forward, backward = np.stack(ahead, 1), np.stack(behind[::-1], 1)
+    likelihood = _log_sum(ahead[-1], 1)
+    state = np.exp(forward + backward - likelihood[:, None, None])
+    moves = forward[:, :-1, :, None] + model.log_move + (density + backward)[:, 1:, None, :] - likelihood[:, None, None, None]
+    first, second = np.einsum("ntk,ntd->kd", state, x), np.einsum("ntk,ntd->kd", state, x**2)
+    parts = [likelihood.sum(), state[:, 0].sum(0), np.exp(moves).sum((0, 1)), state.sum((0, 1)), first, second]
+    return np.concatenate([np.ravel(p) for p in parts])
+
+
+def _improved(sums: np.ndarray, k: int, d: int) -> tuple[float, Hmm]:
+    """Log likelihood of the model that gave the sums, and the model they lead to."""
+    sizes = [1, k, k * k, k, k * d]
+    likelihood, first, moves, weight, linear, square = np.split(sums, np.cumsum(sizes))
+    moves, weight = moves.reshape(k, k), weight[:, None]
+    seen = weight > 0
+    centre = np.divide(linear.reshape(k, d), weight, out=np.zeros((k, d)), where=seen)
+    variance = np.divide(square.reshape(k, d), weight, out=np.zeros((k, d)), where=seen) - centre**2
+    left = moves.sum(1, keepdims=True)
+    share = np.where(left > 0, moves / np.where(left > 0, left, 1), 1 / k)
+    with np.errstate(divide="ignore"):
+        return float(likelihood[0]), Hmm(np.log(first / first.sum()), np.log(share), centre, np.maximum(variance, VARIANCE_FLOOR))
+
+
+def _first_models(seqs: DataFrame, ks: Sequence[int], restarts: int, seed: int) -> dict[Key, Hmm]:
+    """Points in the order of a seeded hash as centres, the global variance, moves that mostly stay."""
     points = seqs.select("entity", F.posexplode("x").alias("i", "v"))
     d = len(points.first()["v"])
     spread = points.agg(*[F.var_pop(F.get("v", F.lit(j))) for j in range(d)]).first()
-    variance = np.maximum(np.array([float(s) for s in spread]), VARIANCE_FLOOR)
-    out: dict[Key, Params] = {}
+    variance = np.maximum(np.array(spread, dtype=float), VARIANCE_FLOOR)
+    models: dict[Key, Hmm] = {}
     for r in range(restarts):
         drawn = points.orderBy(F.xxhash64(F.lit(seed + r), "entity", "i"), "entity", "i").limit(max(ks)).collect()
+        centres = np.array([list(row["v"]) for row in drawn], dtype=float)
         for k in ks:
-            trans = np.full((k, k), 0.1 / max(k - 1, 1))
-            np.fill_diagonal(trans, 0.9)
-            out[(k, r)] = {
-                "start": np.full(k, 1 / k),
-                "trans": trans,
-                "means": np.array([list(row["v"]) for row in drawn[:k]], dtype=float),
-                "vars": np.tile(variance, (k, 1)),
-            }
-    return out
+            stay = np.eye(k) if k == 1 else 0.9 * np.eye(k) + 0.1 / (k - 1) * (1 - np.eye(k))
+            models[k, r] = Hmm(np.full(k, -np.log(k)), np.log(stay), centres[:k], np.repeat(variance[None], k, 0))
+    return models
 
 
 def fit_models(
-    seqs: DataFrame, ks: Sequence[int], restarts: int = 4, max_rounds: int = 200, tolerance: float = 1e-5,
-    seed: int = 42, rescaled: bool = True,
-) -> dict[Key, tuple[float, Params]]:
-    """EM for every (k, restart); a model leaves the loop once its likelihood settles."""
-    params = _initial(seqs, ks, restarts, seed)
-    d = next(iter(params.values()))["means"].shape[1]
-    done: dict[Key, tuple[float, Params]] = {}
-    previous: dict[Key, float] = {}
+    seqs: DataFrame, ks: Sequence[int], restarts: int = 4, max_rounds: int = 200, tolerance: float = 1e-5, seed: int = 42
+) -> dict[Key, tuple[float, Hmm, bool]]:
+    """EM for every (k, restart): log likelihood, model, and whether it settled within ``max_rounds``."""
+    models = _first_models(seqs, ks, restarts, seed)
+    d = next(iter(models.values())).centre.shape[1]
+    last = {key: -np.inf for key in models}
+    settled: set[Key] = set()
     for _ in range(max_rounds):
-        active = {key: p for key, p in params.items() if key not in done}
-        if not active:
+        running = {key: m for key, m in models.items() if key not in settled}
+        if not running:
             break
 
-        def expect(batches: Iterator[pd.DataFrame], active: dict[Key, Params] = active) -> Iterator[pd.DataFrame]:
-            totals: dict[Key, np.ndarray] = {}
+        def add_up(batches: Iterator[pd.DataFrame], running: dict[Key, Hmm] = running) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                for x in batch["x"]:
-                    seq = _matrix(x)
-                    for key, p in active.items():
-                        totals[key] = totals.get(key, 0.0) + np.array(_expected(seq, p, rescaled))
-            for (k, r), sums in totals.items():
-                yield pd.DataFrame({"k": k, "r": r, "i": range(len(sums)), "v": sums})
-
-        rows = (
-            seqs.select("x").mapInPandas(expect, "k int, r int, i int, v double")
-            .groupBy("k", "r", "i").agg(F.sum("v").alias("v")).collect()
-        )
-        sums: dict[Key, np.ndarray] = {
-            key: np.zeros(1 + 2 * key[0] + key[0] ** 2 + 2 * key[0] * d) for key in active
-        }
-        for row in rows:
-            sums[(row["k"], row["r"])][row["i"]] = row["v"]
-        for key in active:
-            ll, params[key] = _next_params(sums[key], key[0], d)
-            before = previous.get(key)
-            if before is not None and abs(ll - before) < tolerance * abs(before):
-                done[key] = (ll, params[key])
-            previous[key] = ll
-    for key, p in params.items():
-        done.setdefault(key, (previous[key], p))
-    return done
+                groups = [x for _, x in _by_length(batch["x"])]
+                for (k, r), model in running.items():
+                    total = sum(_sums(x, model) for x in groups)
+                    yield pd.DataFrame({"k": k, "r": r, "i": np.arange(len(total)), "v": total})
+
+        parts = seqs.select("x").mapInPandas(add_up, "k int, r int, i int, v double")
+        sums = parts.groupBy("k", "r", "i").agg(F.sum("v").alias("v")).toPandas().set_index(["k", "r", "i"])["v"].sort_index()
+        for key in running:
+            likelihood, models[key] = _improved(sums.loc[key].to_numpy(), key[0], d)
+            if abs(likelihood - last[key]) < tolerance * abs(likelihood):
+                settled.add(key)
+            last[key] = likelihood
+    return {key: (last[key], model, key in settled) for key, model in models.items()}
 
 
 def parameter_count(k: int, d: int) -> int:
     return (k - 1) + k * (k - 1) + 2 * k * d
 
 
-def viterbi(seqs: DataFrame, p: Params) -> DataFrame:
-    """Most likely state per entity and time."""
+def best_paths(x: np.ndarray, model: Hmm) -> np.ndarray:
+    """Most likely states of sequences of one length; ties go to the lower state."""
+    density = model.log_density(x)
+    best, origin = model.log_first + density[:, 0], []
+    for t in range(1, x.shape[1]):
+        reached = best[:, :, None] + model.log_move
+        origin.append(reached.argmax(1))
+        best = np.take_along_axis(reached, origin[-1][:, None, :], 1)[:, 0] + density[:, t]
+    path = [best.argmax(1)]
+    for came in reversed(origin):
+        path.insert(0, np.take_along_axis(came, path[0][:, None], 1)[:, 0])
+    return np.stack(path, 1)
+
 
-    def path(x: np.ndarray) -> np.ndarray:
-        b = np.log(_emissions(x, p, True)[0])
-        log_t = np.log(np.maximum(p["trans"], 1e-300))
-        score = np.log(np.maximum(p["start"], 1e-300)) + b[0]
-        back = np.zeros(b.shape, dtype=int)
-        for t in range(1, len(b)):
-            options = score[:, None] + log_t
-            back[t] = options.argmax(axis=0)
-            score = options.max(axis=0) + b[t]
-        states = [int(score.argmax())]
-        for t in range(len(b) - 1, 0, -1):
-            states.append(int(back[t, states[-1]]))
-        return np.array(states[::-1])
+def viterbi(seqs: DataFrame, model: Hmm) -> DataFrame:
+    """Most likely state per entity and time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for entity, times, x in zip(batch["entity"], batch["times"], batch["x"], strict=True):
-                yield pd.DataFrame({"entity": entity, "time": times, "regime": path(_matrix(x))})
+            for places, x in _by_length(batch["x"]):
+                steps = x.shape[1]
+                rows = batch.iloc[places]
+                yield pd.DataFrame({
+                    "entity": np.repeat(rows["entity"].to_numpy(), steps),
+                    "time": np.concatenate(rows["times"].to_list()),
+                    "regime": best_paths(x, model).ravel(),
+                })
 
     return seqs.mapInPandas(run, f"entity {dict(seqs.dtypes)['entity']}, time bigint, regime bigint")
 
@@ -214,47 +213,37 @@ def label_regimes(means: DataFrame, columns: Sequence[str], regime: str = "regim
 
 def fit_fuel_regimes(
     panel_year: DataFrame, ks: Sequence[int] = (2, 3, 4), min_years: int = 8, restarts: int = 4,
-    max_rounds: int = 200, order: str = "year", rescaled: bool = True,
+    max_rounds: int = 200, order: str = "year",
 ) -> dict[str, DataFrame]:
     """Model choice by BIC, regime calendar, labelled means and transition matrix.
 
-    Likelihoods use rescaled emissions by default, comparable across models of the same data;
-    ``rescaled=False`` gives exact densities.
+    ``selection`` also tells whether the best restart of each k settled within ``max_rounds``.
     """
     spark = panel_year.sparkSession
-    seqs = cut_lineage(
-        sequences(panel_year.where(F.col("state_code") != "ALL"), "state_code", order, FUEL_COLUMNS, min_years)
-    )
-    n = seqs.agg(F.sum(F.size("x"))).first()[0]
-    fitted = fit_models(seqs, ks, restarts, max_rounds, rescaled=rescaled)
+    local = panel_year.where(F.col("state_code") != "ALL")
+    seqs = cut_lineage(sequences(local, "state_code", order, FUEL_COLUMNS, min_years))
+    points = seqs.agg(F.sum(F.size("x"))).first()[0]
     d = len(FUEL_COLUMNS)
-    table = []
-    for k in ks:
-        r = max(range(restarts), key=lambda r, k=k: fitted[(k, r)][0])
-        ll = fitted[(k, r)][0]
-        size = parameter_count(k, d)
-        table.append((k, r, ll, 2 * size - 2 * ll, size * float(np.log(n)) - 2 * ll))
-    best = min(table, key=lambda row: (row[4], row[0]))
-    p = fitted[(best[0], best[1])][1]
+    fitted = fit_models(seqs, ks, restarts, max_rounds)
+    chosen = {k: max((fitted[k, r] for r in range(restarts)), key=lambda f: f[0]) for k in ks}
+    size = {k: parameter_count(k, d) for k in ks}
+    bic = {k: size[k] * float(np.log(points)) - 2 * chosen[k][0] for k in ks}
+    model = chosen[min(ks, key=lambda k: (bic[k], k))][1]
+    states = range(len(model.centre))
     means = spark.createDataFrame(
-        [(i, *map(float, row)) for i, row in enumerate(p["means"])],
-        "regime bigint, " + ", ".join(f"{c} double" for c in FUEL_COLUMNS),
+        [(i, *map(float, model.centre[i])) for i in states], "regime bigint, " + ", ".join(f"{c} double" for c in FUEL_COLUMNS)
     )
     labelled = label_regimes(means, FUEL_COLUMNS)
-    calendar = (
-        viterbi(seqs, p)
-        .withColumnsRenamed({"entity": "state_code", "time": order})
-        .join(labelled.select("regime", "regime_label"), "regime")
-    )
-    transitions = spark.createDataFrame(
-        [(i, j, float(v)) for i, row in enumerate(p["trans"]) for j, v in enumerate(row)],
-        "regime bigint, next_regime bigint, probability double",
-    )
+    names = labelled.select("regime", "regime_label")
+    calendar = viterbi(seqs, model).withColumnsRenamed({"entity": "state_code", "time": order}).join(names, "regime")
     return {
         "selection": spark.createDataFrame(
-            [row[:1] + row[2:] for row in table], "k bigint, loglik double, aic double, bic double"
+            [(k, chosen[k][0], 2 * size[k] - 2 * chosen[k][0], bic[k], chosen[k][2]) for k in ks],
+            "k bigint, loglik double, aic double, bic double, converged boolean",
         ),
         "calendar": calendar,
         "regime_means": labelled,
-        "transition_matrix": transitions,
+        "transition_matrix": spark.createDataFrame(
+            [(i, j, float(model.move[i, j])) for i in states for j in states], "regime bigint, next_regime bigint, probability double"
+        ),
     }

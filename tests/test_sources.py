@@ -99,7 +99,7 @@ def test_hmm_recovers_planted_regimes(frame):
             truth[(f"s{s}", 2000 + t)] = z
             rows.append((f"s{s}", 2000 + t, *[float(v) for v in np.array(means[z]) + rng.normal(0, 0.02, 5)]))
     df = frame(rows, "state_code string, year int, " + ", ".join(f"{c} double" for c in regimes.FUEL_COLUMNS))
-    fit = regimes.fit_fuel_regimes(df, (2, 3), restarts=2, max_rounds=40, rescaled=False)
+    fit = regimes.fit_fuel_regimes(df, (2, 3), restarts=2, max_rounds=40)
     chosen = min(fit["selection"].collect(), key=lambda r: r.bic)
     assert chosen.k == 2
     found = {(r.state_code, r.year): r.regime for r in fit["calendar"].collect()}
