@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -458,46 +459,70 @@ def degree_strength(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def eigenvector_centrality(
-    edges: DataFrame, tolerance: float = 1e-7, batch: int = 6, max_batches: int = 50
-) -> DataFrame:
-    """Leading eigenvector by power iteration, scaled to length one.
+def eigenvector_centrality(edges: DataFrame, tolerance: float = 1e-10, basis: int = 48) -> DataFrame:
+    """Leading eigenvector of the weighted adjacency, scaled to length one.
 
-    A loop of unit weight (relative to the mean strength) at every node keeps
-    bipartite graphs from oscillating and leaves the eigenvectors as they are.
-    Rounds run in batches; the length is taken once per batch.
+    Lanczos steps from the all-ones vector: each step is one join and one
+    aggregation, the new vector is made orthogonal to all before it, and the
+    small projected matrix gives the best vector they span.  After ``basis``
+    steps the search starts again from that vector, and it ends when the
+    residual is below ``tolerance`` times the eigenvalue, however many steps
+    that takes.  An edgeless graph has no rows.
     """
-    both = symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("weight"))
-    strength = both.groupBy("src").agg(F.sum("weight").alias("_s"))
-    loop = float(strength.agg(F.avg("_s")).first()[0] or 0.0) / 2
-    loops = strength.select("src", F.col("src").alias("dst"), F.lit(loop).alias("weight"))
-    links = cut_lineage(both.unionByName(loops))
-    state = cut_lineage(links.select(F.col("src").alias("node")).distinct().withColumn("v", F.lit(1.0)))
-    for _ in range(max_batches):
-        before = state
-        for _ in range(batch):
-            state = (
-                links.join(state.withColumnRenamed("node", "dst"), "dst")
-                .groupBy(F.col("src").alias("node"))
-                .agg(F.sum(F.col("weight") * F.col("v")).alias("v"))
-            )
-        grown = cut_lineage(state)
-        length = float(grown.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0])
-        state = grown.withColumn("v", F.col("v") / F.lit(length))
-        gap = state.join(before.withColumnRenamed("v", "_old"), "node").agg(
-            F.max(F.abs(F.col("v") - F.col("_old")))
-        ).first()[0]
-        if gap < tolerance:
+    links = cut_lineage(symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    nodes = links.select(F.col("src").alias("node")).distinct()
+    size = nodes.count()
+    if not size:
+        return nodes.withColumn("eigenvector", F.lit(0.0))
+    state = cut_lineage(nodes.withColumn("q", F.array(F.lit(1 / size**0.5))))
+    while True:
+        best, residual, value = _lanczos(links, state, min(basis, size), tolerance)
+        weights = F.array(*[F.lit(float(x)) for x in best[0]])
+        vector = F.aggregate(F.zip_with("q", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        state = cut_lineage(best[1].select("node", F.array(vector).alias("q")))
+        if residual <= tolerance * abs(value) or size <= basis:
             break
-    return state.select("node", F.col("v").alias("eigenvector"))
+    sign = -1.0 if state.agg(F.sum(F.element_at("q", 1))).first()[0] < 0 else 1.0
+    return state.select("node", (F.element_at("q", 1) * sign).alias("eigenvector"))
+
+
+def _lanczos(links: DataFrame, state: DataFrame, steps: int, tolerance: float):
+    """Up to ``steps`` orthonormal vectors as an array per node; their best combination, its residual and value."""
+    diagonal: list[float] = []
+    beside: list[float] = []
+    while True:
+        k = len(diagonal)
+        last = state.select(F.col("node").alias("dst"), F.get("q", F.lit(k)).alias("v"))
+        image = links.join(last, "dst").groupBy(F.col("src").alias("node")).agg(F.sum(F.col("weight") * F.col("v")).alias("w"))
+        grown = cut_lineage(state.join(image, "node"))
+        # made orthogonal twice, so that rounding does not bring earlier vectors back
+        w, square = F.col("w"), 0.0
+        for again in (False, True):
+            dots = [F.sum(F.get("q", F.lit(i)) * w) for i in range(k + 1)]
+            *parts, square = map(float, grown.agg(*dots, F.sum(w * w)).first())
+            if not again:
+                diagonal.append(parts[k])
+            w = sum((F.lit(-parts[i]) * F.get("q", F.lit(i)) for i in range(k + 1)), w)
+        length = max(square - sum(x * x for x in parts), 0.0) ** 0.5
+        small = np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1)
+        values, vectors = np.linalg.eigh(small)
+        residual = length * abs(vectors[-1, -1])
+        if residual <= tolerance * abs(values[-1]) or k + 1 == steps:
+            return (vectors[:, -1], grown.select("node", "q")), residual, float(values[-1])
+        beside.append(length)
+        state = grown.select("node", F.concat("q", F.array(w / length)).alias("q"))
 
 
 def betweenness(edges: DataFrame) -> DataFrame:
     """Weighted shortest-path betweenness, normalised; the weight is read as distance.
 
     All sources relax together as rows (source, node); path counts then move
-    outward along tight edges in hop order, and dependencies move back.
+    outward along tight edges in hop order, and dependencies move back.  A
+    distance must be above zero: with zeros there are endlessly many shortest
+    walks, with less than zero no shortest one, so both are refused.
     """
+    if not edges.where(~(F.col("weight") > 0)).isEmpty():
+        raise ValueError("betweenness reads weights as distances; they must be above zero")
     links = cut_lineage(symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("w")))
     nodes = cut_lineage(links.select(F.col("src").alias("node")).distinct())
     dist = cut_lineage(nodes.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
@@ -592,15 +617,15 @@ def modularity(edges: DataFrame, membership: DataFrame, keys: Sequence[str] = ()
     )
 
 
-def communities(
-    edges: DataFrame, keys: Sequence[str] = (), max_levels: int = 4, max_rounds: int = 6
-) -> DataFrame:
+def communities(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Communities by rounds of best modularity moves and contraction, many graphs at once.
 
     A node takes the neighbouring community of largest gain (ties to the smallest
     id).  Even rounds allow moves to smaller ids only and odd rounds to larger
-    ones, so two nodes never swap places for ever.  Levels contract communities to nodes until
-    nothing moves.
+    ones, so two nodes never swap places for ever.  A level ends when a pair of
+    rounds moves nothing, or no longer raises the modularity (summed over the
+    graphs); its best membership counts.  Levels contract communities to nodes
+    until nothing moves.
     """
     keys = list(keys)
     base = cut_lineage(
@@ -611,7 +636,7 @@ def communities(
     level_edges = symmetrised(base, keys)
     loops = None
     total = cut_lineage(base.groupBy(*keys, F.lit(1).alias("_one")).agg((2 * F.sum("weight")).alias("_m2")))
-    for _ in range(max_levels):
+    for _ in count():
         level_edges = cut_lineage(level_edges)
         strength = level_edges.groupBy(*keys, F.col("src").alias("node")).agg(F.sum("weight").alias("k"))
         if loops is not None:
@@ -621,7 +646,8 @@ def communities(
         state = cut_lineage(strength.withColumn("community", F.col("node")))
         moved_any = False
         pair_moved = False
-        for round_no in range(max_rounds):
+        best_state, best_score = state, _level_score(level_edges, loops, state, total, keys)
+        for round_no in count():
             mass = state.groupBy(*keys, "community").agg(F.sum("k").alias("_kc"))
             toward = (
                 level_edges.join(
@@ -662,8 +688,16 @@ def communities(
             state = fresh.drop("_moved")
             moved_any = moved_any or moves > 0
             pair_moved = moves > 0 or (round_no % 2 == 1 and pair_moved)
-            if round_no % 2 == 1 and not pair_moved:
-                break
+            if round_no % 2 == 1:
+                reached = _level_score(level_edges, loops, state, total, keys)
+                if reached > best_score + 1e-9:
+                    best_state, best_score = state, reached
+                else:
+                    pair_moved = False
+                if not pair_moved:
+                    break
+        state = best_state
+        moved_any = not state.where(F.col("community") != F.col("node")).isEmpty()
         if not moved_any:
             break
         membership = cut_lineage(
@@ -691,6 +725,22 @@ def communities(
     return membership
 
 
+def _level_score(level_edges: DataFrame, loops: DataFrame | None, state: DataFrame, total: DataFrame, keys: list[str]) -> float:
+    """Modularity of a level's membership, summed over the graphs."""
+    a = state.select(*keys, F.col("node").alias("src"), F.col("community").alias("_a"))
+    b = state.select(*keys, F.col("node").alias("dst"), F.col("community").alias("_b"))
+    inside = level_edges.join(a, [*keys, "src"]).join(b, [*keys, "dst"]).where(F.col("_a") == F.col("_b"))
+    held = inside.select(*keys, "weight")
+    if loops is not None:
+        held = held.unionByName(loops.select(*keys, F.col("w").alias("weight")))
+    one = F.lit(1).alias("_one")
+    within = held.groupBy(*keys, one).agg(F.sum("weight").alias("_in"))
+    mass = state.groupBy(*keys, "community").agg(F.sum("k").alias("_k")).groupBy(*keys, one).agg(F.sum(F.col("_k") * F.col("_k")).alias("_kk"))
+    parts = total.join(mass, [*keys, "_one"]).join(within, [*keys, "_one"], "left")
+    share = F.coalesce("_in", F.lit(0.0)) / F.col("_m2") - F.col("_kk") / (F.col("_m2") * F.col("_m2"))
+    return float(parts.agg(F.sum(share)).first()[0] or 0.0)
+
+
 def community_summary(edges: DataFrame, nodes: DataFrame, membership: DataFrame) -> DataFrame:
     """Members by kind and internal and cross weight per community."""
     named = membership.join(nodes, "node")
