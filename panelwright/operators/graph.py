@@ -521,7 +521,7 @@ def betweenness(edges: DataFrame) -> DataFrame:
     distance must be above zero: with zeros there are endlessly many shortest
     walks, with less than zero no shortest one, so both are refused.
     """
-    if not edges.where(~(F.col("weight") > 0)).isEmpty():
+    if not edges.where(~F.coalesce(F.col("weight") > 0, F.lit(False))).isEmpty():
         raise ValueError("betweenness reads weights as distances; they must be above zero")
     links = cut_lineage(symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("w")))
     nodes = cut_lineage(links.select(F.col("src").alias("node")).distinct())
