@@ -215,7 +215,7 @@ def holdout(m: Market) -> DataFrame:
 
 @query("grf_11_rewiring_null")
 def rewiring_null(m: Market) -> DataFrame:
-    return graph.rewiring_null_test(borders(m), adoption(m), replicates=100, rounds=6)
+    return graph.rewiring_null_test(borders(m), adoption(m), replicates=200, rounds=12)
 
 
 @query(

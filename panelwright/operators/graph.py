@@ -973,11 +973,12 @@ def morans_i(
 
 
 def threshold_cascade(
-    neighbours: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_rounds: int = 30
+    neighbours: DataFrame, seeds: DataFrame, keys: Sequence[str] = (), max_rounds: int | None = None
 ) -> DataFrame:
     """Synchronous spread: a node adopts once its adopted share of neighbours reaches tau.
 
     ``seeds`` has (keys, node, tau); every key is one run.  Returns (keys, node, step).
+    Ends when no node adopts any more, or after ``max_rounds`` if that is given.
     """
     keys = list(keys)
     stable = cut_lineage(neighbours.select("src", "dst"))
@@ -985,7 +986,7 @@ def threshold_cascade(
     links = cut_lineage(stable.join(degree, "src"))
     seeds = seeds.join(stable.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
     state = cut_lineage(seeds.select(*keys, "node", "tau", F.lit(0).alias("step")).distinct())
-    for i in range(1, max_rounds + 1):
+    for i in count(1) if max_rounds is None else range(1, max_rounds + 1):
         reach = (
             state.select(*keys, "tau", F.col("node").alias("dst"))
             .join(links, "dst")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.sources.reference import named_offenders
+
 REQUIRED_KEYS = ("regions", "makers", "fuels", "data", "meta")
 
 BUNDLE_SCHEMA = (
@@ -122,9 +124,9 @@ def meta_table(bundles: DataFrame) -> DataFrame:
 def resolve_states(facts: DataFrame, dim_state: DataFrame) -> DataFrame:
     """Adds the state code by name; any unknown name stops the load."""
     names = dim_state.select("state_name", "state_code")
-    unknown = facts.join(names, "state_name", "left_anti").select("state_name").distinct().limit(20).collect()
-    if unknown:
-        raise ValueError(f"states missing from the dimension: {sorted(r[0] for r in unknown)}")
+    unknown = facts.join(names, "state_name", "left_anti").select("state_name").distinct()
+    if offenders := named_offenders(unknown):
+        raise ValueError(f"states missing from the dimension: {offenders}")
     return facts.join(names, "state_name", "left").select("state_code", *facts.columns)
 
 

@@ -26,13 +26,22 @@ def read_reference_csv(spark: SparkSession, path: str, schema: str | None = None
     return reader.csv(path)
 
 
+def named_offenders(rows: DataFrame, shown: int = 20) -> str:
+    """The first rows of a list of offenders and how many there are in all; empty without any."""
+    first = rows.orderBy(*rows.columns).limit(shown).collect()
+    if not first:
+        return ""
+    names = ", ".join(str(r[0] if len(r) == 1 else tuple(r)) for r in first)
+    return names if len(first) < shown else f"{names} ({rows.count()} in all)"
+
+
 def check_states(states: DataFrame) -> DataFrame:
     missing = sorted(set(STATE_COLUMNS) - set(states.columns))
     if missing:
         raise ValueError(f"state dimension misses columns: {missing}")
-    doubled = states.groupBy("state_code").count().where("count > 1").limit(20).collect()
-    if doubled:
-        raise ValueError(f"duplicate state codes: {sorted(r[0] for r in doubled)}")
+    doubled = states.groupBy("state_code").count().where("count > 1").select("state_code")
+    if offenders := named_offenders(doubled):
+        raise ValueError(f"duplicate state codes: {offenders}")
     return states
 
 
@@ -42,10 +51,10 @@ def check_codes(name: str, df: DataFrame, states: DataFrame) -> DataFrame:
         bad = (
             df.where(F.col("state_code").isNotNull())
             .join(states.select("state_code"), "state_code", "left_anti")
-            .select("state_code").distinct().limit(20).collect()
+            .select("state_code").distinct()
         )
-        if bad:
-            raise ValueError(f"{name}: unknown state codes {sorted(r[0] for r in bad)}")
+        if offenders := named_offenders(bad):
+            raise ValueError(f"{name}: unknown state codes {offenders}")
     return df
 
 
@@ -92,9 +101,8 @@ def catalog_problems(catalog: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def validate_reference_catalog(catalog: DataFrame, files: DataFrame) -> DataFrame:
-    found = catalog_problems(catalog, files).limit(20).collect()
-    if found:
-        raise ValueError(f"catalogue problems: {[tuple(r) for r in found]}")
+    if offenders := named_offenders(catalog_problems(catalog, files)):
+        raise ValueError(f"catalogue problems: {offenders}")
     return catalog
 
 
