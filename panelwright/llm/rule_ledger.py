@@ -36,7 +36,7 @@ RULES = (
     Rule("few_words", 0, "n_words < 10"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 20 * n_words"),
     Rule("many_symbols", 2, "10 * n_symbols > 3 * n_words"),
-    Rule("duplicate_lines", 3, "100 * n_dup_lines > 30 * n_lines"),
+    Rule("duplicate_lines", 3, "100 * n_dup_lines > 60 * n_lines"),
     Rule("short_words", 4, "word_chars < 2 * n_words"),
     Rule("long_words", 5, "word_chars > 20 * n_words"),
 )
