@@ -146,35 +146,42 @@ def table_contract(spark: SparkSession, names: Sequence[str]) -> dict[str, DataF
 
 def refresh_audit(
     status: DataFrame,
+    panel_month: DataFrame,
     labels: DataFrame,
     previous_labels: DataFrame,
     wholesale: DataFrame,
+    full_output: DataFrame,
     mapped_floor: float = 93.0,
     metadata_floor: float = 99.5,
     split_states: Sequence[str] = ("AP", "TS"),
 ) -> DataFrame:
-    """Rules run after every refresh."""
-    partial = (F.col("completeness_status") == "complete") & (
-        F.col("observed_month_count") < F.col("expected_month_count")
+    """Rules run after every refresh, on the stored outputs.
+
+    ``status`` is the stored completeness table, held against the months counted
+    anew; ``full_output`` the stored monthly totals of full coverage, held
+    against the dispatch rows of full coverage.
+    """
+    counted = panel_month.where(F.col("state_code") == "ALL").groupBy(F.col("year").cast("string").alias("period")).agg(
+        F.count_distinct("month").alias("_months")
     )
+    called = status.where(F.col("completeness_status") == "complete").select("period").join(counted, "period", "left")
+    partial = F.coalesce(F.col("_months"), F.lit(0)) < 12
     new = labels.join(previous_labels, labels.columns, "left_anti")
     full = wholesale.where(F.col("coverage") == "full")
+    monthly = full.groupBy("year", "month").agg(F.sum("qty").alias("_full"))
+    stored = full_output.select("year", "month", "wholesale").join(monthly, ["year", "month"], "left")
     mapped = ratio(F.sum(F.when(F.col("state_code").isNotNull(), F.col("qty"))), F.sum("qty")) * 100
     described = ratio(F.sum(F.when(F.col("fuel_variants").isNotNull(), F.col("qty"))), F.sum("qty")) * 100
+    split = F.count_if(F.col("state_code").isin(list(split_states)))
     return union_all(
         [
-            check_row(status, "partial year marked complete", F.count_if(partial), near_zero(0.5)),
+            check_row(called, "partial year marked complete", F.count_if(partial), near_zero(0.5)),
             check_row(new, "new labels", F.count(F.lit(1)), near_zero(0.5)),
             check_row(full, "mapped volume pct", mapped, F.col("value") >= mapped_floor),
             check_row(full, "metadata volume pct", described, F.col("value") >= metadata_floor),
+            check_row(full, "split states in state joins", split, near_zero(0.5)),
             check_row(
-                full,
-                "split states in state joins",
-                F.count_if(F.col("state_code").isin(list(split_states))),
-                near_zero(0.5),
-            ),
-            check_row(
-                full, "sample rows in full outputs", F.count_if(F.col("coverage") != "full"), near_zero(0.5)
+                stored, "sample rows in full outputs", F.count_if(~F.col("wholesale").eqNullSafe(F.col("_full"))), near_zero(0.5)
             ),
         ]
     )
