@@ -256,7 +256,7 @@ def _prefixes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """(token, node, n, most): prefix entries, with the largest partner for which the entry may come first.
+    """(token, node, n, own, most): prefix entries, with the largest partner for which the entry may come first.
 
     With ``rem`` tokens left from the entry on, an overlap of 3/7 of both sizes
     together needs a partner of at most 7/3 rem - n.
@@ -265,7 +265,8 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     place = F.posexplode(F.slice("tokens", F.lit(1), F.col("base")))
     spread = prefixes.select("node", "n", F.size("tokens").alias("m"), place.alias("j", "token"))
     rem = F.col("m") - F.col("j")
-    return spread.select("token", "node", "n", F.floor((both * rem - ABOVE * F.col("n")) / ABOVE).cast("int").alias("most"))
+    own = F.col("n") - F.col("m")
+    return spread.select("token", "node", "n", own.alias("own"), F.floor((both * rem - ABOVE * F.col("n")) / ABOVE).cast("int").alias("most"))
 
 
 def _linked(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -286,9 +287,13 @@ def _may_meet(x: str, y: str) -> Column:
 
 
 def _star_pairs(entries: DataFrame) -> DataFrame:
-    """Pairs of the documents of each token with the first that may be the smaller one."""
-    hubs = entries.where("most >= n").groupBy("token").agg(F.min(F.struct("node", "n", "most")).alias("hub"), F.count("*").alias("times"))
-    hubs = cut_lineage(hubs.select("token", "hub.*"))
+    """Pairs of the documents of each token with one that may be the smaller one.
+
+    That is the one with the fewest tokens of its own: of a group of near copies
+    most likely the text they were made from, which is similar to all of them.
+    """
+    hubs = entries.where("most >= n").groupBy("token").agg(F.min(F.struct("own", "node", "n", "most")).alias("hub"))
+    hubs = cut_lineage(hubs.select("token", "hub.*").drop("own"))
     met = entries.alias("x").join(hubs.alias("y"), "token").where(_may_meet("x", "y") & (F.col("x.node") != F.col("y.node")))
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
