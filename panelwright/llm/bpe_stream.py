@@ -27,7 +27,7 @@ from panelwright.llm.text import map_texts
 from panelwright.llm.vocabulary import ByteBpe, PreTokens, parse
 
 #: Pre-tokens a worker remembers; a full memory is emptied, which costs time and changes no token.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _NO_RULE = (1 << 62, -1)
 
 

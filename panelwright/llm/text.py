@@ -68,7 +68,7 @@ def map_texts(
         from pyspark.sql.pandas.types import to_arrow_type
 
         for batch in batches:
-            for block in blocks(batch, text_col):
+            for block in blocks(batch, text_col, BLOCK_BYTES // 2):
                 got = fn(block.column(text_col))
                 rows, new = got if isinstance(got, tuple) else (None, got)
                 old = block.select(names)

@@ -73,25 +73,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
-def learn(label: np.ndarray, owner: np.ndarray, feature: np.ndarray, prior: float, smoothing: float = 1.0, ridge: float = 1.0, min_texts: int = 3, min_ratio: float = 1.0, rounds: int = 100) -> Model:
-    """Fits the model to (text, feature) pairs; a missing class gives the prior alone.
+def learn(label: np.ndarray, features: list[np.ndarray], prior: float, smoothing: float = 1.0, ridge: float = 1.0, min_texts: int = 3, min_ratio: float = 1.0, rounds: int = 100) -> Model:
+    """Fits the model to the features of each text; a missing class gives the prior alone.
 
     Features in fewer than ``min_texts`` texts, or whose log-count ratio is
     nearer to 0 than ``min_ratio``, would enter with next to no scale and are
-    left out.
+    left out, before anything is held for all texts together.
     """
     logit = float(np.log(prior / (1 - prior)))
-    empty = Model(np.zeros(1 << BITS, np.float32), logit)
     if len(set(label.tolist())) < 2:
-        return empty
-    toxic = label[owner] == 1
-    counts = [np.bincount(feature[m], minlength=1 << BITS).astype(float) for m in (toxic, ~toxic)]
-    used = counts[0] + counts[1] >= min_texts
-    share = [(c + smoothing) / (c + smoothing)[used].sum() for c in counts]
-    ratio = np.where(used, np.log(share[0] / share[1]), 0.0)
-
-    keep = (np.abs(ratio) >= min_ratio)[feature]
-    column, row = feature[keep], owner[keep]
+        return Model(np.zeros(1 << BITS, np.float32), logit)
+    counts = np.zeros((2, 1 << BITS))
+    for y, own in zip(label, features, strict=True):
+        counts[y, own] += 1
+    used = counts.sum(0) >= min_texts
+    share = (counts + smoothing) / (counts + smoothing)[:, used].sum(1, keepdims=True)
+    ratio = np.where(used, np.log(share[1] / share[0]), 0.0)
+
+    strong = np.abs(ratio) >= min_ratio
+    kept = [own[strong[own]] for own in features]
+    column = np.concatenate(kept)
+    row = np.repeat(np.arange(len(kept)), [len(own) for own in kept])
     names, column = np.unique(column, return_inverse=True)
     value = ratio[names]
     n = len(label)
@@ -140,12 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         return {"features": pa.array([feature[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())}
 
     def fit(batches: list[pa.RecordBatch]) -> Model:
-        label = [x for b in batches for x in b.column("label").to_pylist()]
-        lists = [np.frombuffer(x, "<i4") for b in batches for x in b.column("features").to_pylist()]
-        if not lists:
-            return learn(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), prior)
-        owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        return learn(np.array(label), owner, np.concatenate(lists).astype(np.int64), prior)
+        label = np.array([x for b in batches for x in b.column("label").to_pylist()], int)
+        features = [np.frombuffer(x.as_buffer(), "<i4") for b in batches for x in b.column("features")]
+        return learn(label, features, prior)
 
     return labelled.fit(tx.map_texts(sample, "text", present, "features binary", keep=["label"]), fit)
 
