@@ -226,16 +226,17 @@ def _frequent(rows: list[dict]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([x.slice(i, 50_000) for x in (a, b, c)], names=["node", "token", "df"])
 
 
-def _matches(shared: Column, n: Column, base: Column) -> Column:
+def _matches(shared: Column, n: Column, need: Column, base: Column) -> Column:
     """The number l of matches for which reading prefix entries and verifying candidates costs least.
 
     A prefix with l - 1 more tokens is read in as many entries as its tokens'
-    frequencies add up to; at most an l-th of them can be candidates.
+    frequencies add up to; at most an l-th of them can be candidates.  Similar
+    sets need not share more tokens than ``need``, so l stays within it.
     """
 
     def cost(k: int) -> Column:
         read = F.aggregate(F.slice(shared, F.lit(1), base + k - 1), F.lit(0.0), lambda s, t: s + t["df"] - 1)
-        return F.struct((read * (1 + n / k)).alias("cost"), F.lit(k).alias("l"))
+        return F.when(need >= k, F.struct((read * (1 + n / k)).alias("cost"), F.lit(k).alias("l")))
 
     return F.array_min(F.array(*[cost(k) for k in range(1, MOST_MATCHES + 1)]))["l"]
 
@@ -252,7 +253,7 @@ def _prefixes(tokens: DataFrame, sizes: DataFrame) -> DataFrame:
     own = (n - F.size("shared")).cast("int")
     base = F.least((n - need + 1).cast("int") - own, F.size("shared"))
     out = held.join(sizes, "node").withColumn("base", base).where("base > 0")
-    return out.select("node", n.cast("int").alias("n"), F.col("shared.token").alias("tokens"), "base", _matches(F.col("shared"), n, F.col("base")).alias("l"))
+    return out.select("node", n.cast("int").alias("n"), F.col("shared.token").alias("tokens"), "base", _matches(F.col("shared"), n, need, F.col("base")).alias("l"))
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:

@@ -69,6 +69,20 @@ def test_matches_brute_force(spark, seed):
         assert got == pytest.approx({frozenset(k): v for k, v in pairs.items()})
 
 
+def test_short_texts_that_differ_at_an_end(spark):
+    docs, rng = [], random.Random(7)
+    for size in range(5, 14):
+        for k in range(6):
+            # pairs alone with their words (even frequencies), or with words from a small stock (uneven ones)
+            ws = [f"s{size}k{k}w{i}" if k < 3 else f"c{rng.randrange(40)}" for i in range(size)]
+            other = ([*ws[:-1], f"last{size}k{k}"], [f"first{size}k{k}", *ws[1:]], [*ws, f"more{size}k{k}"])[k % 3]
+            docs += [(len(docs) + i, " ".join(t)) for i, t in enumerate((ws, other))]
+    _, pairs = brute(docs)
+    sets = {i: shingles(t) for i, t in docs}
+    got = {frozenset((sets[r.a], sets[r.b])) for r in similar_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {frozenset(k) for k in pairs} and len(got) > 10
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(40000))
     docs = [(4, "a b"), (3, "A  b"), (9, "a b c"), (1, None), (2, ""), (5, " \n"), (7, long), (6, long + " end"), (8, "same one text of words"), (8, "same one text of words"), (10, "x y"), (10, "x y z")]
