@@ -321,7 +321,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[D
     sets = cut_lineage(set_table(rows, size))
     classes = cut_lineage(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count("*").alias("times")))
     repeated = classes.where("times > 1").select("node", "first")
-    again = cut_lineage(sets.join(repeated, "node").where("doc_id <> first").select("doc_id").distinct())
+    # ids of which no row is the first of its set; a repeated id's other rows may be
+    mine = sets.join(repeated, "node", "left").select("doc_id", F.coalesce(F.col("doc_id") != F.col("first"), F.lit(False)).alias("again"))
+    again = cut_lineage(mine.groupBy("doc_id").agg(F.min("again").alias("again")).where("again").select("doc_id"))
     few = again.count() <= SENT_ROWS
     firsts = rows.join(F.broadcast(again) if few else again, "doc_id", "left_anti")
     prefixes = cut_lineage(_prefixes(shared_tokens(firsts, size), classes.select("node", "n")))
@@ -352,6 +354,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where a component holds only null ids its name is null.  Equal rows stay as
     many rows.
     """
+    return _named_sets(docs, id_col, text_col, size).drop("node")
+
+
+def _named_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id, node) for every row."""
     sets, classes, prefixes = _prepared(docs, id_col, text_col, size)
     entries = cut_lineage(_entries(prefixes))
     tried = cut_lineage(_star_pairs(entries))
@@ -372,12 +379,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id")))
     per_class = cut_lineage(named.join(names, "root").select("node", "component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return sets.join(per_class, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return sets.join(per_class, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "node")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """The rows whose id names their component, with all their columns; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, size)
-    gone = cut_lineage(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    """The rows whose id names their component, with all their columns; rows with a null id stay.
+
+    Of an id that stands on rows with different texts, only the rows go whose
+    own text is in a component of a smaller id.
+    """
+    found = cut_lineage(_named_sets(docs, id_col, text_col, size))
+    goes = F.col("doc_id") != F.col("component_id")
+    gone = found.where(goes).select("doc_id").distinct()
+    split = cut_lineage(found.where(~goes).select("doc_id").join(gone, "doc_id", "left_semi").distinct())
+    if split.isEmpty():
+        return _without(docs, id_col, cut_lineage(gone))
+    whole = _without(docs, id_col, cut_lineage(gone.join(split, "doc_id", "left_anti")))
+    name, split = F.col(f"`{id_col}`"), split.withColumnRenamed("doc_id", "_split")
+    some = whole.join(split, name == F.col("_split"), "left_semi")
+    nodes = lambda texts: {"_node": tx.signed(_set_ids(*shingle_sets(texts, size)))}
+    numbered = tx.map_texts(some.withColumn("_text", F.col(f"`{text_col}`").cast("string")), "_text", nodes, "_node long").drop("_text")
+    sets = found.where(goes).select(F.col("doc_id").alias("_gone"), F.col("node").alias("_gone_node")).distinct()
+    left = numbered.join(sets, (name == F.col("_gone")) & (F.col("_node") == F.col("_gone_node")), "left_anti").drop("_node")
+    return whole.join(split, name == F.col("_split"), "left_anti").union(left)
+
+
+def _without(docs: DataFrame, id_col: str, gone: DataFrame) -> DataFrame:
+    """The rows whose id is not in ``gone``."""
+    gone = gone.select(F.col("doc_id").alias("_gone"))
     few = gone.count() <= SENT_ROWS
     return docs.join(F.broadcast(gone) if few else gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")

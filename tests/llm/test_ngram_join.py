@@ -83,6 +83,15 @@ def test_short_texts_that_differ_at_an_end(spark):
     assert got == {frozenset(k) for k in pairs} and len(got) > 10
 
 
+def test_rows_of_a_repeated_id_are_told_apart(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    docs = [(1, a), (2, a), (2, b), (3, b + " end"), (4, "on its own"), (4, a)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect())
+    assert got == brute(docs)[0]
+    assert sorted((r.doc_id, r.text) for r in keep_one_of_each(df).collect()) == [(1, a), (2, b), (4, "on its own")]
+
+
 def test_edges(spark):
     long = " ".join(f"t{i}" for i in range(40000))
     docs = [(4, "a b"), (3, "A  b"), (9, "a b c"), (1, None), (2, ""), (5, " \n"), (7, long), (6, long + " end"), (8, "same one text of words"), (8, "same one text of words"), (10, "x y"), (10, "x y z")]
