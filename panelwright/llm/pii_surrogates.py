@@ -7,6 +7,11 @@ same script and case for letters, valid where the type has a rule (check digit,
 octets, title and gender of names).  Distinct entities get distinct surrogates,
 and none that is the normal form of a detected entity: proposals that collide
 are drawn again, in a job over all distinct entities, until none collides.
+
+A name is one entity whatever title it stands under: a surname's gender is told
+by its own ending, a given name's by the titles it has in the whole corpus.
+Surrogates of names are held apart by role and script, across genders.  In a
+text, words that are a name under a title are that name without one too.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm import text as tx
@@ -55,6 +60,14 @@ SYLLABLES = {
 }
 ENDINGS = {("Cyrillic", "m"): "ов", ("Cyrillic", "f"): "ова", ("Cyrillic", "n"): "ко", ("Greek", "m"): "ίδης", ("Greek", "f"): "ίδου", ("Greek", "n"): "ίδη"}
 
+#: Endings by which a surname shows its gender, where its script has any.
+SURNAME_FORMS = {
+    ("Cyrillic", "f"): ("ова", "ева", "ёва", "ина", "ына", "ая"),
+    ("Cyrillic", "m"): ("ов", "ев", "ёв", "ин", "ын", "ий", "ый", "ой"),
+    ("Greek", "f"): ("ου",),
+    ("Greek", "m"): ("ς", "σ"),  # casefolded
+}
+
 _TITLE_GENDER = {t: g for g, titles in TITLES.items() for t in titles}
 _TITLE = "|".join(re.escape(t) for t in sorted(_TITLE_GENDER, key=len, reverse=True))
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]+"
@@ -69,6 +82,7 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}\b|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}\b)"
     rf"|(?<!\w)(?P<title>{_TITLE}) (?P<name>{_NAME}(?: {_NAME}){{0,2}})"
 )
+_WORD = re.compile(r"(?<!\w)[^\W\d_]++(?!\w)")
 _HINT = re.compile(r"[\d@]|password|passwd|token|secret|api_key|" + _TITLE)
 
 
@@ -87,6 +101,29 @@ def script_of(word: str) -> str:
     return name if name in SYLLABLES else "Latin"
 
 
+def surname_gender(norm: str, script: str) -> str:
+    """The gender that a surname's ending shows, 'n' where it shows none."""
+    return next((g for (s, g), ends in SURNAME_FORMS.items() if s == script and norm.endswith(ends)), "n")
+
+
+def _bare_names(text: str, found: list[Mention]) -> list[Mention]:
+    """Capitalised words outside ``found`` that are a name under a title in the same text."""
+    names: dict[str, str] = {}
+    for m in found:
+        if m.kind.startswith(("given", "surname")):
+            names.setdefault(m.norm, m.kind)
+    if not names:
+        return []
+    out, k = [], 0
+    for w in _WORD.finditer(text):
+        while k < len(found) and found[k].end <= w.start():
+            k += 1
+        norm = w.group().casefold()
+        if norm in names and w.group()[0].isupper() and (k == len(found) or w.end() <= found[k].begin):
+            out.append(Mention(w.start(), w.end(), names[norm], norm))
+    return out
+
+
 def find_mentions(text: str) -> list[Mention]:
     """Entities of a text from left to right, without overlaps."""
     if not _HINT.search(text):
@@ -99,8 +136,9 @@ def find_mentions(text: str) -> list[Mention]:
         if kind == "name":
             gender, words = _TITLE_GENDER[m.group("title")], list(re.finditer(r"\S+", found))
             for k, w in enumerate(words):
-                role = "surname" if k == len(words) - 1 else "given"
-                out.append(Mention(begin + w.start(), begin + w.end(), f"{role}_{script_of(w.group())}_{gender}", w.group().casefold()))
+                norm, script = w.group().casefold(), script_of(w.group())
+                kind = f"surname_{script}_{surname_gender(norm, script)}" if k == len(words) - 1 else f"given_{script}_{gender}"
+                out.append(Mention(begin + w.start(), begin + w.end(), kind, norm))
         elif kind == "ip":
             if all(int(x) < 256 for x in found.split(".")):
                 out.append(Mention(begin, end, kind, found))
@@ -111,7 +149,7 @@ def find_mentions(text: str) -> list[Mention]:
             out.append(Mention(begin, begin + len(found), kind, found.casefold()))
         else:
             out.append(Mention(begin, end, kind, found))
-    return out
+    return sorted([*out, *_bare_names(text, out)], key=lambda m: m.begin)
 
 
 class Draw:
@@ -209,11 +247,29 @@ def mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return tx.map_texts(hashed, "text", find, f"mentions {_MENTIONS}", keep=["text_hash"])
 
 
+def _scope(kind: Column) -> Column:
+    """Within what surrogates differ: the type, of names the role and script."""
+    return F.regexp_replace(kind, "^((?:given|surname)_[^_]+)_.*$", "$1")
+
+
+def one_kind_per_name(single: DataFrame) -> DataFrame:
+    """Mentions with the gender of a given name taken from all its titles: the one they show, else 'n'."""
+    is_given = F.col("kind").startswith("given_")
+    part = lambda i: F.get(F.split("kind", "_"), F.lit(i))
+    given = single.where(is_given).withColumn("_script", part(1))
+    shown = F.array_remove(F.collect_set(part(2)), "n")
+    genders = given.groupBy("_script", "norm").agg(F.when(F.size(shown) == 1, F.get(shown, F.lit(0))).otherwise("n").alias("_gender"))
+    kind = F.concat(F.lit("given_"), F.col("_script"), F.lit("_"), F.col("_gender"))
+    told = given.join(genders, ["_script", "norm"]).withColumn("kind", kind)
+    return single.where(~is_given).union(told.select(*single.columns))
+
+
 def assign(entities: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> DataFrame:
     """(kind, norm, surrogate) for distinct (kind, norm): distinct surrogates, none of them a detected entity.
 
     Each round draws for the entities that have none yet; of equal proposals the
     smallest normal form's is taken, and proposals already taken are dropped.
+    Names are compared by role and script, whatever their gender.
     """
 
     def draw(rows: DataFrame, number: int) -> DataFrame:
@@ -224,14 +280,15 @@ def assign(entities: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> Dat
 
         return rows.select("kind", "norm").mapInArrow(run, "kind string, norm string, surrogate string")
 
-    originals = entities.select("kind", F.col("norm").alias("surrogate"))
+    scope = _scope(F.col("kind")).alias("scope")
+    originals = entities.select(scope, F.col("norm").alias("surrogate")).distinct()
     taken: DataFrame | None = None
     open_ = entities
     for number in range(most_draws):
-        proposed = draw(open_, number).join(originals, ["kind", "surrogate"], "left_anti")
+        proposed = draw(open_, number).select("*", scope).join(originals, ["scope", "surrogate"], "left_anti")
         if taken is not None:
-            proposed = proposed.join(taken, ["kind", "surrogate"], "left_anti")
-        won = proposed.groupBy("kind", "surrogate").agg(F.min("norm").alias("norm")).select("kind", "norm", "surrogate")
+            proposed = proposed.join(taken.select(scope, "surrogate"), ["scope", "surrogate"], "left_anti")
+        won = proposed.groupBy("scope", "surrogate").agg(F.min(F.struct("norm", "kind")).alias("e")).select("e.kind", "e.norm", "surrogate")
         taken = cut_lineage(won if taken is None else taken.union(won))
         open_ = cut_lineage(open_.select("kind", "norm").join(taken, ["kind", "norm"], "left_anti"))
         if open_.isEmpty():
@@ -249,6 +306,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """
     found = cut_lineage(mentions(docs, text_col).dropDuplicates(["text_hash"]))
     single = found.select("text_hash", F.explode("mentions").alias("m")).select("text_hash", "m.*")
+    single = cut_lineage(one_kind_per_name(single))
     table = assign(cut_lineage(single.select("kind", "norm").distinct()), key.encode())
     done = single.join(table, ["kind", "norm"]).groupBy("text_hash").agg(F.sort_array(F.collect_list(F.struct("begin", "end", "kind", "surrogate"))).alias("_new"))
     done = cut_lineage(done.withColumnRenamed("text_hash", "_hash"))

@@ -77,6 +77,28 @@ def test_collisions_are_drawn_again(spark):
     assert len({r.text for r in table}) == len(rows)
 
 
+def test_a_name_is_one_entity_under_all_titles_and_none(spark):
+    text = "Mr John Smith and Dr Smith met Dr John Smith. Smith said JOHN and smith's smithy left; Dr Петрова, г-жа Петрова, Петрова."
+    out = pii.replace(spark.createDataFrame([(1, text), (2, "Smith alone")], "doc_id long, text string"), KEY).collect()
+    by = {r.doc_id: r for r in out}
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Dr (\w+) met Dr (\w+) (\w+)\. (\w+) said (\w+) and smith's smithy left; Dr (\w+), г-жа (\w+), (\w+)\.", by[1].text)
+    assert m.group(2) == m.group(3) == m.group(5) == m.group(6) != "Smith"
+    assert m.group(1) == m.group(4) in pii.GIVEN["Latin", "m"] and m.group(7) == m.group(1).upper()
+    assert m.group(8) == m.group(9) == m.group(10) and m.group(8).endswith("ова") and m.group(8) != "Петрова"
+    assert by[1].n_entities == 10 and by[2].text == "Smith alone"
+
+
+def test_names_of_all_genders_are_held_apart(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [(f"{role}_Latin_{g}", f"{g}{a}{b}") for role in ("surname", "given") for g in "mfn" for a in letters for b in letters[:5]]
+    names.append(("surname_Latin_f", pii.surrogate(KEY.encode(), "surname_Latin_m", "maa")))
+    got = pii.assign(spark.createDataFrame(names, "kind string, norm string"), KEY.encode()).collect()
+    assert {(r.kind, r.norm) for r in got} == set(names) and len(got) == len(names)
+    for role in ("surname", "given"):
+        new = [r.surrogate for r in got if r.kind.startswith(role)]
+        assert len(set(new)) == len(new) and not set(new) & {n for k, n in names if k.startswith(role)}
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "nothing here 2024"), (4, "x " * 100000 + "a.b12@mail.example.org"), (5, "mail c.d@e.org"), (5, "mail c.d@e.org"), (None, "mail C.D@e.org")]
     df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, kinds string")
