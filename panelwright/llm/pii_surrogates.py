@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from panelwright.llm import text as tx
 from panelwright.session import cut_lineage
 
-#: Draws for one entity after which its form is taken to have no room for all entities.
-MOST_DRAWS = 60
+#: Draws in the form of the entity; what is still open then gets a wider form with every draw.
+SAME_FORM = 8
 #: Most replacements that are sent to every task; more are joined by a shuffle.
 SENT_ROWS = 500_000
 
@@ -186,16 +187,23 @@ def luhn_valid(digits: str) -> bool:
 
 
 def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
-    """The normal form of the replacement of an entity, at its ``draw``-th proposal."""
+    """The normal form of the replacement of an entity, at its ``draw``-th proposal.
+
+    From draw ``SAME_FORM`` on the form widens: any octets, more letters in mail
+    addresses and secrets, more digits in numbers.  Cards and keys have room for
+    10^14 and more as they are.
+    """
     d = Draw(key, kind, norm, draw)
+    more = max(draw - SAME_FORM + 1, 0)
     if kind == "email":
         name, _, domain = norm.partition("@")
         host, dot, top = domain.rpartition(".")
-        return f"{d.like(name)}@{d.like(host)}{dot}{top}"
+        in_name = min(more, max(64 - len(name), 0))  # a longer one is no address
+        return f"{d.like(name + 'x' * in_name)}@{d.like(host + 'x' * (more - in_name))}{dot}{top}"
     if kind == "ip":
         octets = []
         for part in norm.split("."):
-            low, high = (0, 9) if len(part) == 1 else (10, 99) if len(part) == 2 else (100, 255)
+            low, high = (0, 255) if more else (0, 9) if len(part) == 1 else (10, 99) if len(part) == 2 else (100, 255)
             octets.append(str(low + d.below(high - low + 1)))
         return ".".join(octets)
     if kind == "card":
@@ -204,7 +212,7 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
         return body + (last if luhn_valid(norm) else str((int(last) + 1 + d.below(9)) % 10))
     if kind == "phone":
         area = max(len(norm) - 10, 0)  # what precedes ten digits is the country
-        return norm[:area] + str(2 + d.below(8)) + d.like(norm[area + 1 :])
+        return norm[:area] + str(2 + d.below(8)) + d.like(norm[area + 1 :] + "0" * more)
     if kind == "key":
         return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[d.below(32)] for _ in norm[4:])
     if kind.startswith(("given", "surname")):
@@ -216,14 +224,15 @@ def surrogate(key: bytes, kind: str, norm: str, draw: int = 0) -> str:
             return "".join([name, *(names[d.below(len(names))] for _ in range(draw))]).casefold()
         parts = [SYLLABLES[script][d.below(len(SYLLABLES[script]))] for _ in range(2 + draw)]
         return "".join(parts) + ENDINGS.get((script, gender), "")
-    return d.like(norm)
+    return d.like(norm + ("0" if kind == "ssn" else "x") * more)
 
 
 def rendered(original: str, kind: str, new: str) -> str:
     """Writes a surrogate in the form of a mention: its separators and its case."""
     if kind in ("phone", "card", "ssn"):
         digits = iter(new)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        same = "".join(next(digits) if c.isdigit() else c for c in original)
+        return same + "".join(digits)  # of a wider form the rest
     if kind == "email" or kind.startswith(("given", "surname")):
         if original.isupper():
             return new.upper()
@@ -264,12 +273,13 @@ def one_kind_per_name(single: DataFrame) -> DataFrame:
     return single.where(~is_given).union(told.select(*single.columns))
 
 
-def assign(entities: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> DataFrame:
+def assign(entities: DataFrame, key: bytes, most_draws: int | None = None) -> DataFrame:
     """(kind, norm, surrogate) for distinct (kind, norm): distinct surrogates, none of them a detected entity.
 
     Each round draws for the entities that have none yet; of equal proposals the
     smallest normal form's is taken, and proposals already taken are dropped.
-    Names are compared by role and script, whatever their gender.
+    Names are compared by role and script, whatever their gender.  Forms without
+    room widen, so the rounds end; only with ``most_draws`` they end with an error.
     """
 
     def draw(rows: DataFrame, number: int) -> DataFrame:
@@ -284,7 +294,7 @@ def assign(entities: DataFrame, key: bytes, most_draws: int = MOST_DRAWS) -> Dat
     originals = entities.select(scope, F.col("norm").alias("surrogate")).distinct()
     taken: DataFrame | None = None
     open_ = entities
-    for number in range(most_draws):
+    for number in itertools.count() if most_draws is None else range(most_draws):
         proposed = draw(open_, number).select("*", scope).join(originals, ["scope", "surrogate"], "left_anti")
         if taken is not None:
             proposed = proposed.join(taken.select(scope, "surrogate"), ["scope", "surrogate"], "left_anti")

@@ -99,6 +99,21 @@ def test_names_of_all_genders_are_held_apart(spark):
         assert len(set(new)) == len(new) and not set(new) & {n for k, n in names if k.startswith(role)}
 
 
+def test_forms_without_room_widen(spark):
+    names = [("ip", f"{i // 1000}.{i // 100 % 10}.{i // 10 % 10}.{i % 10}") for i in range(10000) if i % 10 < 8]
+    names += [("email", f"{a}@{b}.com") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrst"]
+    names += [("secret", "--------"), ("phone", "123456"), ("ssn", "")]
+    got = pii.assign(spark.createDataFrame(names, "kind string, norm string"), KEY.encode()).collect()
+    assert {(r.kind, r.norm) for r in got} == set(names) and len(got) == len(names)
+    new = {(r.kind, r.surrogate) for r in got}
+    assert len(new) == len(names) and not new & set(names)
+    for r in got:
+        found = pii.find_mentions(r.surrogate)
+        assert r.kind not in ("ip", "email") or [(m.kind, m.norm) for m in found] == [(r.kind, r.surrogate)]
+    wide = pii.surrogate(KEY.encode(), "phone", "12695553296", pii.SAME_FORM + 1)
+    assert len(wide) == 13 and re.sub(r"\D", "", pii.rendered("+1 269-555-3296", "phone", wide)) == wide
+
+
 def test_edges(spark):
     docs = [(1, None), (2, ""), (3, "nothing here 2024"), (4, "x " * 100000 + "a.b12@mail.example.org"), (5, "mail c.d@e.org"), (5, "mail c.d@e.org"), (None, "mail C.D@e.org")]
     df = spark.createDataFrame([(i, t, "k") for i, t in docs], "doc_id long, text string, kinds string")
