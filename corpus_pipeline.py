@@ -5,11 +5,11 @@
    documents that lose all their lines with words.
 3. ngram_join: of each group of near duplicates the smallest id stays.
 4. decontamination: documents of which a twentieth or more stands in benchmark
-   items go.
+   items go, and of the others the stretches as long as a window.
 5. bpe_round_trip: number of tokens and digests of ids and decoded text.
 
 All stages but the last return the columns of ``documents`` (n_chars follows the
-text where lines went).  Rows with null ids or texts pass through; empty tables
+text where lines or stretches went).  Rows with null ids or texts pass through; empty tables
 give empty tables.
 """
 
@@ -48,9 +48,14 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated."""
+    """Documents that are not contaminated, without the benchmark spans that they hold."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.verdict(decontamination.match(docs, items)).where(~F.col("contaminated")).select(*[f"`{c}`" for c in docs.columns])
+    out = decontamination.remove_spans(decontamination.match(docs, items))
+    if "n_chars" in docs.columns:
+        cut = F.exists("hit_spans", lambda s: s["end"] - s["begin"] >= decontamination.WINDOW)
+        shorter = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(cut, shorter).otherwise(F.col("n_chars")))
+    return out.select(*[f"`{c}`" for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,16 @@ def test_stages_match_brute_force_on_their_input(stages):
         assert last[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_kept_documents_lose_benchmark_spans(spark, tmp_path):
+    pipe = importlib.import_module("corpus_pipeline")
+    passage = " ".join(f"w{i}" for i in range(20))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, f"start {passage} end" + " filler" * 900, 7), (2, passage, 7), (3, "clean", 7), (4, None, None)]
+    out = pipe.decontamination_stage(spark, spark.createDataFrame(docs, "doc_id long, text string, n_chars long"), str(tmp_path))
+    want = "start  end" + " filler" * 900
+    assert sorted((r.doc_id, r.text, r.n_chars) for r in out.collect()) == [(1, want, len(want)), (3, "clean", 7), (4, None, None)]
+
+
 def test_odd_rows_pass_through(spark, tmp_path):
     pipe = importlib.import_module("corpus_pipeline")
     schema = "doc_id long, text string, lang string, source string, n_chars long, score string"
