@@ -125,6 +125,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), 0.5)
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    from panelwright.llm.lexical_index import search
+
+    return search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=50)
+
+
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of 16 shards with equal texts together."""
+    from panelwright.llm.balanced_shards import shard_documents
+
+    return shard_documents(_read(spark, sf_dir, "documents"), shards=16, law="rows")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, labels of every seventh moved on by one."""
+    from pyspark.sql import functions as F
+
+    from panelwright.llm.hard_negatives import mine
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label=label).drop("positive_rank")
+
+
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -157,6 +181,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor": op8_pitman_yor,
         "op9_quality_rules": op9_quality_rules,
         "op10_toxicity": op10_toxicity,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_balanced_shards": op12_balanced_shards,
+        "op13_hard_negatives": op13_hard_negatives,
         "pipeline": pipeline,
     }
 
@@ -168,4 +195,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": sql.DECONTAMINATION,
         "op7_line_dedup": sql.LINE_DEDUP,
         "op9_quality_rules": sql.QUALITY_RULES,
+        "op11_lexical_search": sql.LEXICAL_SEARCH,
+        "op13_hard_negatives": sql.HARD_NEGATIVES,
     }

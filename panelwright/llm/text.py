@@ -7,6 +7,8 @@ word never crosses a text.  Nulls count as empty texts.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,8 +21,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one round of array work takes at least; a longer text is one round.
 BLOCK_BYTES = 2 << 20
-
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: The same where nothing is gathered over a block.
+PIECE_BYTES = 1 << 18
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -67,8 +69,8 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        for batch in batches:
-            for block in blocks(batch, text_col, BLOCK_BYTES // 2):
+        for batch in released(batches):
+            for block in blocks(batch, text_col, PIECE_BYTES):
                 got = fn(block.column(text_col))
                 rows, new = got if isinstance(got, tuple) else (None, got)
                 old = block.select(names)
@@ -82,6 +84,15 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last one the worker gives the memory that it has freed back to its machine."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(batch: pa.RecordBatch, text_col: str, size: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into slices of about ``size`` bytes of text; every row stays whole."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
@@ -143,20 +154,11 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, cuts: np.nd
     return Words(data, offsets, start, end, np.searchsorted(start, offsets))
 
 
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 21), base, np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+_SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
+_FIRST_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Ranges above this many bytes leave the rounds of eight bytes, which all ranges share.
+_LONG = 512
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -169,14 +171,31 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, equal for equal bytes wherever they stand; never 0."""
-    n = len(data)
+    """64-bit hash of each byte range, equal for equal bytes wherever they stand; never 0.
+
+    All ranges take their next eight bytes in one round; nothing is held per byte
+    of the block but one padded copy.
+    """
     if not len(start):
         return np.zeros(0, np.uint64)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _power("up", _BASE, n), out=sums[1:])
-    raw = (sums[end] - sums[start]) * _power("down", _BASE_INV, n + 1)[start]
-    return np.maximum(mix(raw + (end - start).astype(np.uint64) * _BASE), np.uint64(1))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+    def stirred(h: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return mix(h ^ ((eight[at] & _FIRST_BYTES[np.minimum(left, 8)]) * _SPREAD))
+
+    length = end - start
+    h = stirred(length.astype(np.uint64) * _BASE, start, length)
+    open_, done = np.flatnonzero(length > 8), 8
+    while len(open_) and done < _LONG:
+        h[open_] = stirred(h[open_], start[open_] + done, length[open_] - done)
+        done += 8
+        open_ = open_[length[open_] > done]
+    for i in open_.tolist():
+        rest = hashlib.blake2b(data[start[i] + done : end[i]], digest_size=8).digest()
+        h[i] = mix(h[i : i + 1] ^ np.frombuffer(rest, "<u8"))[0]
+    return np.maximum(h, np.uint64(1))
 
 
 def word_hashes(w: Words) -> np.ndarray:
@@ -198,7 +217,10 @@ def window_hashes(h: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray,
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     of = np.repeat(np.arange(len(at) - 1), np.diff(at))
     first = np.flatnonzero(of[: n - size + 1] == of[size - 1 :])
-    return combine([h[first + k] for k in range(size)]), first
+    total = np.zeros(len(first), np.uint64)
+    for k in range(size):
+        total = mix(total * _BASE + h[first + k])
+    return np.maximum(total, np.uint64(1)), first
 
 
 def signed(h: np.ndarray) -> np.ndarray:

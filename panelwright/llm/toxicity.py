@@ -31,33 +31,42 @@ _NORMAL[~tx.ALNUM & (np.arange(256) < 0x80)] = 0x20
 _NORMAL[0x41:0x5B] = np.arange(0x61, 0x7B)
 
 
+#: Bytes whose n-grams are taken at once; longer blocks and texts are walked in steps that overlap by an n-gram.
+STEP = 1 << 18
+
+
 def grams(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (text, feature), each once; with ``wanted`` only features flagged there."""
     data, offsets = tx.flat(texts)
     n = len(offsets) - 1
-    size = np.diff(offsets)
-    padded = np.full(len(data) + 2 * n + max(ORDERS), 0x20, np.uint8)
-    shift = 2 * np.arange(n) + 1
-    padded[np.arange(len(data)) + np.repeat(shift, size)] = _NORMAL[data]
     edge = offsets[:-1] + 2 * np.arange(n)
     total = len(data) + 2 * n
-    space = padded == 0x20
-    packed = padded[:total].astype(np.uint64)
-    inner = np.zeros(total, bool)  # a space strictly inside the n-gram
+    inside = np.ones(total, bool)
+    inside[edge] = inside[edge + np.diff(offsets) + 1] = False
+    padded = np.full(total + max(ORDERS), 0x20, np.uint8)
+    padded[:total][inside] = _NORMAL[data]
+    steps = [np.unique(_step(padded[begin:], min(STEP, total - begin), begin, edge, wanted)) for begin in range(0, total, STEP)]
+    pairs = steps[0] if len(steps) == 1 else np.unique(np.concatenate([np.zeros(0, np.int64), *steps]))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+
+
+def _step(padded: np.ndarray, size: int, begin: int, edge: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Text and feature, as one number, of the n-grams that begin in the first ``size`` bytes."""
+    space = padded[: size + max(ORDERS)] == 0x20
+    packed = padded[:size].astype(np.uint64)
+    inner = np.zeros(size, bool)  # a space strictly inside the n-gram
     out = []
     for k in range(2, max(ORDERS) + 1):
         if k > 2:
-            inner |= space[k - 2 : k - 2 + total]
-        packed |= padded[k - 1 : k - 1 + total].astype(np.uint64) << np.uint64(8 * (k - 1))
+            inner |= space[k - 2 : k - 2 + size]
+        packed |= padded[k - 1 : k - 1 + size].astype(np.uint64) << np.uint64(8 * (k - 1))
         if k not in ORDERS:
             continue
         feature = ((packed * np.uint64(_SPREAD[k])) >> np.uint64(64 - BITS)).astype(np.int64)
-        good = ~inner if wanted is None else ~inner & wanted[feature]
-        at = np.flatnonzero(good)
-        owner = np.searchsorted(edge, at, side="right") - 1
+        at = np.flatnonzero(~inner if wanted is None else ~inner & wanted[feature])
+        owner = np.searchsorted(edge, at + begin, side="right") - 1
         out.append((owner << BITS) | feature[at])
-    pairs = np.unique(np.concatenate(out))
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    return np.concatenate(out)
 
 
 @dataclass
