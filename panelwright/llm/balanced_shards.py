@@ -54,8 +54,7 @@ def allowed(wanted: np.ndarray, load: np.ndarray, capacity: np.ndarray) -> np.nd
             return x
         for k in full:
             excess = min(int(over[k]), int(into[k]))
-            cut = np.array([-(-int(v) * excess // int(into[k])) for v in x[:, k]], object)
-            x[:, k] = np.maximum(x[:, k] - cut, 0)
+            x[:, k] -= dealt(excess, x[:, k])
 
 
 def running(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
