@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from panelwright.functions.columns import ratio
 from panelwright.functions.ordered import average_ranks, hash_positions
+from panelwright.operators.forest import percolation_levels
 from panelwright.session import cut_lineage
 
 BLOCK = 512
@@ -875,30 +876,23 @@ def connected_components(edges: DataFrame, keys: Sequence[str] = ()) -> DataFram
 
 
 def percolation_curve(shares: DataFrame, thresholds: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
-    """Giant-component fraction, edges and components per share threshold.
+    """Giant-component fraction, edges and components per share threshold, all read from one spanning forest.
 
     ``shares`` holds the edges with the within-state share as weight; the
     fraction is of all nodes before thresholding, and an empty graph gives 0.
     """
     keys = list(keys)
     stable = cut_lineage(shares)
-    keyed = at_thresholds(stable, thresholds)
-    by = [*keys, "threshold"]
-    labels = connected_components(keyed, by)
-    sizes = labels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_s"))
-    giant = sizes.groupBy(*by).agg(F.max("_s").alias("_g"), F.count(F.lit(1)).alias("n_components"))
-    counted = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("n_edges"))
+    levels = percolation_levels(stable, thresholds, keys)
     one = F.lit(1).alias("_one")
     everyone = node_table(stable, keys).groupBy(*keys, one).agg(F.count(F.lit(1)).alias("_all"))
     grid = everyone.withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])))
-    return (
-        grid.join(giant, by, "left").join(counted, by, "left")
-        .select(
-            *by,
-            F.coalesce(F.col("_g") / F.col("_all"), F.lit(0.0)).alias("giant_frac"),
-            F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
-            F.coalesce("n_components", F.lit(0)).alias("n_components"),
-        )
+    by = [*keys, "threshold"]
+    return grid.join(levels, by, "left").select(
+        *by,
+        F.coalesce(F.col("giant") / F.col("_all"), F.lit(0.0)).alias("giant_frac"),
+        F.coalesce("n_edges", F.lit(0)).alias("n_edges"),
+        F.coalesce("n_components", F.lit(0)).alias("n_components"),
     )
 
 
