@@ -24,11 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from panelwright.llm.text import map_texts
+from panelwright.llm.token_counts import MergeTable, merged_sizes
 from panelwright.llm.vocabulary import ByteBpe, PreTokens, parse
 
-#: Pre-tokens a worker remembers; a full memory is emptied, which costs time and changes no token.
-REMEMBERED = 150_000
-_NO_RULE = (1 << 62, -1)
+#: Pre-tokens of each of the two generations that a worker remembers; the older one is dropped when the younger
+#: is full, which costs time and changes no token.
+REMEMBERED = 60_000
+#: Pre-tokens that are held before those among them that are new are learned together.
+BATCH = 100_000
+#: A pair of symbols is one integer, its rule another: the rank above the symbol made, so the least rule comes first.
+_BITS = 24
+_MADE = (1 << _BITS) - 1
+_NO_RULE = 1 << 62
 
 
 def sufficient_lookahead(merges: Iterable[tuple[bytes, bytes]]) -> int:
@@ -50,53 +57,54 @@ class Transducer:
     def __init__(self, bpe: ByteBpe) -> None:
         self.byte_id = bpe.byte_id.tolist()
         self.symbol = bpe.symbol
-        self.rule = {
-            pair: (rank, made)
-            for rank, (pair, made) in enumerate(
-                zip(zip(bpe.left.tolist(), bpe.right.tolist(), strict=True), bpe.made.tolist(), strict=True)
-            )
-        }
-        self.lookahead = sufficient_lookahead((bpe.symbol[a], bpe.symbol[b]) for a, b in self.rule)
+        pairs = ((bpe.left << _BITS) | bpe.right).tolist()
+        rules = ((np.arange(len(pairs)) << _BITS) | bpe.made).tolist()
+        self.rule = dict(zip(pairs, rules, strict=True))
+        self.lookahead = sufficient_lookahead((bpe.symbol[a], bpe.symbol[b]) for a, b in zip(bpe.left.tolist(), bpe.right.tolist(), strict=True))
+        rule, ids = self.rule.get, self.byte_id
+        self._bytes = [rule(a << _BITS | b, _NO_RULE) for a in ids for b in ids]
 
     def tokens(self, piece: bytes) -> list[int]:
         """All tokens of a byte string that is read to its end."""
-        ids = [self.byte_id[b] for b in piece]
+        byte_id, first = self.byte_id, self._bytes
+        ids = [byte_id[b] for b in piece]
         if len(ids) > 64:
             return self._by_heap(ids)
-        rule, none = self.rule.get, _NO_RULE
-        waiting = [rule(pair, none) for pair in zip(ids, ids[1:], strict=False)]
+        rule = self.rule.get
+        waiting = [first[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
         while waiting:
             best = min(waiting)
-            if best is none:
+            if best == _NO_RULE:
                 break
             i = waiting.index(best)
-            ids[i] = best[1]
+            ids[i] = made = best & _MADE
             del ids[i + 1], waiting[i]
             if i < len(waiting):
-                waiting[i] = rule((ids[i], ids[i + 1]), none)
+                waiting[i] = rule(made << _BITS | ids[i + 1], _NO_RULE)
             if i:
-                waiting[i - 1] = rule((ids[i - 1], ids[i]), none)
+                waiting[i - 1] = rule(ids[i - 1] << _BITS | made, _NO_RULE)
         return ids
 
     def _by_heap(self, ids: list[int]) -> list[int]:
-        n, rule = len(ids), self.rule
+        n, rule = len(ids), self.rule.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(found[0], i, found[1], ids[i], ids[i + 1]) for i in range(n - 1) if (found := rule.get((ids[i], ids[i + 1])))]
+        heap = [(found, i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := rule(ids[i] << _BITS | ids[i + 1]))]
         heapq.heapify(heap)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
+            best, i, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i] = made = best & _MADE
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := rule.get((made, ids[k])):
-                    heapq.heappush(heap, (found[0], i, found[1], made, ids[k]))
+                if found := rule(made << _BITS | ids[k]):
+                    heapq.heappush(heap, (found, i, made, ids[k]))
             h = before[i]
-            if h >= 0 and (found := rule.get((ids[h], made))):
-                heapq.heappush(heap, (found[0], h, found[1], ids[h], made))
+            if h >= 0 and (found := rule(ids[h] << _BITS | made)):
+                heapq.heappush(heap, (found, h, ids[h], made))
         return [x for x in ids if x >= 0]
 
 
@@ -163,30 +171,85 @@ class Codec:
         self.decoder = Decoder(bpe.symbol)
         self._special = bpe.special
         self._cut = PreTokens(bpe.special)
-        self._known: dict[str, bytes] = {}
-
-    def _encode(self, piece: str) -> bytes:
-        raw = piece.encode()
-        if len(raw) <= self.rules.lookahead:  # no token of it is stable before its end
-            ids = self.rules.tokens(raw)
-        else:
-            encoder = Encoder(self.rules)
-            ids = [*encoder.feed(raw), *encoder.finish()]
-        out = struct.pack(f"<{len(ids)}I", *ids)
-        if len(raw) <= 256:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            self._known[piece] = out
-        return out
+        self._table, self._byte_id = MergeTable(bpe), bpe.byte_id
+        self._young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def _stream(self, piece: str) -> Iterator[bytes]:
+        """Ids of a long pre-token, as soon as they are stable."""
+        raw, encoder = piece.encode(), Encoder(self.rules)
+        for i in range(0, len(raw), 1 << 16):
+            ids = list(encoder.feed(raw[i : i + (1 << 16)]))
+            yield struct.pack(f"<{len(ids)}I", *ids)
+        ids = encoder.finish()
+        yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens within the lookahead: none is stable before its end, so all are merged at once."""
+        raw = [p.encode() for p in pieces]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[bytes] = [b""] * len(raw)
+
+        def leave(who: np.ndarray, symbols: np.ndarray) -> None:
+            order.append(who)
+            left.append(symbols)
+
+        order: list[np.ndarray] = []
+        left: list[np.ndarray] = []
+        symbols = self._byte_id[np.frombuffer(b"".join(raw), np.uint8)]
+        sizes = merged_sizes(self._table, symbols, np.cumsum(lengths) - lengths, leave)
+        who = np.concatenate(order)
+        flat = np.concatenate(left).astype("<u4").tobytes()
+        ends = np.cumsum(4 * sizes[who]).tolist()
+        begin = 0
+        for i, end in zip(who.tolist(), ends, strict=True):
+            out[i] = flat[begin:end]
+            begin = end
+        return dict(zip(pieces, out, strict=True))
+
+    def _settle(self, held: list[tuple[int, list[str] | tuple[str]]]) -> Iterator[tuple[int, bytes]]:
+        """Ids of the pre-tokens held; those met for the first time are learned together."""
+        fresh = {p for _, found in held if isinstance(found, list) for p in found}.difference(self._young)
+        for p in fresh.intersection(self._old):
+            self._young[p] = self._old[p]
+        fresh.difference_update(self._old)
+        limit = min(self.rules.lookahead, 256) // 4
+        short = [p for p in fresh if len(p) <= limit]
+        if len(self._young) + len(short) > REMEMBERED:
+            self._old, self._young = self._young, {}
+        if short:
+            self._young.update(self._learn(short))
+        young, old = self._young.get, self._old.get
+        for i, found in held:
+            if isinstance(found, tuple):
+                yield i, self._special[found[0]].to_bytes(4, "little")
+            elif len(short) == len(fresh) or not any(len(p) > limit for p in found):
+                yield i, b"".join([young(p) or old(p) for p in found])
+            else:
+                for p in found:
+                    known = young(p) or old(p)
+                    if known:
+                        yield i, known
+                    else:
+                        for part in self._stream(p):
+                            yield i, part
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[int, bytes]]:
+        """(number of the text, ids as little-endian unsigned 32-bit integers), in order, bounded parts at a time."""
+        held, n = [], 0
+        for i, text in enumerate(texts):
+            for found in self._cut(text):
+                held.append((i, found))
+                n += len(found)
+                if n > BATCH:
+                    yield from self._settle(held)
+                    held, n = [], 0
+        yield from self._settle(held)
 
     def encode(self, text: str) -> Iterator[bytes]:
-        """Ids as little-endian unsigned 32-bit integers, a bounded part of the text at a time."""
-        for found in self._cut(text):
-            if isinstance(found, tuple):
-                yield self._special[found[0]].to_bytes(4, "little")
-                continue
-            known = self._known.get
-            yield b"".join([known(p) or self._encode(p) for p in found])
+        """The ids of one text."""
+        for _, part in self.encode_all([text]):
+            yield part
 
     def decode(self, parts: Iterable[bytes]) -> Iterator[str]:
         for part in parts:
@@ -210,9 +273,11 @@ def encode(df: DataFrame, tokenizer_file: str, text_col: str = "text", ids_col:
 
     def run(texts: pa.Array) -> dict[str, object]:
         codec = _codec(content.value)
-        rows = [b"".join(codec.encode(t or "")) for t in texts.to_pylist()]
-        sizes = np.fromiter(map(len, rows), np.int64, len(rows)) // 4
-        flat = np.frombuffer(b"".join(rows), "<u4").astype(np.int32)
+        parts = list(codec.encode_all(t or "" for t in texts.to_pylist()))
+        sizes = np.zeros(len(texts), np.int64)
+        for i, part in parts:
+            sizes[i] += len(part) // 4
+        flat = np.frombuffer(b"".join(part for _, part in parts), "<u4").astype(np.int32)
         return {ids_col: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat))}
 
     return map_texts(df, text_col, run, f"{ids_col} array<int>")
@@ -250,22 +315,19 @@ def round_trip(df: DataFrame, tokenizer_file: str, text_col: str = "text") -> Da
 
     def run(texts: pa.Array) -> dict[str, object]:
         codec = _codec(content.value)
-        counts, of_ids, of_text = [], [], []
-        for text in texts.to_pylist():
-            ids, back, n = hashlib.sha256(), hashlib.sha256(), 0
-
-            def parts(text=text, ids=ids):
-                nonlocal n
-                for part in codec.encode(text or ""):
-                    ids.update(part)
-                    n += len(part) // 4
-                    yield part
-
-            for made in codec.decode(parts()):
-                back.update(made.encode())
-            counts.append(n)
-            of_ids.append(ids.hexdigest())
-            of_text.append(back.hexdigest())
+        counts = [0] * len(texts)
+        of_ids, of_text = ([hashlib.sha256() for _ in counts] for _ in range(2))
+        now = 0
+        for i, part in codec.encode_all(t or "" for t in texts.to_pylist()):
+            if i != now:
+                of_text[now].update(codec.decoder.finish().encode())
+                now = i
+            counts[i] += len(part) // 4
+            of_ids[i].update(part)
+            of_text[i].update(codec.decoder.feed(np.frombuffer(part, "<u4")).encode())
+        if counts:
+            of_text[now].update(codec.decoder.finish().encode())
+        of_ids, of_text = ([d.hexdigest() for d in made] for made in (of_ids, of_text))
         return {"n_tokens": counts, "ids_sha256": of_ids, "decoded_sha256": of_text}
 
     return map_texts(df, text_col, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")

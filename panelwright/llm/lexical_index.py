@@ -121,11 +121,16 @@ def build(docs: DataFrame, vocabulary: np.ndarray | None = None, id_col: str = "
     for name, of in (("terms", T.LongType()), ("tops", T.IntegerType()), ("counts", T.IntegerType()), ("tfs", T.IntegerType()), ("sizes", T.IntegerType()), ("members", T.IntegerType())):
         schema.add(name, T.ArrayType(of))
     held = rows.where(F.size("terms") > 0).select(m.alias("m"), "doc_id", "terms", "tfs")
-    # a stratum is cut by the hash of the id, so one length that many documents share fills many partitions
-    strata = held.repartitionByRange("m", F.xxhash64("doc_id")).sortWithinPartitions("m", "doc_id")
+    # a stratum is dealt out in as many parts as it needs blocks: neither one length that many documents share
+    # nor the few lengths of the long documents, which hold most postings, fill a task
+    parts = F.greatest(F.ceil(F.sum(F.size("terms")) / BLOCK_POSTINGS), F.ceil(F.count("*") / BLOCK_DOCS))
+    per_m = cut_lineage(held.groupBy(F.col("m").alias("_m")).agg(parts.alias("_parts")))
+    placed = held.join(per_m, F.col("m") == F.col("_m")).withColumn("_part", F.pmod(F.xxhash64("doc_id"), F.col("_parts")))
+    strata = placed.repartition("m", "_part").sortWithinPartitions("m", "_part", "doc_id").drop("_m", "_parts", "_part")
     blocks = strata.mapInArrow(_pack, schema).withColumn("block", F.monotonically_increasing_id())
     index = Index(cut_lineage(blocks), total.docs, total.terms)
     drop_table(rows)
+    drop_table(per_m)
     return index
 
 

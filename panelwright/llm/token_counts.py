@@ -8,6 +8,7 @@ without a merge leave; what is left of them is their number of tokens.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -40,8 +41,12 @@ class MergeTable:
         return np.where(self._keys[at] == wanted, self._ranks[at], _NONE)
 
 
-def merged_sizes(table: MergeTable, symbols: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Number of symbols left of each sequence when no merge applies; sequences must not be empty."""
+def merged_sizes(table: MergeTable, symbols: np.ndarray, starts: np.ndarray, leave: Callable[[np.ndarray, np.ndarray], None] | None = None) -> np.ndarray:
+    """Number of symbols left of each sequence when no merge applies; sequences must not be empty.
+
+    ``leave`` is told of sequences that are done: their numbers and, one after
+    the other, their symbols.
+    """
     total = len(starts)
     sizes = np.zeros(total, np.int64)
     who = np.arange(total)
@@ -58,6 +63,8 @@ def merged_sizes(table: MergeTable, symbols: np.ndarray, starts: np.ndarray) ->
         if done.any():
             sizes[who[done]] = length[done]
             stay = np.repeat(~done, length)
+            if leave is not None:
+                leave(who[done], sym[~stay])
             sym, rank, who, length, best = sym[stay], rank[stay], who[~done], length[~done], best[~done]
             start = np.cumsum(length) - length
             if not len(who):
