@@ -93,7 +93,8 @@ def _round(state: DataFrame, links: DataFrame, load: np.ndarray, capacity: np.nd
     shards = len(load)
     in_hub = links.join(state.select("row", "shard"), "row")
     cells = in_hub.groupBy("hub", "shard").agg(F.count("*").alias("n"))
-    per_hub = cells.groupBy("hub").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "n")).alias("cells"))
+    # written out, so that a hub of many rows can be split where it meets them
+    per_hub = cut_lineage(cells.groupBy("hub").agg(F.collect_list(F.struct(F.col("shard").alias("to"), "n")).alias("cells")))
     # a shard counts as having room from a thousandth of its capacity on, so that a full one is not wanted for ever
     room = F.array(*[F.lit(bool(1000 * (c - v) > c)) for c, v in zip(capacity, load, strict=True)])
     met = in_hub.join(per_hub, "hub").select("row", "hub", "shard", F.explode("cells").alias("c"))
@@ -106,6 +107,7 @@ def _round(state: DataFrame, links: DataFrame, load: np.ndarray, capacity: np.nd
     for r in moves.groupBy("from", "to").agg(F.sum("weight").alias("w")).collect():
         wanted[r["from"], r["to"]] = r["w"]
     x = allowed(wanted, load, capacity)
+    drop_table(per_hub)
     if not x.any():
         drop_table(moves)
         return None, 0
@@ -131,7 +133,7 @@ def propagate(rows: DataFrame, links: DataFrame, shards: int, rounds: int = 24)
     """
     total = int(rows.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])
     capacity = capacities(total, shards)
-    shared = links.groupBy("hub").agg(F.count_distinct("row").alias("n")).where("n > 1").select("hub")
+    shared = cut_lineage(links.groupBy("hub").agg((F.min("row") < F.max("row")).alias("several")).where("several").select("hub"))
     links = cut_lineage(links.join(shared, "hub").select("row", "hub").distinct())
     linked = cut_lineage(rows.join(links.select("row").distinct(), "row", "left_semi"))
     weight = int(linked.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0])

@@ -44,7 +44,7 @@ def _words(line: Column) -> Column:
 
 
 def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, h, n, sides) of every line with a word; each line is read once."""
+    """(doc, t, pos, h, n, sides) of every line with a word, t being the hash of the row's text; each line is read once."""
 
     def measured(words: Column) -> Column:
         n = F.size(words)
@@ -52,8 +52,8 @@ def _occurrences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return F.struct(F.xxhash64(words).alias("h"), n.alias("n"), sides.alias("sides"))
 
     lines = F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda line: _let(_words(line), measured))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.posexplode(lines).alias("pos", "m"))
-    return rows.where("m.n > 0").select("doc", "pos", "m.h", "m.n", "m.sides")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc"), F.xxhash64(F.col(f"`{text_col}`")).alias("t"), F.posexplode(lines).alias("pos", "m"))
+    return rows.where("m.n > 0").select("doc", "t", "pos", "m.h", "m.n", "m.sides")
 
 
 def _sides(words: Column, n: Column) -> Column:
@@ -126,14 +126,14 @@ def _within_one_edit(a: Column, b: Column) -> Column:
 
 def _candidates(occurrences: DataFrame) -> DataFrame:
     """(h, first, q_first, q_last, longer) of the lines that share a beginning or an end with another line."""
-    sides = occurrences.where(F.col("n") >= MIN_WORDS).select("doc", "pos", "h", "n", F.explode("sides").alias("s"))
-    sides = sides.select("doc", "pos", "h", "n", "s.key", "s.q", "s.end")
+    sides = occurrences.where(F.col("n") >= MIN_WORDS).select("doc", "t", "pos", "h", "n", F.explode("sides").alias("s"))
+    sides = sides.select("doc", "t", "pos", "h", "n", "s.key", "s.q", "s.end")
     shared = sides.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"), F.max("n").alias("most")).where("low <> high").select("key", "most")
     return (
         sides.join(_sent(cut_lineage(shared)), "key")
         .groupBy("h")
         .agg(
-            F.min(F.struct("doc", "pos")).alias("first"),
+            F.min(F.struct("doc", "t", "pos")).alias("first"),
             F.min(F.when(F.col("end") == 0, F.col("q"))).alias("q_first"),
             F.min(F.when(F.col("end") == 1, F.col("q"))).alias("q_last"),
             F.max(F.col("most") > F.col("n")).alias("longer"),
@@ -143,14 +143,14 @@ def _candidates(occurrences: DataFrame) -> DataFrame:
 
 def _near(occurrences: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Hashes of the lines to which an earlier, different line is alike."""
-    per_doc = _candidates(occurrences).groupBy(F.col("first.doc").alias("_doc"))
+    per_doc = _candidates(occurrences).groupBy(F.col("first.doc").alias("_doc"), F.col("first.t").alias("_t"))
     wanted = cut_lineage(per_doc.agg(F.collect_list(F.struct("first.pos", "h", "q_first", "q_last", "longer")).alias("wanted")))
-    source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
-    met = source.join(_sent(wanted, F.size("wanted")), F.col("doc").eqNullSafe(F.col("_doc")))
-    lines = met.select("doc", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("c"))
-    lines = lines.select("doc", "c.*", _words(F.get("lines", F.col("c.pos"))).alias("words")).dropDuplicates(["h"])
+    source = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).withColumn("t", F.xxhash64("text"))
+    met = source.join(_sent(wanted, F.size("wanted")), F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")))
+    lines = met.select("doc", "t", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("c"))
+    lines = lines.select("doc", "t", "c.*", _words(F.get("lines", F.col("c.pos"))).alias("words")).dropDuplicates(["h"])
     # numbered in the order of the documents, so the earliest line has the smallest number
-    ordered = lines.orderBy("doc", "pos").withColumn("ord", F.monotonically_increasing_id())
+    ordered = lines.orderBy("doc", "t", "pos").withColumn("ord", F.monotonically_increasing_id())
     lines = cut_lineage(ordered.select("ord", "h", "words", F.size("words").alias("n"), "q_first", "q_last", "longer"))
 
     around = cut_lineage(_neighbourhood(lines))
@@ -163,29 +163,30 @@ def _near(occurrences: DataFrame, docs: DataFrame, id_col: str, text_col: str) -
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, removed, n_equal, n_near) of the documents that lose lines.
+    """(doc, t, removed, n_equal, n_near) of the documents that lose lines, t being the hash of their text.
 
     ``removed`` holds the numbers (from 0) of the lines to leave out, in order;
     ``n_equal`` counts those equal to an earlier line, ``n_near`` the others.
     Lines are split at newlines; blank lines never go.  Null and empty texts
-    lose nothing.  Rows that share an id count as one document, so equal rows
-    keep the same lines; a null id comes before all others.
+    lose nothing.  Rows that share an id are told apart by their text and stand
+    in the order of its hash; equal rows keep the same lines.  A null id comes
+    before all others.
     """
     occurrences = cut_lineage(_occurrences(docs, id_col, text_col))
     near = _near(occurrences, docs, id_col, text_col).withColumn("near", F.lit(True))
-    first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("times"))
+    first = occurrences.groupBy("h").agg(F.min(F.struct("doc", "t", "pos")).alias("first"), F.count("*").alias("times"))
     losing = first.join(near, "h", "left").where("times > 1 or near").select("h", "first", "near")
-    here = F.struct("doc", "pos")
+    here = F.struct("doc", "t", "pos")
     gone = (
-        occurrences.select("doc", "pos", "h")
+        occurrences.select("doc", "t", "pos", "h")
         .join(_sent(cut_lineage(losing)), "h")
         .withColumn("equal", ~here.eqNullSafe(F.col("first")))
         .where("equal or near")
     )
     lines = F.array_distinct(F.sort_array(F.collect_list(F.struct("pos", "equal"))))
     count = lambda equal: F.size(F.filter("gone", lambda g: g["equal"] == equal)).cast("long")
-    per_doc = gone.groupBy("doc").agg(lines.alias("gone"))
-    return per_doc.select("doc", F.col("gone.pos").alias("removed"), count(True).alias("n_equal"), count(False).alias("n_near"))
+    per_doc = gone.groupBy("doc", "t").agg(lines.alias("gone"))
+    return per_doc.select("doc", "t", F.col("gone.pos").alias("removed"), count(True).alias("n_equal"), count(False).alias("n_near"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,10 +196,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     that loses none stays as it is, null included.  Input columns named like a
     result are replaced.
     """
-    lost = cut_lineage(repeated_lines(docs, id_col, text_col).withColumnRenamed("doc", "_doc"))
+    lost = cut_lineage(repeated_lines(docs, id_col, text_col).withColumnsRenamed({"doc": "_lost_doc", "t": "_lost_t"}))
     rows = docs.drop(*[c for c in ("n_lines", "n_equal", "n_near", "removed") if c not in (id_col, text_col)])
-    joined = rows.join(_sent(lost, F.size("removed")), F.col(f"`{id_col}`").eqNullSafe(F.col("_doc")), "left").drop("_doc")
     text = F.col(f"`{text_col}`")
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_lost_doc")) & (F.xxhash64(text) == F.col("_lost_t"))
+    joined = rows.join(_sent(lost, F.size("removed")), same, "left").drop("_lost_doc", "_lost_t")
     # what follows the first word's beginning up to the newline: one match per line with a word
     n_lines = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*")), F.lit(0)).cast("long")
 

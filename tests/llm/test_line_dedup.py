@@ -73,6 +73,17 @@ def test_edges(spark):
     assert dedup_lines(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_lose_their_own_lines_only(spark):
+    near = "one two three four five six seven eight nine"
+    docs = [(0, "same line here"), (1, "same line here"), (1, "a unique text of its own"), (1, None), (2, near), (3, "own\n" + near + " ten"), (3, near + " ten\nother"), (None, "x"), (None, "y\nx")]
+    rows = dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    got = sorted((str(r.doc_id), r.text) for r in rows if r.text is not None)
+    assert [g for g in got if g[0] in "012"] == [("0", "same line here"), ("1", ""), ("1", "a unique text of its own"), ("2", near)]
+    assert [t for i, t in got if i == "3"] == ["other", "own"]
+    # of two rows the one whose text has the smaller hash comes first
+    assert sorted(t for i, t in got if i == "None") in (["", "y\nx"], ["x", "y"])
+
+
 def test_plan_is_native(spark):
     df = spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")
     plan = dedup_lines(df)._jdf.queryExecution().toString()
