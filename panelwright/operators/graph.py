@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelwright.functions.columns import ratio
 from panelwright.functions.ordered import average_ranks, hash_positions
 from panelwright.operators.forest import percolation_levels
+from panelwright.operators.similarity import cosine_pairs, nearest_by_cosine
 from panelwright.session import cut_lineage
 
 BLOCK = 512
@@ -126,31 +127,7 @@ def similarity_edges(
     cell = df.groupBy(F.col(region).alias("node"), F.col(maker).alias("f")).agg(
         F.sum(weight).cast("double").alias("x")
     )
-    length = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("node")))
-    vectors = (
-        cell.withColumn("x", ratio("x", length)).where(F.col("x") != 0)
-        .groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("f", "x"))).alias("v"))
-    )
-
-    def dot(a: Column, b: Column) -> Column:
-        return F.aggregate(
-            F.map_entries(a),
-            F.lit(0.0),
-            lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0.0)),
-        )
-
-    scored = F.filter(
-        F.transform(
-            F.filter("others", lambda o: o["node"] > F.col("node")),
-            lambda o: F.struct(o["node"].alias("dst"), dot(F.col("v"), o["v"]).alias("weight")),
-        ),
-        lambda r: r["weight"] >= min_similarity,
-    )
-    return (
-        against_blocks(vectors)
-        .select(F.col("node").alias("src"), F.explode(scored).alias("r"))
-        .select("src", "r.*")
-    )
+    return cosine_pairs(cell, min_similarity)
 
 
 def economic_similarity_edges(
@@ -158,8 +135,8 @@ def economic_similarity_edges(
 ) -> DataFrame:
     """k nearest neighbours by cosine of z-scored covariates; either end may pick the edge.
 
-    Nulls take the column median.  A task keeps only the k best of its block, and
-    the blocks' best are merged per state.
+    Nulls take the column median.  The search looks beyond a state's own cell
+    only where another can hold a nearer one.
     """
     stats = features.agg(
         *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(f"_m_{c}") for c in columns]
@@ -189,20 +166,7 @@ def economic_similarity_edges(
     unit = z.select(
         "node", F.transform("z", lambda v: v / F.when(length == 0, 1.0).otherwise(length)).alias("v")
     )
-    top = F.slice(
-        F.sort_array(
-            F.transform(
-                F.filter("others", lambda o: o["node"] != F.col("node")),
-                lambda o: F.struct(dot(F.col("v"), o["v"]).alias("s"), o["node"].alias("other")),
-            ),
-            asc=False,
-        ),
-        1,
-        k,
-    )
-    nearest = against_blocks(unit).select("node", F.explode(top).alias("t")).select("node", "t.*")
-    rank = Window.partitionBy("node").orderBy(F.desc("s"), F.desc("other"))
-    picked = nearest.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
+    picked = nearest_by_cosine(unit, k)
     return picked.groupBy(
         F.least("node", "other").alias("src"), F.greatest("node", "other").alias("dst")
     ).agg(F.max("s").alias("weight"))
