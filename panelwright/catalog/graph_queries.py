@@ -228,7 +228,18 @@ def degree_strength(m: Market) -> DataFrame:
     return graph.degree_strength(shares(m, 0.04))
 
 
-@query("grf_13_betweenness")
+@query(
+    "grf_13_betweenness",
+    f"""WITH RECURSIVE {_NEIGHBOURS}, n AS (SELECT DISTINCT src AS node FROM neighbours),
+ walk AS (SELECT node AS s, node, 0 AS d FROM n UNION SELECT s, dst, d + 1 FROM walk JOIN neighbours ON src = node WHERE d < (SELECT COUNT(*) FROM n)),
+ dist AS (SELECT s, node, MIN(d) AS d FROM walk GROUP BY ALL),
+ p AS (SELECT s, node, d, 1::DOUBLE AS k FROM dist WHERE d = 0
+  UNION ALL SELECT p.s, dst, p.d + 1, SUM(k) FROM p JOIN neighbours ON src = p.node JOIN dist t ON t.s = p.s AND t.node = dst AND t.d = p.d + 1 GROUP BY p.s, dst, p.d),
+ b AS (SELECT v.node, SUM(v.k * r.k / e.k) AS b FROM p v JOIN p r ON r.s = v.node JOIN p e ON e.s = v.s AND e.node = r.node AND e.d = v.d + r.d WHERE v.node <> v.s AND r.node <> v.node GROUP BY ALL)
+ SELECT node, COALESCE(b, 0) / ((SELECT COUNT(*) FROM n) - 1) / ((SELECT COUNT(*) FROM n) - 2) AS betweenness FROM n LEFT JOIN b USING (node)""",
+    "adjacency",
+    "betweenness",
+)
 def betweenness(m: Market) -> DataFrame:
     return graph.betweenness(borders(m))
 

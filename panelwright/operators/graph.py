@@ -19,7 +19,7 @@ from panelwright.functions.columns import ratio
 from panelwright.functions.ordered import average_ranks, hash_positions
 from panelwright.operators.forest import percolation_levels
 from panelwright.operators.similarity import cosine_pairs, nearest_by_cosine
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, drop_table
 
 BLOCK = 512
 
@@ -478,11 +478,18 @@ def _lanczos(links: DataFrame, state: DataFrame, steps: int, tolerance: float):
         state = grown.select("node", F.concat("q", F.array(w / length)).alias("q"))
 
 
-def betweenness(edges: DataFrame) -> DataFrame:
+#: Rows (source, node) and (source, edge) that one batch of sources may hold.
+BATCH_ROWS = 8_000_000
+
+
+def betweenness(edges: DataFrame, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Weighted shortest-path betweenness, normalised; the weight is read as distance.
 
-    All sources relax together as rows (source, node); path counts then move
-    outward along tight edges in hop order, and dependencies move back.  A
+    Sources are taken in batches, as many at once as keep (source, edge) rows
+    within ``batch_rows``.  A batch finds its distances, settles path counts wave
+    by wave (a node follows when all nodes before it are settled), carries the
+    dependencies back through the waves, and leaves one sum per node; its tables
+    go before the next batch begins.  Parallel edges are paths of their own.  A
     distance must be above zero: with zeros there are endlessly many shortest
     walks, with less than zero no shortest one, so both are refused.
     """
@@ -490,71 +497,78 @@ def betweenness(edges: DataFrame) -> DataFrame:
         raise ValueError("betweenness reads weights as distances; they must be above zero")
     links = cut_lineage(symmetrised(edges).select("src", "dst", F.col("weight").cast("double").alias("w")))
     nodes = cut_lineage(links.select(F.col("src").alias("node")).distinct())
-    dist = cut_lineage(nodes.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d")))
-    for _ in count():
-        step = dist.join(links, F.col("node") == F.col("src")).select(
-            "s", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("d")
-        )
-        better = cut_lineage(dist.unionByName(step).groupBy("s", "node").agg(F.min("d").alias("d")))
-        changed = better.join(
-            dist.withColumnRenamed("d", "_old"), ["s", "node"], "left"
-        ).where(F.col("_old").isNull() | (F.col("d") < F.col("_old") - 1e-12)).limit(1).count()
-        dist = better
-        if not changed:
+    n, m = nodes.count(), links.count()
+    if not n:
+        return nodes.withColumn("betweenness", F.lit(0.0))
+    batches = -(-n // max(1, batch_rows // max(n, m)))
+    sums = None
+    for k in range(batches):
+        sources = nodes.where(F.pmod(F.xxhash64("node"), F.lit(batches)) == k)
+        if sources.isEmpty():
+            continue
+        own = _dependencies(links, sources)
+        if sums is None:
+            sums = own
+        else:
+            both = cut_lineage(sums.unionByName(own).groupBy("node").agg(F.sum("v").alias("v")))
+            drop_table(sums)
+            drop_table(own)
+            sums = both
+    scale = float((n - 1) * (n - 2))
+    value = F.coalesce("v", F.lit(0.0)) / scale if n > 2 else F.lit(0.0)
+    return nodes.join(sums, "node", "left").select("node", value.alias("betweenness"))
+
+
+def _distances(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(s, node, d); each round only rows that changed reach out."""
+    state = cut_lineage(sources.select(F.col("node").alias("s"), "node", F.lit(0.0).alias("d"), F.lit(True).alias("fresh")))
+    while not state.where("fresh").isEmpty():
+        step = state.where("fresh").join(links, F.col("node") == F.col("src")).select("s", F.col("dst").alias("node"), (F.col("d") + F.col("w")).alias("new"))
+        known = state.select("s", "node", F.lit(None).cast("double").alias("new"), F.col("d").alias("old"))
+        met = known.unionByName(step.withColumn("old", F.lit(None).cast("double"))).groupBy("s", "node").agg(F.min("new").alias("new"), F.min("old").alias("old"))
+        nearer = F.col("new").isNotNull() & (F.col("old").isNull() | (F.col("new") < F.col("old") * (1 - 1e-12)))
+        after = cut_lineage(met.select("s", "node", F.when(nearer, F.col("new")).otherwise(F.col("old")).alias("d"), nearer.alias("fresh")))
+        drop_table(state)
+        state = after
+    return state.drop("fresh")
+
+
+def _dependencies(links: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, v): what the shortest paths of the sources to all other nodes depend on each node."""
+    dist = _distances(links, sources)
+    ahead = dist.join(links, F.col("node") == F.col("src")).select("s", "src", "dst", F.col("d").alias("_from"), (F.col("d") + F.col("w")).alias("_via"))
+    met = ahead.join(dist.select("s", F.col("node").alias("dst"), F.col("d").alias("_best")), ["s", "dst"])
+    on_path = (F.abs(F.col("_via") - F.col("_best")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("_best"))) & (F.col("_from") < F.col("_best"))
+    tight = cut_lineage(met.where(on_path).select("s", "src", "dst"))
+    need = tight.groupBy("s", F.col("dst").alias("node")).agg(F.count("*").alias("need"))
+    first = dist.join(need, ["s", "node"], "left").select(
+        "s", "node", F.coalesce("need", F.lit(0)).alias("need"), F.when(F.col("need").isNull(), 1.0).otherwise(0.0).alias("paths"), F.when(F.col("need").isNull(), 0).alias("wave")
+    )
+    state, wave = cut_lineage(first), 0
+    drop_table(dist)
+    while True:
+        given = state.where(F.col("wave") == wave).select("s", F.col("node").alias("src"), F.col("paths").alias("_p")).join(tight, ["s", "src"])
+        given = given.groupBy("s", F.col("dst").alias("node")).agg(F.sum("_p").alias("_p"), F.count("*").alias("_k"))
+        left = F.col("need") - F.coalesce("_k", F.lit(0))
+        settled = F.when(F.col("wave").isNull() & (left == 0), wave + 1).otherwise(F.col("wave"))
+        after = state.join(given, ["s", "node"], "left").select("s", "node", left.alias("need"), (F.col("paths") + F.coalesce("_p", F.lit(0.0))).alias("paths"), settled.alias("wave"))
+        after = cut_lineage(after)
+        drop_table(state)
+        state, wave = after, wave + 1
+        if state.where(F.col("wave") == wave).isEmpty():
             break
-    tight = dist.join(links, F.col("node") == F.col("src")).select("s", "src", "dst", (F.col("d") + F.col("w")).alias("_via"))
-    tight = cut_lineage(
-        tight.join(dist.select("s", F.col("node").alias("dst"), F.col("d").alias("_best")), ["s", "dst"])
-        .where(F.abs(F.col("_via") - F.col("_best")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("_best")))
-        .select("s", "src", "dst")
-    )
-
-    def converge(first: DataFrame, step) -> DataFrame:
-        """Repeats until no value moves: the tight edges form a graph without cycles."""
-        state = cut_lineage(first)
-        for _ in count():
-            fresh = cut_lineage(step(state))
-            moved = fresh.join(state.withColumnRenamed("v", "_old"), ["s", "node"], "left").where(
-                F.col("_old").isNull() | (F.abs(F.col("v") - F.col("_old")) > 1e-9 * F.greatest(F.lit(1.0), F.col("v")))
-            ).limit(1).count()
-            state = fresh
-            if not moved:
-                break
-        return state
-
-    start = nodes.select(F.col("node").alias("s"), "node", F.lit(1.0).alias("v"))
-
-    def paths(state: DataFrame) -> DataFrame:
-        flow = tight.join(state.withColumnRenamed("node", "src"), ["s", "src"]).select(
-            "s", F.col("dst").alias("node"), "v"
-        )
-        return start.unionByName(flow).groupBy("s", "node").agg(F.sum("v").alias("v"))
-
-    sigma = converge(start, paths)
-    shares = cut_lineage(
-        tight.join(sigma.select("s", F.col("node").alias("src"), F.col("v").alias("_su")), ["s", "src"])
-        .join(sigma.select("s", F.col("node").alias("dst"), F.col("v").alias("_sv")), ["s", "dst"])
-        .select("s", "src", "dst", (F.col("_su") / F.col("_sv")).alias("c"))
-    )
-    zero = sigma.select("s", "node", F.lit(0.0).alias("v"))
-
-    def dependencies(state: DataFrame) -> DataFrame:
-        back = shares.join(state.withColumnRenamed("node", "dst"), ["s", "dst"]).select(
-            "s", F.col("src").alias("node"), (F.col("c") * (1 + F.col("v"))).alias("v")
-        )
-        return zero.unionByName(back).groupBy("s", "node").agg(F.sum("v").alias("v"))
-
-    delta = converge(zero, dependencies)
-    size = nodes.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
-    total = delta.where(F.col("s") != F.col("node")).groupBy("node").agg(F.sum("v").alias("_b"))
-    n = F.col("_n")
-    return (
-        nodes.join(total, "node", "left").withColumn("_one", F.lit(1)).join(size, "_one")
-        .select(
-            "node",
-            F.when(n > 2, F.coalesce("_b", F.lit(0.0)) / ((n - 1) * (n - 2))).otherwise(0.0).alias("betweenness"),
-        )
-    )
+    state = cut_lineage(state.select("s", "node", "paths", "wave", F.lit(0.0).alias("v")))
+    for last in range(wave - 1, 0, -1):
+        back = state.where(F.col("wave") == last).select("s", F.col("node").alias("dst"), ((1 + F.col("v")) / F.col("paths")).alias("_c")).join(tight, ["s", "dst"])
+        back = back.groupBy("s", F.col("src").alias("node")).agg(F.sum("_c").alias("_c"))
+        grown = F.col("v") + F.col("paths") * F.coalesce("_c", F.lit(0.0))
+        after = cut_lineage(state.join(back, ["s", "node"], "left").select("s", "node", "paths", "wave", grown.alias("v")))
+        drop_table(state)
+        state = after
+    out = cut_lineage(state.where(F.col("s") != F.col("node")).groupBy("node").agg(F.sum("v").alias("v")))
+    drop_table(state)
+    drop_table(tight)
+    return out
 
 
 def modularity(edges: DataFrame, membership: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

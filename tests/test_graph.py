@@ -133,6 +133,39 @@ def test_betweenness_against_brute_force(frame):
     assert got == pytest.approx(want)
 
 
+def all_pairs(edges):
+    """Betweenness from all distances and path counts, in whole numbers as weights."""
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    far = {(a, b): 0 if a == b else 10**9 for a in nodes for b in nodes}
+    near = [(a, b, w) for a, b, w in edges] + [(b, a, w) for a, b, w in edges]
+    for a, b, w in near:
+        far[a, b] = min(far[a, b], w) if a != b else 0
+    for k in nodes:
+        for a in nodes:
+            for b in nodes:
+                far[a, b] = min(far[a, b], far[a, k] + far[k, b])
+    paths = {}
+    for s in nodes:
+        for v in sorted(nodes, key=lambda v: far[s, v]):
+            paths[s, v] = 1 if v == s else sum(paths[s, a] for a, b, w in near if b == v and a != v and far[s, a] + w == far[s, v] and far[s, v] < 10**9)
+    n = len(nodes)
+    return {
+        v: sum(paths[s, v] * paths[v, t] / paths[s, t] for s in nodes for t in nodes if len({s, v, t}) == 3 and far[s, t] < 10**9 and far[s, v] + far[v, t] == far[s, t]) / ((n - 1) * (n - 2))
+        for v in nodes
+    }
+
+
+@pytest.mark.parametrize("batch_rows", [10**6, 700])
+def test_weighted_betweenness_in_batches(frame, batch_rows):
+    import random
+
+    rng = random.Random(5)
+    edges = list({(min(a, b), max(a, b)): (f"n{min(a, b)}", f"n{max(a, b)}", rng.randint(1, 4)) for a, b in ((rng.randint(0, 24), rng.randint(0, 24)) for _ in range(45)) if a != b}.values())
+    edges += [("x", "y", 2), ("y", "z", 2), ("x", "w", 1), ("w", "z", 3)]  # another component with two equal ways
+    got = {r.node: r.betweenness for r in graph.betweenness(frame([(a, b, float(w)) for a, b, w in edges], "src string, dst string, weight double"), batch_rows).collect()}
+    assert got == pytest.approx(all_pairs(edges))
+
+
 def test_eigenvector_against_numpy(frame):
     rng = np.random.default_rng(1)
     w = rng.random((4, 3)) + 0.1
