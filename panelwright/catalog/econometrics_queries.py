@@ -64,6 +64,21 @@ def panel_ols(m: Market) -> DataFrame:
     return econometrics.panel_ols(local_year(m), "ev_share", ["cng_share"]).select("term", "coef", "se", "n")
 
 
+_TWO_WAY = """WITH o AS (SELECT state_code, year, cng_share::DOUBLE AS x, ev_share::DOUBLE AS y FROM panel_year WHERE state_code <> 'ALL'),
+ d AS (SELECT state_code, x - AVG(x) OVER e - AVG(x) OVER t + AVG(x) OVER () AS x, y - AVG(y) OVER e - AVG(y) OVER t + AVG(y) OVER () AS y, y AS raw
+  FROM o WINDOW e AS (PARTITION BY state_code), t AS (PARTITION BY year)),
+ b AS (SELECT SUM(x * y) / SUM(x * x) AS b, SUM(x * x) AS sxx, COUNT(*) AS n, COUNT(DISTINCT state_code) AS g, (SELECT COUNT(DISTINCT year) FROM o) AS t, VAR_POP(raw) * COUNT(*) AS syy FROM d),
+ s AS (SELECT SUM(u * u) AS meat FROM (SELECT SUM(x * (y - b * x)) AS u FROM d, b GROUP BY state_code)),
+ r AS (SELECT SUM((y - b * x) ** 2) AS sse FROM d, b)
+ SELECT 'cng_share' AS term, b AS coef, SQRT(meat) / sxx * SQRT(g / (g - 1.0) * (n - 1.0) / (n - g - t)) AS se, n, 1 - sse / syy AS r2 FROM b, s, r"""
+
+
+@query("eco_02_panel_ols_two_way", _TWO_WAY, "panel_year", "coef se r2")
+def panel_ols_two_way(m: Market) -> DataFrame:
+    """State and year effects; every state reports every year, so the oracle may subtract both means at once."""
+    return econometrics.panel_ols(local_year(m), "ev_share", ["cng_share"], time_effects=True).select("term", "coef", "se", "n", "r2")
+
+
 @query("eco_03_coefficient_table")
 def coefficient_table(m: Market) -> DataFrame:
     return econometrics.panel_ols(

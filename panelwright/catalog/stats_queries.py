@@ -174,6 +174,23 @@ def powerlaw_fit(m: Market) -> DataFrame:
     return stats.powerlaw_fit(sizes, ["year"], "units")
 
 
+@query(
+    "agg_12_powerlaw_tail",
+    """WITH s AS (SELECT year, city, SUM(qty)::DOUBLE AS x FROM wholesale GROUP BY ALL HAVING SUM(qty) > 0),
+ v AS (SELECT year, x, COUNT(*) AS c FROM s GROUP BY year, x QUALIFY SUM(COUNT(*)) OVER (PARTITION BY year) >= 10),
+ cand AS (SELECT a.year, a.x AS xmin, SUM(b.c) AS n_tail, 1 + SUM(b.c) / SUM(b.c * LN(b.x / a.x)) AS alpha
+  FROM v a JOIN v b ON b.year = a.year AND b.x >= a.x GROUP BY a.year, a.x HAVING COUNT(*) > 1),
+ cum AS (SELECT c.*, v.x, v.c, SUM(v.c) OVER (PARTITION BY c.year, c.xmin ORDER BY v.x) AS upto FROM cand c JOIN v ON v.year = c.year AND v.x >= c.xmin),
+ gap AS (SELECT year, xmin, alpha, n_tail, MAX(GREATEST(ABS(upto / n_tail - 1 + (x / xmin) ** (1 - alpha)), ABS((upto - c) / n_tail - 1 + (x / xmin) ** (1 - alpha)))) AS ks FROM cum GROUP BY ALL)
+ SELECT year, xmin, alpha, CAST(n_tail AS BIGINT) AS n_tail, ks FROM gap QUALIFY ROW_NUMBER() OVER (PARTITION BY year ORDER BY ks, xmin) = 1""",
+    "wholesale",
+    "xmin alpha ks",
+)
+def powerlaw_tail(m: Market) -> DataFrame:
+    sizes = m.dispatch.groupBy("year", "city").agg(F.sum("qty").alias("units"))
+    return stats.powerlaw_tail(sizes, ["year"], "units")
+
+
 @query(
     "agg_13_fuel_mix_entropy",
     """SELECT state_code, year, month, -(SELECT SUM(CASE WHEN u > 0 THEN (u / t) * LN(u / t) ELSE 0 END)

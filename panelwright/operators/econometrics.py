@@ -16,7 +16,7 @@ from panelwright.functions.columns import ratio
 from panelwright.functions.linalg import cross_products, f_sf, fit2, moments2, norm_sf2, unpack
 from panelwright.functions.ordered import average_ranks
 from panelwright.operators.series import smooth
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, drop_table
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "spearman") -> DataFrame:
@@ -61,6 +61,51 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "spe
     )
 
 
+def absorbed(rows: DataFrame, columns: Sequence[str], by: Sequence[str], tolerance: float = 1e-10) -> DataFrame:
+    """The columns less their effects of each key in ``by`` (one key or two).
+
+    With two keys the effects of one are found from what the other leaves, in
+    turn, until no effect moves by more than ``tolerance`` standard deviations.
+    Only the effects are kept between the turns, one array per key; the rows
+    stay as they are until the end.
+    """
+    rows = cut_lineage(rows)
+    scale = rows.agg(*[F.stddev_pop(c) for c in columns]).first()
+    size = [float(d) if d else 1.0 for d in scale]
+    values = F.array(*[F.col(c) / F.lit(d) for c, d in zip(columns, size, strict=True)])
+    narrow = cut_lineage(rows.select(*by, values.alias("_v")))
+
+    def less(left: Column, right: Column) -> Column:
+        return F.zip_with(left, right, lambda a, b: a - b)
+
+    def effects(key: str, other: str | None, known: DataFrame | None) -> DataFrame:
+        source, own = narrow, F.col("_v")
+        if known is not None:
+            source = narrow.join(known.withColumnRenamed("_effect", "_known"), other)
+            own = less(own, F.col("_known"))
+        means = source.select(key, own.alias("_own")).groupBy(key).agg(F.array(*[F.avg(F.get("_own", F.lit(i))) for i in range(len(columns))]).alias("_effect"))
+        return cut_lineage(means)
+
+    found = {by[0]: effects(by[0], None, None)}
+    if len(by) == 2:
+        found[by[1]] = effects(by[1], by[0], found[by[0]])
+        while True:
+            first = effects(by[0], by[1], found[by[1]])
+            second = effects(by[1], by[0], first)
+            met = second.join(found[by[1]].withColumnRenamed("_effect", "_old"), by[1])
+            moved = met.agg(F.max(F.array_max(F.transform(less(F.col("_effect"), F.col("_old")), F.abs)))).first()[0]
+            drop_table(found[by[0]])
+            drop_table(found[by[1]])
+            found = {by[0]: first, by[1]: second}
+            if moved is None or moved <= tolerance:
+                break
+    out = rows
+    for k, key in enumerate(by):
+        out = out.join(found[key].withColumnRenamed("_effect", f"_effect{k}"), key)
+    left = {c: F.col(c) - sum((F.get(f"_effect{k}", F.lit(i)) for k in range(len(by))), F.lit(0.0)) * F.lit(size[i]) for i, c in enumerate(columns)}
+    return out.withColumns(left).drop(*[f"_effect{k}" for k in range(len(by))])
+
+
 def panel_ols(
     df: DataFrame,
     y: str,
@@ -72,40 +117,34 @@ def panel_ols(
 ) -> DataFrame:
     """Fixed-effects OLS with entity-clustered errors, equal to the dummy-variable fit.
 
-    Entities are removed by demeaning; periods enter as demeaned dummies (their
-    number is the length of the calendar).  Spark reduces the rows to
-    cross-product sums and, per entity, to scores; only the small system is
-    solved on the driver.
+    Effects are absorbed, not estimated as dummies, so calendars and entities of
+    any length do; their number enters the degrees of freedom.  The constant is
+    a term only without effects.  Spark reduces the rows to cross-product sums
+    and, per entity, to scores; only the system of the regressors is solved on
+    the driver.  Where entities or degrees of freedom do not suffice, errors are
+    not numbers.
     """
     rows = cut_lineage(
         df.select(entity, time, *[F.col(c).cast("double").alias(c) for c in [y, *x]]).dropna()
     )
-    terms = list(x)
-    if time_effects:
-        periods = [r[0] for r in rows.select(time).distinct().orderBy(time).collect()][1:]
-        dummies = [f"_t{i}" for i in range(len(periods))]
-        rows = rows.select(
-            "*",
-            *[(F.col(time) == p).cast("double").alias(d) for d, p in zip(dummies, periods, strict=True)],
-        )
-        terms += dummies
     size = rows.agg(
-        F.count(F.lit(1)), F.count_distinct(entity), F.var_pop(y), *[F.stddev_samp(c) for c in x]
+        F.count(F.lit(1)), F.count_distinct(entity), F.count_distinct(time), F.var_pop(y), *[F.stddev_samp(c) for c in x]
     ).first()
-    n, groups, var_y, deviations = size[0], size[1], size[2], list(size[3:])
-    w = Window.partitionBy(entity)
-    if entity_effects:
-        design = rows.select(
-            entity, *[(F.col(c) - F.avg(c).over(w)).alias(c) for c in [y, *terms]]
-        )
-        regressors = terms
-        k = len(terms) + groups
+    n, groups, periods, var_y, deviations = size[0], size[1], size[2], size[3], list(size[4:])
+    by = [entity] * entity_effects + [time] * time_effects
+    if by:
+        design = cut_lineage(absorbed(rows, [y, *x], by))
+        regressors = list(x)
+        k = len(x) + groups * entity_effects + periods * time_effects - (len(by) - 1)
     else:
         design = rows.withColumn("const", F.lit(1.0))
-        regressors = ["const", *terms]
+        regressors = ["const", *x]
         k = len(regressors)
     columns = [*regressors, y]
     sums = cross_products(design.withColumn("_all", F.lit(1)), ["_all"], columns).first()
+    schema = "term string, coef double, se double, p double, ci_low double, ci_high double, effect_per_1sd double, n bigint, r2 double"
+    if sums is None:
+        return df.sparkSession.createDataFrame([], schema)
     moments = unpack(sums["xp"], len(columns))
     bread = np.linalg.pinv(moments[:-1, :-1])
     beta = bread @ moments[:-1, -1]
@@ -118,24 +157,18 @@ def panel_ols(
     )
     meat_sums = cross_products(scores.withColumn("_all", F.lit(1)), ["_all"], regressors).first()
     meat = unpack(meat_sums["xp"], len(regressors))
-    factor = groups / (groups - 1) * (n - 1) / (n - k)
-    se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread) * factor, 0))
+    factor = groups / (groups - 1) * (n - 1) / (n - k) if groups > 1 and n > k else float("nan")
+    se = np.sqrt(np.maximum(np.diag(bread @ meat @ bread), 0) * factor)
     r2 = 1 - sse / (var_y * n) if var_y else float("nan")
     out = []
     for i, c in enumerate(regressors):
-        if c.startswith("_t"):
-            continue
-        sd = deviations[x.index(c)] if c in x else 1.0
+        sd = (deviations[x.index(c)] or 0.0) if c in x else 1.0
         z = beta[i] / se[i] if se[i] > 0 else float("nan")
         out.append(
             (c, float(beta[i]), float(se[i]), norm_sf2(z), float(beta[i] - 1.959963984540054 * se[i]),
              float(beta[i] + 1.959963984540054 * se[i]), float(beta[i] * sd), int(n), float(r2))
         )
-    return df.sparkSession.createDataFrame(
-        out,
-        "term string, coef double, se double, p double, ci_low double, ci_high double, "
-        "effect_per_1sd double, n bigint, r2 double",
-    )
+    return df.sparkSession.createDataFrame(out, schema)
 
 
 def granger(

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import log
+from math import erfc, exp, pi, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.columns import UNIT_COLUMNS, normal_two_sided, ratio, total, xlnx
-from panelwright.functions.ordered import prefix_sums
+from panelwright.functions.ordered import prefix_sums, same_keys_join
 from panelwright.session import cut_lineage
 
 
@@ -173,98 +174,149 @@ def zipf_exponent(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     )
 
 
-def powerlaw_fit(df: DataFrame, keys: Sequence[str], value: str, block: int = 512) -> DataFrame:
-    """Power-law tail: xmin by smallest KS distance, alpha, sigma, lognormal likelihood ratio.
+def powerlaw_tail(df: DataFrame, keys: Sequence[str], value: str, most_ranges: int = 1024) -> DataFrame:
+    """(keys, xmin, alpha, n_tail, ks): the power-law tail whose Kolmogorov-Smirnov distance is smallest.
 
-    Every distinct value with a tail above it is a candidate.  Tail sums come
-    from running sums; for the KS distance a candidate meets the values one
-    block per row and keeps the largest gap, so no pair becomes a row.  The
-    lognormal is fitted to the tail by its two moments (no truncation term).
+    Every distinct value with a tail above it is a candidate, equal distances
+    give the smallest.  Tail sums come from running sums.  The distinct values
+    of a group lie in about as many ranges as each range has values; empirical
+    and model distribution both rise, so a range's two ends bound every gap
+    inside it.  A candidate whose gap at some end is beyond another's bound is
+    out; the others look only into the ranges that can hold their largest gap.
     """
+    keys = list(keys)
     x = F.col("_x")
     counted = (
         df.where(F.col(value) > 0)
         .groupBy(*keys, F.col(value).cast("double").alias("_x"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_cl", F.col("_c") * F.ln(x))
+        .withColumns({"_cl": F.col("_c") * F.ln(x), "_u": F.lit(1).cast("long")})
     )
-    running = prefix_sums(counted, keys, "_x", {"_upto": "_c", "_lupto": "_cl"})
-    totals = running.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum("_cl").alias("_l"))
-    placed = cut_lineage(running.join(totals, list(keys)).where(F.col("_n") >= 10))
+    running = prefix_sums(counted, keys, "_x", {"_upto": "_c", "_lupto": "_cl", "_place": "_u"})
+    totals = running.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.sum("_cl").alias("_l"), F.sum("_u").alias("_v"))
+    ranges = F.least(F.ceil(F.sqrt("_v")), F.lit(most_ranges))
+    placed = same_keys_join(running, totals, keys).where(F.col("_n") >= 10)
+    placed = cut_lineage(placed.withColumn("_range", F.floor((F.col("_place") - 1) * ranges / F.col("_v"))))
     candidates = (
         placed.withColumn("n_tail", F.col("_n") - F.col("_upto") + F.col("_c"))
         .withColumn("_sum", F.col("_l") - F.col("_lupto") + F.col("_cl") - F.col("n_tail") * F.ln(x))
         .where((F.col("_sum") > 1e-12) & (F.col("_upto") < F.col("_n")))
-        .select(
-            *keys,
-            x.alias("xmin"),
-            (1 + F.col("n_tail") / F.col("_sum")).alias("alpha"),
-            "n_tail",
-            (F.col("_upto") - F.col("_c")).alias("_below"),
-        )
+        .select(*keys, x.alias("xmin"), (1 + F.col("n_tail") / F.col("_sum")).alias("alpha"), "n_tail", (F.col("_upto") - F.col("_c")).alias("_below"))
     )
-    blocks = max(1, -(-placed.count() // block))
-    values = placed.groupBy(*keys, F.pmod(F.xxhash64("_x"), F.lit(blocks)).alias("_block")).agg(
-        F.collect_list(F.struct("_x", "_upto", "_c")).alias("_values")
+
+    def model(at: Column) -> Column:
+        return 1 - F.pow(at / F.col("xmin"), 1 - F.col("alpha"))
+
+    def seen(upto: Column) -> Column:
+        return (upto - F.col("_below")) / F.col("n_tail")
+
+    ends = placed.groupBy(*keys, "_range").agg(F.min("_x").alias("low"), F.max("_x").alias("high"), F.min(F.col("_upto") - F.col("_c")).alias("before"), F.max("_upto").alias("after"))
+    per_key = ends.groupBy(*keys).agg(F.collect_list(F.struct("_range", "low", "high", "before", "after")).alias("_ends"))
+
+    def bounds(r: Column) -> Column:
+        low, before = F.greatest(r["low"], F.col("xmin")), F.greatest(r["before"], F.col("_below"))
+        least = F.greatest(F.abs(seen(r["after"]) - model(r["high"])), F.abs(seen(before) - model(low)))
+        most = F.greatest(seen(r["after"]) - model(low), model(r["high"]) - seen(before))
+        return F.struct(r["_range"].alias("_range"), least.alias("least"), most.alias("most"))
+
+    own = F.transform(F.filter("_ends", lambda r: r["high"] >= F.col("xmin")), bounds)
+    bounded = same_keys_join(candidates, per_key, keys).withColumn("_bounds", own).drop("_ends")
+    bounded = cut_lineage(
+        bounded.withColumns({"_least": F.array_max(F.transform("_bounds", lambda r: r["least"])), "_most": F.array_max(F.transform("_bounds", lambda r: r["most"]))})
+        .withColumn("_open", F.transform(F.filter("_bounds", lambda r: r["most"] > F.col("_least")), lambda r: r["_range"]))
+        .drop("_bounds")
     )
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))
+    limit = bounded.groupBy(*keys).agg(F.min("_most").alias("_limit"))
+    left = same_keys_join(bounded, limit, keys).where(F.col("_least") <= F.col("_limit") + 1e-12)
+    named = ["xmin", "alpha", "n_tail", "_below", "_least"]
+    opened = left.select(*keys, *named, F.explode_outer("_open").alias("_range"))
+    values = placed.groupBy(*keys, "_range").agg(F.collect_list(F.struct("_x", "_upto", "_c")).alias("_values"))
 
     def gap(v: Column) -> Column:
-        model = 1 - F.pow(v["_x"] / F.col("xmin"), 1 - F.col("alpha"))
-        above = (v["_upto"] - F.col("_below")) / F.col("n_tail")
-        under = (v["_upto"] - v["_c"] - F.col("_below")) / F.col("n_tail")
-        return F.greatest(F.abs(above - model), F.abs(under - model))
-
-    tails = F.filter("_values", lambda v: v["_x"] >= F.col("xmin"))
-    gaps = (
-        candidates.withColumn("_block", every)
-        .join(values, [*keys, "_block"])
-        .select(*keys, "xmin", "alpha", "n_tail", F.array_max(F.transform(tails, gap)).alias("_gap"))
-        .groupBy(*keys, "xmin", "alpha", "n_tail")
-        .agg(F.max("_gap").alias("ks"))
-    )
-    best = gaps.groupBy(*keys).agg(
-        F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), F.struct("ks", "xmin")).alias("_best")
-    )
-    fit = best.select(
-        *keys,
-        F.col("_best.xmin").alias("xmin"),
-        F.col("_best.alpha").alias("alpha"),
-        F.col("_best.n_tail").alias("n_tail"),
-        F.col("_best.ks").alias("ks"),
-    )
-    tail = counted.join(fit, list(keys)).where(x >= F.col("xmin"))
-    moments = tail.groupBy(*keys).agg(
-        (F.sum("_cl") / F.sum("_c")).alias("_mu"),
-        (F.sum(F.col("_c") * F.ln(x) * F.ln(x)) / F.sum("_c")).alias("_m2"),
-    )
-    compared = tail.join(moments, list(keys)).withColumn(
-        "_sd", F.sqrt(F.greatest(F.col("_m2") - F.col("_mu") * F.col("_mu"), F.lit(1e-12)))
-    )
-    power = F.ln((F.col("alpha") - 1) / F.col("xmin")) - F.col("alpha") * F.ln(x / F.col("xmin"))
-    z = (F.ln(x) - F.col("_mu")) / F.col("_sd")
-    lognormal = -F.ln(x) - F.ln(F.col("_sd")) - F.lit(0.5 * log(2 * 3.141592653589793)) - z * z / 2
+        at = model(v["_x"])
+        return F.greatest(F.abs(seen(v["_upto"]) - at), F.abs(seen(v["_upto"] - v["_c"]) - at))
+
+    inside = F.array_max(F.transform(F.filter("_values", lambda v: v["_x"] >= F.col("xmin")), gap))
+    exact = same_keys_join(opened, values, [*keys, "_range"], "left").withColumn("_gap", F.greatest("_least", F.coalesce(inside, F.lit(0.0))))
+    gaps = exact.groupBy(*keys, "xmin", "alpha", "n_tail").agg(F.max("_gap").alias("ks"))
+    best = gaps.groupBy(*keys).agg(F.min_by(F.struct("xmin", "alpha", "n_tail", "ks"), F.struct("ks", "xmin")).alias("_best"))
+    return best.select(*keys, "_best.*")
+
+
+def _mills(c: float) -> tuple[float, float]:
+    """Hazard of the standard normal at c, and how far it lies above c."""
+    if c < 3:
+        hazard = exp(-c * c / 2) / sqrt(2 * pi) / (erfc(c / sqrt(2)) / 2)
+        return hazard, hazard - c
+    rest = 0.0
+    for k in range(80, 1, -1):
+        rest = k / (c + rest)
+    over = 1 / (c + rest)
+    return c + over, over
+
+
+def tail_normal(mean: float, variance: float) -> tuple[float, float, float]:
+    """(c, sigma, hazard) of the normal cut off below 0 whose mean and variance are given.
+
+    The cut lies c standard deviations above the centre.  The two moments fix
+    the likeliest fit.  A spread of the mean or more is that of an exponential
+    tail, to which the cut normal only tends; it is met at c = 1000.
+    """
+    wanted = min(variance / mean**2, 1.0)
+    low, high = -40.0, 1000.0
+    for _ in range(200):
+        c = (low + high) / 2
+        hazard, over = _mills(c)
+        if (1 - hazard * over) / over**2 < wanted:
+            low = c
+        else:
+            high = c
+    hazard, over = _mills(c)
+    return c, mean / over, hazard
+
+
+def _fitted_tails(moments: DataFrame) -> DataFrame:
+    """Adds _cut, _sd, _hazard of the lognormal on each tail; a row per group."""
+
+    def run(batches):
+        for frame in batches:
+            made = [tail_normal(m, max(q - m * m, 1e-300)) for m, q in zip(frame["_mean"], frame["_square"], strict=True)]
+            yield frame.assign(**{name: [float(f[i]) for f in made] for i, name in enumerate(("_cut", "_sd", "_hazard"))})
+
+    schema = T.StructType([*moments.schema.fields, *[T.StructField(n, T.DoubleType()) for n in ("_cut", "_sd", "_hazard")]])
+    return moments.mapInPandas(run, schema)
+
+
+def powerlaw_fit(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Power-law tail by smallest KS distance, with its likelihood ratio against a lognormal.
+
+    Both densities are those of the tail: the lognormal is the likeliest one cut
+    off at xmin, found from the tail's sums of log and squared log.  The ratio
+    is divided by its standard error, positive for the power law; the p-value
+    is two-sided.
+    """
+    keys = list(keys)
+    fit = cut_lineage(powerlaw_tail(df, keys, value))
+    over = F.ln(F.col("_x") / F.col("xmin"))
+    sizes = df.where(F.col(value) > 0).groupBy(*keys, F.col(value).cast("double").alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
+    tail = same_keys_join(sizes, fit, keys).where(F.col("_x") >= F.col("xmin")).withColumn("_t", over)
+    found = [*keys, "xmin", "alpha", "n_tail", "ks"]
+    weighted = lambda c: F.sum(F.col("_c") * c)
+    t = F.col("_t")
+    moments = tail.groupBy(*found).agg((weighted(t) / F.sum("_c")).alias("_mean"), (weighted(t * t) / F.sum("_c")).alias("_square"))
+    both = same_keys_join(tail.select(*keys, "_c", "_t"), cut_lineage(_fitted_tails(moments)), keys)
+    power = F.ln(F.col("alpha") - 1) - (F.col("alpha") - 1) * t
+    u = t / F.col("_sd")
+    lognormal = F.ln(F.col("_hazard") / F.col("_sd")) - F.col("_cut") * u - u * u / 2
     d = F.col("_d")
-    ratio_stats = (
-        compared.withColumn("_d", power - lognormal)
-        .groupBy(*keys, "xmin", "alpha", "n_tail", "ks")
-        .agg(
-            F.sum(F.col("_c") * d).alias("_lr"),
-            (F.sum(F.col("_c") * d * d) / F.sum("_c")).alias("_d2"),
-            F.sum("_c").alias("_n"),
-        )
-    )
-    spread = F.sqrt(
-        F.greatest(
-            (F.col("_d2") - F.pow(F.col("_lr") / F.col("_n"), F.lit(2.0))) * F.col("_n"), F.lit(0.0)
-        )
-    )
-
+    ratio_stats = both.withColumn("_d", power - lognormal).groupBy(*found).agg(weighted(d).alias("_lr"), weighted(d * d).alias("_d2"))
+    n = F.col("n_tail")
+    spread = F.sqrt(F.greatest(F.col("_d2") - F.col("_lr") * F.col("_lr") / n, F.lit(0.0)))
     return (
         ratio_stats.withColumn("lr_powerlaw_vs_lognormal", F.try_divide(F.col("_lr"), spread))
         .withColumn("lr_pvalue", normal_two_sided("lr_powerlaw_vs_lognormal"))
-        .withColumn("sigma", (F.col("alpha") - 1) / F.sqrt(F.col("n_tail")))
-        .drop("_lr", "_d2", "_n")
+        .withColumn("sigma", (F.col("alpha") - 1) / F.sqrt(n))
+        .drop("_lr", "_d2")
     )
 
 

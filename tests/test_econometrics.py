@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -121,3 +123,42 @@ def test_hazard_rises_with_income(frame):
     assert out["income"].odds_ratio_per_sd > 1.5
     last = max(series.kaplan_meier(risk).collect(), key=lambda r: r.year)
     assert last.survival < 0.2
+
+
+def dummies(rows, x):
+    """Dummy-variable fit with errors clustered by entity."""
+    entities, times = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
+    y = np.array([r[2] for r in rows])
+    d = [[*r[3 : 3 + x], *[r[0] == e for e in entities], *[r[1] == t for t in times[1:]]] for r in rows]
+    d = np.array(d, float)
+    bread = np.linalg.pinv(d.T @ d)
+    beta = bread @ d.T @ y
+    e = y - d @ beta
+    meat = sum(np.outer(s, s) for s in (d[[r[0] == g for r in rows]].T @ e[[r[0] == g for r in rows]] for g in entities))
+    n, k, g = len(rows), d.shape[1], len(entities)
+    se = np.sqrt(np.diag(bread @ meat @ bread) * g / (g - 1) * (n - 1) / (n - k))
+    return beta[:x], se[:x], 1 - e @ e / ((y - y.mean()) ** 2).sum()
+
+
+def test_two_way_effects_equal_dummies_on_an_unbalanced_calendar(frame):
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(12):
+        for t in range(360):
+            if rng.random() < 0.25 + 0.5 * (t % 12 == s):
+                a, b = rng.normal() + 0.01 * t + s, rng.normal() - s * np.sin(t / 40)
+                rows.append((f"s{s}", t, 2 * a - 0.5 * b + 0.3 * s + np.cos(t / 9) + rng.normal() * (1 + s / 6), a, b))
+    want, se, r2 = dummies(rows, 2)
+    df = frame([tuple(map(lambda v: v.item() if hasattr(v, "item") else v, r)) for r in rows] + [("s1", 3, None, 1.0, 1.0)], "state_code string, year int, y double, a double, b double")
+    got = {r.term: r for r in econometrics.panel_ols(df, "y", ["a", "b"], time_effects=True).collect()}
+    assert set(got) == {"a", "b"} and got["a"].n == len(rows)
+    assert [got["a"].coef, got["b"].coef] == pytest.approx(want.tolist(), rel=1e-7)
+    assert [got["a"].se, got["b"].se] == pytest.approx(se.tolist(), rel=1e-6)
+    assert got["a"].r2 == pytest.approx(r2)
+
+
+def test_panel_without_enough_entities_or_rows(frame):
+    schema = "state_code string, year int, y double, a double"
+    lone = econometrics.panel_ols(frame([("s", t, float(t), float(t % 3)) for t in range(9)], schema), "y", ["a"]).first()
+    assert lone.n == 9 and math.isnan(lone.se)
+    assert econometrics.panel_ols(frame([], schema), "y", ["a"], time_effects=True).collect() == []

@@ -80,6 +80,56 @@ def test_powerlaw_recovers_exponent(frame):
     assert fit["alpha"] == pytest.approx(2.5, abs=0.2) and fit["n_tail"] > 100
 
 
+def brute_tail(x):
+    x = np.sort(np.asarray(x, float))
+    best = None
+    for xmin in np.unique(x)[:-1]:
+        tail = x[x >= xmin]
+        alpha = 1 + len(tail) / np.log(tail / xmin).sum()
+        values, counts = np.unique(tail, return_counts=True)
+        upto, model = np.cumsum(counts), 1 - (values / xmin) ** (1 - alpha)
+        ks = max(abs(upto / len(tail) - model).max(), abs((upto - counts) / len(tail) - model).max())
+        if best is None or ks < best[3] - 1e-12:
+            best = (xmin, alpha, len(tail), ks)
+    return best
+
+
+@pytest.mark.parametrize("ranges", [1024, 3])
+def test_powerlaw_tail_equals_the_full_search(frame, ranges):
+    rng = np.random.default_rng(4)
+    groups = {
+        "pareto": 1 + rng.pareto(1.8, 600), "whole": rng.integers(1, 40, 500).astype(float), "log": np.exp(rng.normal(size=400)),
+        "few": np.array([1.0] * 9), "ten": np.r_[np.ones(9), 5.0], None: rng.random(50),
+    }
+    df = frame([(k, float(v)) for k, x in groups.items() for v in x] + [("ten", 0.0), ("ten", None)], "k string, v double")
+    got = {r.k: (r.xmin, r.alpha, r.n_tail, r.ks) for r in stats.powerlaw_tail(df, ["k"], "v", ranges).collect()}
+    assert set(got) == {"pareto", "whole", "log", "ten", None}
+    for k, fit in got.items():
+        assert fit == pytest.approx(brute_tail(groups[k]))
+
+
+@pytest.mark.parametrize(("centre", "sd"), [(-1.0, 1.0), (0.5, 0.7), (3.0, 1.0), (-6.0, 2.0)])
+def test_cut_normal_has_the_moments_it_was_given(centre, sd):
+    t = np.linspace(0, centre + 14 * sd if centre > 0 else 14 * sd, 2_000_001)
+    p = np.exp(-(((t - centre) / sd) ** 2) / 2)
+    p /= p.sum()
+    mean = (p * t).sum()
+    c, sigma, hazard = stats.tail_normal(mean, (p * t * t).sum() - mean**2)
+    assert (c, sigma) == pytest.approx((-centre / sd, sd), rel=1e-3)
+    assert p[0] / (t[1] - t[0]) == pytest.approx(hazard / sigma, rel=1e-3)
+
+
+def test_likelihood_ratio_tells_planted_tails_apart(frame):
+    rng = np.random.default_rng(2)
+    # the lognormal's values start at its middle, so its whole upper half is the tail
+    bent = np.exp(np.abs(rng.normal(0, 0.6, 4000)))
+    straight = 1 + rng.pareto(1.5, 4000)
+    df = frame([("log", float(v)) for v in bent] + [("pareto", float(v)) for v in straight], "k string, v double")
+    fit = {r.k: r for r in stats.powerlaw_fit(df, ["k"], "v").collect()}
+    assert fit["log"].lr_powerlaw_vs_lognormal < -2 and fit["log"].lr_pvalue < 0.05
+    assert fit["pareto"].lr_pvalue > 0.05 and fit["pareto"].alpha == pytest.approx(2.5, abs=0.15)
+
+
 def test_fuel_entropy_and_rca(frame):
     df = frame([(1, 9, 0, 0, 0, 0), (2, 5, 5, 5, 5, 5), (3, 0, 0, 0, 0, 0)],
                "i int, ev_regs int, cng_regs int, petrol_regs int, diesel_regs int, hybrid_regs int")
