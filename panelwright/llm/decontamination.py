@@ -26,6 +26,9 @@ WINDOW = 13
 BLOCK_WORDS = 500_000
 
 
+_SPANS = "array<struct<begin:bigint,end:bigint,first:bigint,last:bigint>>"
+
+
 class Automaton:
     """Generalised suffix automaton over the word hashes of one block of items."""
 
@@ -183,6 +186,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def located(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
+    """Spans of words with the characters from the first word's beginning to the last word's end."""
+    data, offsets = tx.flat(pa.array([text], pa.large_string()))
+    w = tx.words(tx.LOWER[data], offsets, tx.ALNUM)
+    character = np.cumsum((data & 0xC0) != 0x80)  # characters up to and including the one of a byte
+    return [{"begin": a, "end": b, "first": int(character[w.start[a]]) - 1, "last": int(character[w.end[b - 1] - 1])} for a, b in spans]
+
+
 def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Automaton]:
     """Automata of blocks of items; the driver holds one block of bounded size at a time."""
     ids: list[str] = []
@@ -201,7 +212,10 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 
 
 def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Adds n_words, hit_spans (word ranges) and item_ids to every row of ``docs``.
+    """Adds n_words, hit_spans and item_ids to every row of ``docs``.
+
+    A span holds a range of words (begin, end) and of characters (first, last),
+    numbered from 0, without its end.
 
     A window is ``window`` consecutive words of an item; a shorter item with a
     word is one window.  Words are runs of ASCII letters, digits and non-ASCII
@@ -212,16 +226,16 @@ def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
     """
     context = docs.sparkSession.sparkContext
     out = docs.drop("n_words", "hit_spans", "item_ids")
-    schema = "n_words long, hit_spans array<struct<begin:long,end:long>>, item_ids array<string>"
+    schema = f"n_words long, hit_spans {_SPANS}, item_ids array<string>"
     passes = []
     for k, automaton in enumerate(automata(items, item_id, item_text, window, block_words)):
         sent = context.broadcast(automaton)
 
         def scan(texts: pa.Array, sent=sent, k=k) -> dict[str, object]:
             n_words, spans, found = sent.value.scan(texts)
-            pairs = [[{"begin": a, "end": b} for a, b in s] for s in spans]
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            return {f"n_words_{k}": n_words, f"hit_spans_{k}": pa.array(pairs, kind), f"item_ids_{k}": pa.array([sorted(f) for f in found], pa.list_(pa.string()))}
+            places = [located(t.as_py(), s) if s else [] for t, s in zip(texts, spans, strict=True)]
+            kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("begin", "end", "first", "last")]))
+            return {f"n_words_{k}": n_words, f"hit_spans_{k}": pa.array(places, kind), f"item_ids_{k}": pa.array([sorted(f) for f in found], pa.list_(pa.string()))}
 
         out = tx.map_texts(out, text_col, scan, schema.replace("n_words", f"n_words_{k}").replace("hit_spans", f"hit_spans_{k}").replace("item_ids", f"item_ids_{k}"))
         passes.append(k)
@@ -229,7 +243,7 @@ def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
         empty = Automaton([], [], window)
         count = lambda texts: {"n_words": empty.scan(texts)[0]}
         out = tx.map_texts(out, text_col, count, "n_words long")
-        return out.withColumns({c: F.array().cast(t) for c, t in (("hit_spans", "array<struct<begin:bigint,end:bigint>>"), ("item_ids", "array<string>"))})
+        return out.withColumns({c: F.array().cast(t) for c, t in (("hit_spans", _SPANS), ("item_ids", "array<string>"))})
     if len(passes) == 1:
         return out.withColumnsRenamed({f"{c}_0": c for c in ("n_words", "hit_spans", "item_ids")})
     spans = F.sort_array(F.concat(*[F.col(f"hit_spans_{k}") for k in passes]))
@@ -240,11 +254,11 @@ def match(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
 
 def _joined(spans):
     """Joins touching ranges of a sorted array of ranges."""
-    empty = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    empty = F.array().cast(_SPANS)
 
     def step(done, span):
         last = F.element_at(done, -1)
-        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"))
+        grown = F.struct(last["begin"].alias("begin"), F.greatest(last["end"], span["end"]).alias("end"), last["first"].alias("first"), F.greatest(last["last"], span["last"]).alias("last"))
         touching = (F.size(done) > 0) & (span["begin"] <= F.get(done, F.size(done) - 1)["end"])
         return F.when(touching, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(span)))
 
@@ -269,21 +283,10 @@ def remove_spans(matched: DataFrame, text_col: str = "text", min_words: int = WI
     judged = verdict(matched, share or 1)
     kept = judged.where(~F.col("contaminated")) if share else judged
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for i, spans in enumerate(batch.column("hit_spans").to_pylist()):
-                long = [s for s in spans or [] if s["end"] - s["begin"] >= min_words]
-                if long:
-                    raw = texts[i].encode()
-                    data, offsets = tx.flat(pa.array([texts[i]], pa.large_string()))
-                    w = tx.words(tx.LOWER[data], offsets, tx.ALNUM)
-                    parts, at = [], 0
-                    for s in long:
-                        parts.append(raw[at : w.start[s["begin"]]])
-                        at = int(w.end[s["end"] - 1])
-                    texts[i] = b"".join([*parts, raw[at:]]).decode()
-            place = batch.schema.get_field_index(text_col)
-            yield batch.set_column(place, text_col, pa.array(texts, batch.column(text_col).type))
-
-    return kept.mapInArrow(cut, kept.schema)
+    text = F.col(f"`{text_col}`")
+    long = F.filter("hit_spans", lambda s: s["end"] - s["begin"] >= min_words)
+    # what stands between the long spans, before the first and after the last
+    froms = F.concat(F.array(F.lit(0).cast("long")), F.transform(long, lambda s: s["last"]))
+    upto = F.concat(F.transform(long, lambda s: s["first"]), F.array(F.length(text).cast("long")))
+    parts = F.zip_with(froms, upto, lambda a, b: F.substring(text, a.cast("int") + 1, (b - a).cast("int")))
+    return kept.withColumn(text_col, F.when(F.size(long) > 0, F.array_join(parts, "")).otherwise(text))

@@ -5,13 +5,14 @@ cannot be shared, so they only count; the others get their document frequency
 and are put in the order of it.  In that order two sets that are similar share a
 token near the beginning: a document's prefix.  A prefix lengthened by l - 1
 tokens must share l of them; each document takes the l with the lowest estimated
-cost, from the frequencies of the tokens that would be in it.  What precedes a
-shared token bounds the overlap, so each entry of a prefix also carries the
-sizes of the sets it may still meet.
-
-Groups of near copies are not expanded into pairs: every prefix token first
-links its documents to one of them, and only pairs that are still in different
-components are compared after that.
+cost, from the frequencies of the tokens that would be in it.  The entries that
+two lengthened prefixes share are counted, and only pairs that share as many as
+the smaller l asks for are verified.
+
+Groups of near copies are not expanded into pairs: every token of the shortest
+prefixes first links its documents to one of them (what precedes the token
+bounds the overlap there, so entries carry the sizes of the sets they may still
+meet), and only pairs that are still in different components are counted.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import functions as F
 
 from panelwright.llm import text as tx
 from panelwright.llm.components import components
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, drop_table
 
 WORDS = 5
 #: Similarity as a fraction of integers: intersection / union >= 3 / 4.
 ABOVE, BELOW = 3, 4
 #: Most tokens that a prefix may have to share before a pair is verified.
 MOST_MATCHES = 8
+#: Tokens that one task merges at a time, about.
+RANGE_TOKENS = 500_000
 #: Most ids of repeated documents that are sent to every task; more are joined by a shuffle.
 SENT_ROWS = 1_000_000
 
@@ -102,28 +105,31 @@ _LOW = np.uint64((1 << 40) - 1)
 _LOCAL = 0xFFFF
 
 
-def shared_tokens(docs: DataFrame, size: int = WORDS) -> DataFrame:
+def shared_tokens(docs: DataFrame, size: int = WORDS, total: int = 0) -> DataFrame:
     """(node, token, df) of the tokens that at least two of the rows of (doc_id, text) have.
 
-    Each task sends the tokens of a block of documents to as many ranges of the
-    hash space as there are shuffle partitions, packed as arrays.  A token that
-    several documents of a block have is sent once with their number, so a token
-    of a third of all documents costs a row per block; who has it is joined to
-    its frequency afterwards, by a join whose hot keys Spark can split.
+    Each task sends the tokens of a block of documents to ranges of the hash
+    space, packed as arrays.  There are so many ranges that one holds about
+    ``RANGE_TOKENS`` of the ``total`` tokens, and a task merges one range after
+    the other.  A token that several documents of a block have is sent once with
+    their number, so a token of a third of all documents costs a row per block;
+    who has it is joined to its frequency afterwards, by a join whose hot keys
+    Spark can split.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = np.array(_even_keys(spark, parts), np.int64)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    per_task = max(1, -(-total // (tasks * RANGE_TOKENS)))
+    keys = np.repeat(np.array(_even_keys(spark, tasks), np.int32), per_task)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tx.released(batches):
             for block in tx.blocks(batch, "text"):
                 for part in (block.slice(i, _LOCAL) for i in range(0, block.num_rows, _LOCAL)):
-                    yield _packed(part.column("text"), size, parts, keys)
+                    yield _packed(part.column("text"), size, keys)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-        for batch in batches:
+        for batch in tx.released(batches):
             for row in batch.to_pylist():
                 if held and held[-1]["part"] != row["part"]:
                     yield from _frequent(held)
@@ -133,8 +139,8 @@ def shared_tokens(docs: DataFrame, size: int = WORDS) -> DataFrame:
             yield from _frequent(held)
 
     packed = "key int, part int, nodes binary, tokens binary, owner binary, counts binary, local_nodes binary, local_tokens binary"
-    sent = docs.select("text").mapInArrow(send, packed)
-    ranged = sent.repartition(parts, "key").sortWithinPartitions("part")
+    sent = tx.small_batches(docs).select("text").mapInArrow(send, packed)
+    ranged = sent.repartition(tasks, "key").sortWithinPartitions("part")
     found = cut_lineage(ranged.mapInArrow(merge, "node long, token long, df long"))
     alone = found.where("node is not null and df is not null")
     # tokens that a block holds several times: their frequency, and who has them
@@ -143,8 +149,17 @@ def shared_tokens(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return alone.union(local.join(often, "token").select("node", "token", "df"))
 
 
-def _packed(texts: pa.Array, size: int, parts: int, keys: np.ndarray) -> pa.RecordBatch:
+def _slices(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values[cuts[i]:cuts[i + 1]]`` for each i."""
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    at = (cuts * width).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+
+
+def _packed(texts: pa.Array, size: int, keys: np.ndarray) -> pa.RecordBatch:
     """A row per hash range: the block's tokens there as 5-byte numbers, with their owners or their count."""
+    parts = len(keys)
+    every = np.arange(parts + 1)
     grams, at = shingle_sets(texts, size)
     nodes = _set_ids(grams, at)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -156,35 +171,33 @@ def _packed(texts: pa.Array, size: int, parts: int, keys: np.ndarray) -> pa.Reco
     start = np.flatnonzero(first)
     times = np.diff(np.r_[start, len(grams)])
     repeated = np.repeat(times > 1, times)
-    one = start  # one entry per distinct token
-    cut = np.searchsorted(part[one], np.arange(parts + 1))
     # pairs (node, token) of repeated tokens travel by node, not by token
     pair_node, pair_token = nodes[owner[repeated]], (part[repeated].astype(np.uint64) << np.uint64(40)) | (grams[repeated] & _LOW)
     to = (pair_node % np.uint64(parts)).astype(np.int64)
     by = np.argsort(to, kind="stable")
     pair_node, pair_token = pair_node[by], pair_token[by]
-    pair_cut = np.searchsorted(to[by], np.arange(parts + 1))
-    rows: dict[str, list] = {c: [] for c in ("key", "part", "nodes", "tokens", "owner", "counts", "local_nodes", "local_tokens")}
-    for p in range(parts):
-        mine = one[cut[p] : cut[p + 1]]
-        pairs = slice(pair_cut[p], pair_cut[p + 1])
-        if not len(mine) and pairs.start == pairs.stop:
-            continue
-        count = times[cut[p] : cut[p + 1]]
-        who, place = np.unique(owner[mine[count == 1]], return_inverse=True)
-        mark = np.full(len(mine), _LOCAL, "<u2")
-        mark[count == 1] = place
-        low = (grams[mine] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-        rows["key"].append(int(keys[p]))
-        rows["part"].append(p)
-        rows["nodes"].append(nodes[who].tobytes())
-        rows["tokens"].append(low.tobytes())
-        rows["owner"].append(mark.tobytes())
-        rows["counts"].append(count[count > 1].astype("<u4").tobytes())
-        rows["local_nodes"].append(pair_node[pairs].tobytes())
-        rows["local_tokens"].append(pair_token[pairs].tobytes())
-    kinds = [pa.int32(), pa.int32()] + [pa.binary()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
+    pair_cut = np.searchsorted(to[by], every)
+    at_part = part[start]
+    cut = np.searchsorted(at_part, every)
+    alone = times == 1
+    # who has the tokens of a range, each document once, and their places in that list
+    who, place = np.unique((at_part[alone] << 16) | owner[start[alone]], return_inverse=True)
+    who_cut = np.searchsorted(who >> 16, every)
+    mark = np.full(len(start), _LOCAL, "<u2")
+    mark[alone] = place - who_cut[at_part[alone]]
+    low = (grams[start] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    columns = {
+        "key": pa.array(keys, pa.int32()),
+        "part": pa.array(every[:-1], pa.int32()),
+        "nodes": _slices(nodes[who & 0xFFFF], who_cut),
+        "tokens": _slices(low, cut),
+        "owner": _slices(mark, cut),
+        "counts": _slices(times[~alone].astype("<u4"), np.searchsorted(at_part[~alone], every)),
+        "local_nodes": _slices(pair_node, pair_cut),
+        "local_tokens": _slices(pair_token, pair_cut),
+    }
+    some = np.flatnonzero((np.diff(cut) > 0) | (np.diff(pair_cut) > 0))
+    return pa.RecordBatch.from_pydict(columns).take(pa.array(some))
 
 
 def _frequent(rows: list[dict]) -> Iterator[pa.RecordBatch]:
@@ -270,16 +283,16 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     return spread.select("token", "node", "n", own.alias("own"), F.floor((both * rem - ABOVE * F.col("n")) / ABOVE).cast("int").alias("most"))
 
 
+def _lengthened(prefixes: DataFrame) -> DataFrame:
+    """(token, node, n, l): the entries of the prefix for l matches."""
+    return prefixes.select(F.explode(F.slice("tokens", F.lit(1), F.col("base") + F.col("l") - 1)).alias("token"), "node", "n", "l")
+
+
 def _linked(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(a, b, shared) of the pairs that are similar: first the matches that both prefixes must have, then the whole sets."""
-    side = lambda k: prefixes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"), F.col("base").alias(f"p{k}"), F.col("l").alias(f"l{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    least = F.least("la", "lb")
-    prefix = lambda k: F.slice(f"t{k}", F.lit(1), F.col(f"p{k}") + F.col(f"l{k}") - 1)
-    matched = F.size(F.array_intersect(prefix("a"), prefix("b"))) >= least
-    shared = F.size(F.array_intersect("ta", "tb"))
-    similar = F.when(matched, shared).otherwise(0)
-    out = both.select("a", "b", "na", "nb", similar.alias("shared"))
+    """(a, b, na, nb, shared) of the pairs that are similar by their whole sets."""
+    side = lambda k: prefixes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("tokens").alias(f"t{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    out = both.select("a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("shared"))
     return out.where((ABOVE + BELOW) * F.col("shared") >= ABOVE * (F.col("na") + F.col("nb")))
 
 
@@ -303,16 +316,23 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(BELOW / ABOVE)) + 1e-9).cast("int")
 
 
-def _all_pairs(entries: DataFrame, apart: Column | None = None) -> DataFrame:
-    """Pairs of documents that may meet at a token, by token and band of sizes."""
-    small = entries.where("most >= n").withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.col("most")))))
-    large = entries.withColumn("band", _band(F.col("n")))
+def _counted_pairs(entries: DataFrame, apart: Column | None = None) -> DataFrame:
+    """(a, b, met) of the pairs whose lengthened prefixes share as many entries as the smaller l of the two.
+
+    Two similar sets share l tokens in their prefixes for l matches, for every l
+    up to their overlap, so none is missed.  Documents meet by token and band of
+    sizes; meetings are added up before and after the shuffle.
+    """
+    n, most = F.col("n"), F.floor(F.col("n") * BELOW / ABOVE).cast("int")
+    small = entries.withColumn("band", F.explode(F.sequence(_band(n), _band(most))))
+    large = entries.withColumn("band", _band(n))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
-    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & _may_meet("x", "y")
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & (ABOVE * F.col("y.n") <= BELOW * F.col("x.n"))
     if apart is not None:
         on = on & apart
     met = small.alias("x").join(large.alias("y"), on)
-    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.l", "y.l").alias("l"))
+    return pairs.groupBy("a", "b", "l").agg(F.count("*").alias("met")).where(F.col("met") >= F.col("l")).drop("l")
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -326,7 +346,8 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, size: int) -> tuple[D
     again = cut_lineage(mine.groupBy("doc_id").agg(F.min("again").alias("again")).where("again").select("doc_id"))
     few = again.count() <= SENT_ROWS
     firsts = rows.join(F.broadcast(again) if few else again, "doc_id", "left_anti")
-    prefixes = cut_lineage(_prefixes(shared_tokens(firsts, size), classes.select("node", "n")))
+    total = int(classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    prefixes = cut_lineage(_prefixes(shared_tokens(firsts, size, total), classes.select("node", "n")))
     return sets, classes, prefixes
 
 
@@ -337,8 +358,7 @@ def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     expanded into pairs (``near_duplicates`` gives every row its class).
     """
     _, classes, prefixes = _prepared(docs, id_col, text_col, size)
-    entries = cut_lineage(_entries(prefixes))
-    linked = _linked(cut_lineage(_all_pairs(entries)), prefixes)
+    linked = _linked(cut_lineage(_counted_pairs(cut_lineage(_lengthened(prefixes)))), prefixes)
     name = classes.select("node", "first")
     out = linked.join(name.toDF("a", "fa"), "a").join(name.toDF("b", "fb"), "b")
     jaccard = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
@@ -365,14 +385,19 @@ def _named_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     links = cut_lineage(_linked(tried, prefixes).select("a", "b"))
     root = cut_lineage(components(links))
     # what the first links leave open: tokens whose documents are still in several components
-    labelled = entries.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = cut_lineage(labelled)
+    labelled = cut_lineage(_lengthened(prefixes).join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = cut_lineage(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
     rest = cut_lineage(labelled.join(open_, "token"))
-    apart = F.col("x.root") != F.col("y.root")
-    untried = cut_lineage(_all_pairs(rest, apart)).join(tried, ["a", "b"], "left_anti")
+    drop_table(labelled)
+    # two documents of different components share open tokens only, so the count over these is whole
+    counted = cut_lineage(_counted_pairs(rest, F.col("x.root") != F.col("y.root")))
+    untried = counted.join(tried, ["a", "b"], "left_anti")
     more = _linked(untried, prefixes).select("a", "b")
-    final = components(cut_lineage(links.union(more)))
+    all_links = cut_lineage(links.union(more))
+    for done in (entries, tried, links, root, open_, rest, counted, prefixes):
+        drop_table(done)
+    final = cut_lineage(components(all_links))
+    drop_table(all_links)
     # the smallest id of each component, for every class of it
     named = classes.join(final, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = cut_lineage(named.select("node", "root", "first"))

@@ -46,6 +46,22 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: Rows that travel to a worker at once, where the session does not say otherwise.
+_BATCH_SETTING, _SPARK_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The frame; its session sends texts to workers in smaller batches unless it has a size of its own.
+
+    Texts take kilobytes each, and Spark's default number of rows is held
+    several times over: by the executor, by the worker, and on the way back.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == _SPARK_BATCH:
+        conf.set(_BATCH_SETTING, BATCH_ROWS)
+    return df
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
@@ -62,7 +78,7 @@ def map_texts(
     """
     added = T._parse_datatype_string(schema)
     names = [c for c in (df.columns if keep is None else keep) if c not in added.names]
-    source = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text_col])])
+    source = small_batches(df).select(*[F.col(f"`{c}`") for c in dict.fromkeys([*names, text_col])])
     out = T.StructType([source.schema[c] for c in names] + added.fields)
     kinds = {f.name: f.dataType for f in added.fields}
 

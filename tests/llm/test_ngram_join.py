@@ -125,3 +125,36 @@ def test_components_of_a_path_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {150: 150, 200: 150}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_lengthened_prefixes_verify_fewer_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from panelwright.llm import ngram_join as nj
+
+    # sets of words from one stock: many share a rare one or two, few are similar
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.sample([f"w{k}" for k in range(150)], 32))) for i in range(200)]
+    docs += [(300 + i, docs[i][1] + " w7 tail") for i in range(10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    _, _, prefixes = nj._prepared(df, "doc_id", "text", 1)
+    assert prefixes.agg(F.max("l")).first()[0] > 1
+    many = nj._counted_pairs(nj._lengthened(prefixes)).count()
+    one = nj._counted_pairs(nj._lengthened(prefixes.withColumn("l", F.lit(1)))).count()
+    assert many < one / 2
+    sets = {i: frozenset(t.split()) for i, t in docs}
+    want = {(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] != sets[b] and linked(sets[a], sets[b])}
+    assert {(r.a, r.b) for r in similar_pairs(df, size=1).collect()} == want and len(want) >= 10
+
+
+def test_ranges_are_merged_one_by_one(spark, monkeypatch):
+    from panelwright.llm import ngram_join as nj
+
+    docs = near_copies(random.Random(5), 120)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {tuple(r)[::2] for r in nj.shared_tokens(df, 5, 0).collect()}
+    monkeypatch.setattr(nj, "RANGE_TOKENS", 50)
+    small = nj.shared_tokens(df, 5, 5000)
+    assert len({r.node for r in small.collect()}) == len({n for n, _ in whole})
+    want, _ = brute(docs)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df).collect()) == want
