@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.text import release
+
 
 def fold(id_col: str, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as an empty text."""
@@ -38,7 +40,8 @@ def fit(sample: DataFrame, learn: Callable[[list[pa.RecordBatch]], object]) -> o
     """Runs ``learn`` on a bounded sample in one task and brings its small result to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(learn(held))], pa.binary())})
+        made = pickle.dumps(learn([b for b in batches if b.num_rows]))
+        release()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([made], pa.binary())})
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first().model)

@@ -103,6 +103,11 @@ def map_texts(
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches; after the last one the worker gives the memory that it has freed back to its machine."""
     yield from batches
+    release()
+
+
+def release() -> None:
+    """Gives what a worker has freed back to its machine."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
