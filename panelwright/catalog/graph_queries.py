@@ -160,7 +160,18 @@ def coadoption(m: Market) -> DataFrame:
     return graph.coadoption_edges(monthly, "state_code", "t", "ev_share")
 
 
-@query("grf_07_coadoption")
+_SHIFTED = """WITH c AS (SELECT state_code AS node, year * 12 + month AS t, ev_share::DOUBLE AS v FROM panel_month WHERE state_code <> 'ALL'),
+ d AS (SELECT node, t, v - LAG(v) OVER w AS d, t - LAG(t) OVER w AS gap FROM c WINDOW w AS (PARTITION BY node ORDER BY t)),
+ m AS (SELECT node, t, d FROM d WHERE d IS NOT NULL AND gap = 1), span AS (SELECT MIN(t) AS lo, MAX(t) - MIN(t) + 1 AS size FROM m),
+ k AS (SELECT node, t - lo AS i, size, d FROM m, span WHERE node IN (SELECT node FROM m GROUP BY node HAVING COUNT(*) >= 6)),
+ r AS (SELECT a.node AS src, b.node AS dst, (a.i - b.i + a.size) % a.size AS shift, a.size, CORR(a.d, b.d) AS r FROM k a JOIN k b ON a.node < b.node
+  GROUP BY ALL HAVING COUNT(*) >= 5 AND VAR_POP(a.d) > 0 AND VAR_POP(b.d) > 0),
+ o AS (SELECT src, dst, r AS weight FROM r WHERE shift = 0 AND r > 0),
+ p AS (SELECT src, dst, weight, AVG(CASE WHEN ABS(r) >= weight - 1e-12 THEN 1.0 ELSE 0 END) AS f FROM o JOIN r USING (src, dst) WHERE shift BETWEEN 1 AND size - 2 GROUP BY ALL)
+ SELECT src, dst, weight, (f * 500 + 1) / 501 AS p_value FROM p WHERE (f * 500 + 1) / 501 <= 0.05"""
+
+
+@query("grf_07_coadoption", _SHIFTED, "panel_month", "weight p_value")
 def coadoption_query(m: Market) -> DataFrame:
     return coadoption(m)
 

@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from itertools import count
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelwright.functions.columns import ratio
 from panelwright.functions.ordered import average_ranks, hash_positions
@@ -21,8 +23,6 @@ from panelwright.operators.forest import percolation_levels
 from panelwright.operators.similarity import cosine_pairs, nearest_by_cosine
 from panelwright.session import cut_lineage, drop_table
 
-BLOCK = 512
-
 
 def symmetrised(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Both directions of every edge."""
@@ -76,47 +76,17 @@ def node_table(edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return makers.unionByName(states).distinct()
 
 
-def against_blocks(vectors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, node, v, others): each node next to one block of nodes of its graph per row.
+def project(edges: DataFrame, side: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
+    """One-mode projection weighted by the number of shared neighbours.
 
-    Comparing every node with every other one is the task itself here; a row
-    holds at most a block, work spreads evenly whatever the degrees are, and
-    callers turn ``others`` into results inside the row, so pairs never become
-    rows unless they are results.
+    Every two nodes of a neighbour are a pair of the result, so nodes meet by
+    neighbour; meetings are counted before the shuffle and after it, and a
+    neighbour of many is split where it is joined.
     """
-    stable = cut_lineage(vectors)
-    blocks = max(1, -(-stable.count() // BLOCK))
-    placed = stable.withColumn("_block", F.pmod(F.xxhash64("node"), F.lit(blocks)))
-    gathered = placed.groupBy(*keys, "_block").agg(
-        F.collect_list(F.struct("node", "v")).alias("others")
-    )
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))
-    return (
-        stable.withColumn("_block", F.explode(every))
-        .join(gathered, [*keys, "_block"])
-        .drop("_block")
-    )
-
-
-def project(edges: DataFrame, side: str = "dst", keys: Sequence[str] = ()) -> DataFrame:
-    """One-mode projection weighted by the number of shared neighbours."""
     other = "src" if side == "dst" else "dst"
-    vectors = edges.groupBy(*keys, F.col(side).alias("node")).agg(F.collect_set(other).alias("v"))
-    shared = F.filter(
-        F.transform(
-            F.filter("others", lambda o: o["node"] > F.col("node")),
-            lambda o: F.struct(
-                o["node"].alias("dst"),
-                F.size(F.array_intersect(F.col("v"), o["v"])).cast("double").alias("weight"),
-            ),
-        ),
-        lambda r: r["weight"] > 0,
-    )
-    return (
-        against_blocks(vectors, keys)
-        .select(*keys, F.col("node").alias("src"), F.explode(shared).alias("r"))
-        .select(*keys, "src", "r.*")
-    )
+    ends = cut_lineage(edges.select(*keys, F.col(side).alias("node"), F.col(other).alias("_by")).distinct())
+    met = ends.withColumnRenamed("node", "src").join(ends.withColumnRenamed("node", "dst"), [*keys, "_by"]).where("src < dst")
+    return met.groupBy(*keys, "src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def similarity_edges(
@@ -180,78 +150,94 @@ def coadoption_edges(
 
     With t changes only t - 2 shifts exist, so all are scored instead of drawn:
     p = (f N + 1) / (N + 1), f the part of shifts with |r| at least as large and
-    N the stated number of draws.  Each state's changes are one aligned array,
-    and only surviving pairs leave the row that scores them.
+    N the stated number of draws; of a pair the larger id is shifted.  Nodes lie
+    in tiles in the order of their ids, and a row scores one tile against
+    another: matrix products of values, squares and masks give the sums over
+    the periods that both nodes have, for all pairs of the two tiles at once and
+    one shift after the other.
     """
     w = Window.partitionBy(node).orderBy(order)
     moved = df.select(
         F.col(node).alias("node"),
         F.col(order).alias("t"),
-        (F.col(value) - F.lag(value).over(w)).alias("d"),
+        (F.col(value) - F.lag(value).over(w)).cast("double").alias("d"),
         F.lag(order).over(w).alias("_pt"),
     ).where(F.col("d").isNotNull() & (F.col("t") - F.col("_pt") == 1))
-    span = moved.agg(F.min("t").alias("_lo"), F.max("t").alias("_hi")).withColumn("_one", F.lit(1))
-    arrays = (
-        moved.groupBy("node")
-        .agg(F.map_from_entries(F.collect_list(F.struct("t", "d"))).alias("_m"), F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_points)
-        .withColumn("_one", F.lit(1))
-        .join(span, "_one")
-        .select("node", F.transform(F.sequence("_lo", "_hi"), lambda t: F.try_element_at("_m", t)).alias("v"))
-    )
-
-    def corr(x: Column, y: Column) -> Column:
-        both = F.filter(
-            F.zip_with(x, y, lambda a, b: F.struct(a.alias("x"), b.alias("y"))),
-            lambda s: s["x"].isNotNull() & s["y"].isNotNull(),
-        )
-        start = F.struct(*[F.lit(0.0).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
-
-        def add(s: Column, v: Column) -> Column:
-            return F.struct(
-                (s["n"] + 1.0).alias("n"),
-                (s["sx"] + v["x"]).alias("sx"),
-                (s["sy"] + v["y"]).alias("sy"),
-                (s["sxx"] + v["x"] * v["x"]).alias("sxx"),
-                (s["syy"] + v["y"] * v["y"]).alias("syy"),
-                (s["sxy"] + v["x"] * v["y"]).alias("sxy"),
-            )
-
-        def finish(s: Column) -> Column:
-            spread = (s["sxx"] * s["n"] - s["sx"] * s["sx"]) * (s["syy"] * s["n"] - s["sy"] * s["sy"])
-            return F.when(
-                (s["n"] >= min_pairs) & (spread > 0),
-                (s["sxy"] * s["n"] - s["sx"] * s["sy"]) / F.sqrt(spread),
-            )
-
-        return F.aggregate(both, start, add, finish)
-
-    def shifted(x: Column, y: Column) -> Column:
-        size = F.size(y)
-        turns = F.transform(
-            F.sequence(F.lit(1), size - 2),
-            lambda s: corr(x, F.concat(F.slice(y, size - s + 1, s), F.slice(y, F.lit(1), size - s))),
-        )
-        return F.filter(turns, lambda r: r.isNotNull())
-
-    scored = F.filter(
-        F.transform(
-            F.filter("others", lambda o: o["node"] > F.col("node")),
-            lambda o: F.struct(
-                o["node"].alias("dst"),
-                corr(F.col("v"), o["v"]).alias("weight"),
-                shifted(F.col("v"), o["v"]).alias("null"),
-            ),
-        ),
-        lambda r: (r["weight"] > 0) & (F.size(r["null"]) > 0),
-    )
-    part = F.size(F.filter("r.null", lambda x: F.abs(x) >= F.col("r.weight"))) / F.size("r.null")
-    return (
-        against_blocks(arrays)
-        .select(F.col("node").alias("src"), F.explode(scored).alias("r"))
-        .select("src", "r.dst", "r.weight", ((part * draws + 1) / (draws + 1)).alias("p_value"))
-        .where(F.col("p_value") <= alpha)
-    )
+    moved = cut_lineage(moved.select("node", "t", "d"))
+    span = moved.agg(F.min("t"), F.max("t")).first()
+    node_type = moved.schema["node"].dataType
+    schema = T.StructType([T.StructField("src", node_type), T.StructField("dst", node_type), T.StructField("weight", T.DoubleType()), T.StructField("p_value", T.DoubleType())])
+    if span[0] is None:
+        return df.sparkSession.createDataFrame([], schema)
+    size = span[1] - span[0] + 1
+    filled = F.map_from_entries(F.collect_list(F.struct("t", "d")))
+    calendar = F.sequence(F.lit(span[0]), F.lit(span[1]))
+    arrays = moved.groupBy("node").agg(filled.alias("_m"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points)
+    values = F.transform(calendar, lambda t: F.coalesce(F.try_element_at("_m", t), F.lit(float("nan"))))
+    # the rows of a sorted partition are numbered on, so a tile's ids all come before the next tile's
+    ordered = arrays.select("node", values.alias("v")).orderBy("node").withColumn("_at", F.monotonically_increasing_id())
+    tiled = cut_lineage(ordered.withColumn("_tile", F.shiftright("_at", TILE_BITS)))
+    numbers = tiled.select("_tile").distinct().withColumn("_all", F.lit(1))
+    numbers = cut_lineage(numbers.select("_tile", F.row_number().over(Window.partitionBy("_all").orderBy("_tile")).alias("tile")))  # a row per tile
+    tiles = cut_lineage(tiled.join(numbers, "_tile").groupBy("tile").agg(F.sort_array(F.collect_list(F.struct("node", "v"))).alias("members")))
+    n_tiles = numbers.count()
+    pairs = tiles.select(F.col("members").alias("first"), "tile", F.explode(F.sequence("tile", F.lit(n_tiles))).alias("_with"))
+    met = pairs.join(tiles.select(F.col("tile").alias("_with"), F.col("members").alias("second")), "_with")
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column("tile").to_pylist(), batch.column("_with").to_pylist(), tile_members(batch.column("first")), tile_members(batch.column("second")), strict=True)
+            for a, b, (src, x), (dst, y) in rows:
+                r, part = shift_test(x.reshape(-1, size), y.reshape(-1, size), min_pairs)
+                p = (part * draws + 1) / (draws + 1)
+                keep = (r > 0) & (p <= alpha)
+                if a == b:
+                    keep &= np.triu(np.ones(keep.shape, bool), 1)
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([src.take(pa.array(i)), dst.take(pa.array(j)), pa.array(r[i, j]), pa.array(p[i, j])], names=schema.names)
+
+    return met.select("tile", "_with", "first", "second").mapInArrow(run, schema)
+
+
+#: A tile has up to 2 to this power nodes.
+TILE_BITS = 7
+
+
+def tile_members(column: pa.ListArray):
+    """Ids and values of each row's members."""
+    at = column.offsets.to_numpy(zero_copy_only=False)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        node, values = column.values.slice(a, b - a).flatten()
+        ends = values.offsets.to_numpy(zero_copy_only=False)
+        yield node, values.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+
+
+def shift_test(x: np.ndarray, y: np.ndarray, min_pairs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Correlations of the rows of x with those of y, and the part of the circular shifts of y at least as large in size.
+
+    Missing values are not numbers; a correlation needs ``min_pairs`` common
+    periods and some spread.  Without a scored shift the part is not a number.
+    """
+    kx, ky = np.isfinite(x), np.isfinite(y)
+    x, y = np.where(kx, x, 0.0), np.where(ky, y, 0.0)
+    kx = kx.astype(float)
+
+    def correlations(shift: int) -> np.ndarray:
+        k, v = np.roll(ky, shift, 1).astype(float).T, np.roll(y, shift, 1).T
+        n, sx, sy = kx @ k, x @ k, kx @ v
+        spread_x, spread_y = (x * x) @ k * n - sx * sx, kx @ (v * v) * n - sy * sy
+        known = (n >= min_pairs) & (spread_x > 1e-12 * n * ((x * x) @ k)) & (spread_y > 1e-12 * n * (kx @ (v * v)))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return np.where(known, ((x @ v) * n - sx * sy) / np.sqrt(spread_x * spread_y), np.nan)
+
+    seen = correlations(0)
+    scored, beyond = np.zeros(seen.shape), np.zeros(seen.shape)
+    for shift in range(1, x.shape[1] - 1):
+        r = correlations(shift)
+        scored += np.isfinite(r)
+        beyond += np.abs(r) >= np.abs(seen) - 1e-12
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return seen, np.where(scored > 0, beyond / scored, np.nan)
 
 
 # -------------------------------------------------------------------- races on timing

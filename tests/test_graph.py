@@ -216,3 +216,38 @@ def test_true_network_wins_and_beats_rewiring(frame):
     assert held["true"].n_train_adopters == 8
     out = graph.rewiring_null_test(edges, years, replicates=30, rounds=5).first()
     assert out.p_value < 0.1 and out.n_null == 30
+
+
+def test_shift_test_equals_one_pair_at_a_time():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(5, 20))
+    y = np.vstack([x[:2] + rng.normal(size=(2, 20)) * 0.1, rng.normal(size=(2, 20)), np.full((1, 20), 0.3)])
+    x[0, 3:9], y[2, 5], x[4, 2:18] = np.nan, np.nan, np.nan
+
+    def corr(a, b):
+        both = np.isfinite(a) & np.isfinite(b)
+        if both.sum() < 5 or np.ptp(a[both]) == 0 or np.ptp(b[both]) == 0:
+            return np.nan
+        return np.corrcoef(a[both], b[both])[0, 1]
+
+    r, part = graph.shift_test(x, y, 5)
+    for i in range(5):
+        for j in range(5):
+            want = corr(x[i], y[j])
+            null = np.array([corr(x[i], np.roll(y[j], s)) for s in range(1, 19)])
+            null = null[np.isfinite(null)]
+            assert r[i, j] == pytest.approx(want, nan_ok=True)
+            if np.isfinite(want):
+                assert part[i, j] == pytest.approx((abs(null) >= abs(want)).mean())
+
+
+def test_coadoption_over_several_tiles(frame, monkeypatch):
+    monkeypatch.setattr(graph, "TILE_BITS", 2)
+    rng = np.random.default_rng(7)
+    shape = rng.normal(size=(3, 60)).cumsum(1)
+    rows = [(f"n{i:02d}", t, float(shape[i % 3, t] + rng.normal() * 0.02)) for i in range(18) for t in range(60) if (i + t) % 17]
+    edges = graph.coadoption_edges(frame(rows, "state string, t int, share double"), "state", "t", "share").collect()
+    got = {(r.src, r.dst) for r in edges}
+    assert {(f"n{i:02d}", f"n{j:02d}") for i in range(18) for j in range(i + 1, 18) if i % 3 == j % 3} <= got
+    assert all(r.src < r.dst and 0 < r.weight <= 1 and r.p_value <= 0.05 for r in edges) and len(got) < 18 * 17 // 2
+    assert graph.coadoption_edges(frame([], "state string, t int, share double"), "state", "t", "share").collect() == []
