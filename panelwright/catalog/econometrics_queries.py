@@ -266,3 +266,17 @@ def era_experiment(m: Market) -> DataFrame:
         .join(covariates, "state_code", "left")
         .join(momentum, "state_code", "left")
     )
+
+
+@query(
+    "eco_11_three_eras",
+    f"""WITH {scan_sql(_ERA_SER)} SELECT split_part(k, '|', 1) AS state_code, split_part(k, '|', 2) AS era, scan.* EXCLUDE (k), max_share
+ FROM scan JOIN (SELECT k, MAX(s) AS max_share FROM ser GROUP BY k) p USING (k) WHERE max_share >= 0.01""",
+    "panel_month",
+    _SCAN_COLS + " max_share",
+    digits=5,
+)
+def three_eras(m: Market) -> DataFrame:
+    """The scans of the full series, the policy era and the recent years, in one run with the era as a key."""
+    keyed = econometrics.in_eras(local_month(m), "date", ERAS)
+    return econometrics.tipping_summary(keyed, ["state_code", "era"], "date", "ev_share", 0.01).drop("smooth_window")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from panelwright.catalog.econometrics_queries import local_month
 from panelwright.catalog.registry import Market, query
 from panelwright.catalog.series_queries import daily
-from panelwright.operators import diffusion, econometrics, forecast, series
+from panelwright.operators import diffusion, econometrics, forecast, segments, series
 
 
 def naive_sql(train: str, horizon: int) -> str:
@@ -114,6 +114,18 @@ def nowcast_experiment(m: Market) -> DataFrame:
     return facts.join(best, "scope").join(scores, "scope").drop("scope")
 
 
+@query(
+    "fct_08_segment_mix",
+    """SELECT segment5, year, CAST(SUM(qty) AS BIGINT) AS units, SUM(qty)::DOUBLE / SUM(SUM(qty)) OVER (PARTITION BY year) AS share
+ FROM wholesale WHERE coverage = 'full' GROUP BY segment5, year""",
+    "wholesale",
+    "share",
+)
+def segment_mix(m: Market) -> DataFrame:
+    """Units of each segment by year, the third result of the nowcast experiment."""
+    return segments.segment_mix(m.dispatch, "year").select("segment5", "year", "units", "share")
+
+
 # ------------------------------------------------------------------------ diffusion
 
 _FIXED_FIT = "SELECT entity, 0.01e0 + entity * 0.001e0 AS p, 0.1e0 + entity * 0.02e0 AS q, SUM(n)::DOUBLE * 3 AS m FROM daily GROUP BY entity"

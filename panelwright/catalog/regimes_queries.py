@@ -9,7 +9,7 @@ from panelwright.catalog.graph_queries import THRESHOLDS, shares
 from panelwright.catalog.registry import Market, query
 from panelwright.catalog.series_queries import local_year
 from panelwright.catalog.series_queries import regimes as rule_regimes
-from panelwright.operators import graph, regimes, series
+from panelwright.operators import econometrics, graph, regimes, series
 
 YEAR = 2000
 
@@ -96,3 +96,13 @@ def phase_experiment(m: Market) -> DataFrame:
 def survival_experiment(m: Market) -> DataFrame:
     """Survival in the first latent regime, from the fitted calendar."""
     return series.kaplan_meier(series.build_risk_set(fitted(m)["calendar"], m.panel_year, []))
+
+
+_SURVIVAL_COVARIATES = ["pc_income_constant_2011_12_inr", "personal_loans_per_capita_inr", "personal_loans_yoy_growth_pct"]
+
+
+@query("reg_07_hazard_table")
+def hazard_table(m: Market) -> DataFrame:
+    """What hastens leaving a latent regime: odds ratios per standard deviation of each covariate."""
+    risk = series.build_risk_set(fitted(m)["calendar"], m.full_year, _SURVIVAL_COVARIATES)
+    return econometrics.discrete_hazard_model(risk, _SURVIVAL_COVARIATES)

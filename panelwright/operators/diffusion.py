@@ -191,8 +191,8 @@ def curve_comparison(df: DataFrame, keys: Sequence[str], order: str, cumulative:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for _, row in batch.iterrows():
-                y = np.asarray(row["y"], dtype=float)
+            for *key, y in batch[[*keys, "y"]].itertuples(index=False, name=None):
+                y = np.asarray(y, dtype=float)
                 held = min(12, max(3, len(y) // 5))
                 train, test = y[:-held], y[-held:]
                 t = np.arange(len(train), len(y), dtype=float)
@@ -206,7 +206,7 @@ def curve_comparison(df: DataFrame, keys: Sequence[str], order: str, cumulative:
                 for name, path in paths.items():
                     gap = np.abs(path - test)
                     rows.append(
-                        [*(row[k] for k in keys), name, held, gap.mean(), (gap / np.maximum(test, 1)).mean()]
+                        [*key, name, held, gap.mean(), (gap / np.maximum(test, 1)).mean()]
                     )
             yield pd.DataFrame(rows, columns=[*keys, "model", "holdout", "mae", "mape"])
 

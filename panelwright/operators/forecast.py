@@ -87,15 +87,13 @@ def _per_series(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for _, row in batch.iterrows():
-                result = model(np.asarray(row["_y"], dtype=float))
+            for *key, y in batch[[*keys, "_y"]].itertuples(index=False, name=None):
+                result = model(np.asarray(y, dtype=float))
                 if result is None:
                     continue
                 mean, lo, hi = (np.maximum(part, 0.0) for part in result)
                 out = pd.DataFrame({"h": range(horizon), "mean": mean, "lo": lo, "hi": hi})
-                for k in keys:
-                    out[k] = row[k]
-                parts.append(out)
+                parts.append(out.assign(**dict(zip(keys, key, strict=True))))
             if parts:
                 yield pd.concat(parts)[[*keys, "h", "mean", "lo", "hi"]]
 
@@ -145,48 +143,104 @@ def holt_winters(
     return _per_series(df, keys, order, value, horizon, model)
 
 
+def seasonal_polynomial(near: float, far: float, season: int) -> np.ndarray:
+    """Coefficients of (1 + near B)(1 + far B^season) by power of B."""
+    out = np.zeros(season + 2)
+    out[[0, 1, season, season + 1]] = 1.0, near, far, near * far
+    return out
+
+
+def innovations(w: np.ndarray, params: np.ndarray, season: int) -> np.ndarray:
+    """One-step errors of a (1,1)(1,1) product model, 0 before the first full set of lags."""
+    phi, far_phi, theta, far_theta = params
+    first = season + 1
+    own = seasonal_polynomial(-phi, -far_phi, season)
+    e = np.zeros(len(w))
+    e[first:] = sum(own[k] * w[first - k : len(w) - k] for k in (0, 1, season, season + 1))
+    both = theta * far_theta
+    for t in range(first, len(w)):
+        e[t] -= theta * e[t - 1] + far_theta * e[t - season] + both * e[t - season - 1]
+    return e
+
+
+def fit_seasonal(w: np.ndarray, season: int, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """(phi, seasonal phi, theta, seasonal theta) with the least squared errors, and the errors' variance.
+
+    Starts from a regression on lags and on the residuals of a longer
+    autoregression, product terms left free, and goes on by damped Gauss-Newton
+    steps on the errors of the product model itself.  No coefficient is bounded:
+    a step that makes the errors grow is not taken.
+    """
+    first = season + 1
+    lags = (1, 2, season, season + 1)
+    long = np.column_stack([w[first - k : len(w) - k] for k in lags])
+    e = np.zeros(len(w))
+    e[first:] = w[first:] - long @ np.linalg.lstsq(long, w[first:], rcond=None)[0]
+    lo = 2 * first
+    stage = [v[lo - k : len(w) - k] for v in (w, e) for k in (1, season, season + 1)]
+    free = np.linalg.lstsq(np.column_stack(stage), w[lo:], rcond=None)[0]
+
+    def loss(p: np.ndarray) -> float:
+        with np.errstate(over="ignore", invalid="ignore"):
+            total = float((innovations(w, p, season)[first:] ** 2).sum())
+        return total if np.isfinite(total) else np.inf
+
+    starts = [free[[0, 1, 3, 4]], np.zeros(4)]
+    params = min(starts, key=loss)
+    now, damping = loss(params), 1e-3
+    for _ in range(rounds):
+        base = innovations(w, params, season)[first:]
+        slopes = np.column_stack([(innovations(w, params + 1e-6 * unit, season)[first:] - base) / 1e-6 for unit in np.eye(4)])
+        square, pull = slopes.T @ slopes, slopes.T @ base
+        while True:
+            step = np.linalg.lstsq(square + damping * np.diag(np.diag(square) + 1e-12), -pull, rcond=None)[0]
+            new = loss(params + step)
+            if new < now or damping > 1e8:
+                break
+            damping *= 10
+        if not new < now:
+            break
+        done = now - new <= 1e-10 * now
+        params, now, damping = params + step, new, max(damping / 10, 1e-9)
+        if done:
+            break
+    return params, now / (len(w) - first)
+
+
+def psi_weights(params: np.ndarray, season: int, horizon: int) -> np.ndarray:
+    """Effect of an error on the level h steps later, differences undone."""
+    phi, far_phi, theta, far_theta = params
+    above = seasonal_polynomial(theta, far_theta, season)
+    below = np.convolve(seasonal_polynomial(-phi, -far_phi, season), seasonal_polynomial(-1.0, -1.0, season))
+    out = np.zeros(horizon)
+    for h in range(horizon):
+        out[h] = (above[h] if h < len(above) else 0.0) - sum(below[k] * out[h - k] for k in range(1, min(h, len(below) - 1) + 1))
+    return out
+
+
 def sarima(
     df: DataFrame, keys: Sequence[str], order: str, value: str, horizon: int, season: int = 12
 ) -> DataFrame:
-    """(1,1,1)(1,1,1) seasonal model by two least-squares stages.
+    """(1,1,1)(1,1,1) seasonal product model with a 95 percent interval.
 
-    Stage one takes residuals of a short autoregression of the differenced
-    series; stage two regresses on the lagged series and lagged residuals.  The
-    interval uses the residual variance and the psi weights of the fitted model.
+    Coefficients minimise the squared one-step errors, both product terms
+    included; the interval uses the errors' variance and the psi weights.
+    Series with too few seasons have no rows.
     """
 
     def model(y: np.ndarray):
-        w = np.diff(y[season:] - y[:-season])
-        first = season + 1
-        if len(w) < 2 * first + 6:
+        w = np.diff(y[season:] - y[:-season]) if len(y) > season else np.zeros(0)
+        if len(w) < 2 * (season + 1) + 6:
             return None
-        lags = np.column_stack([w[first - k : len(w) - k] for k in (1, 2, season, season + 1)])
-        start = np.linalg.lstsq(lags, w[first:], rcond=None)[0]
-        e = np.zeros(len(w))
-        e[first:] = w[first:] - lags @ start
-        lo = 2 * first
-        x = np.column_stack(
-            [w[lo - 1 : -1], w[lo - season : len(w) - season], e[lo - 1 : -1], e[lo - season : len(w) - season]]
-        )
-        phi, seasonal, theta, seasonal_theta = np.clip(
-            np.linalg.lstsq(x, w[lo:], rcond=None)[0], -0.98, 0.98
-        )
-        variance = np.mean((w[lo:] - x @ [phi, seasonal, theta, seasonal_theta]) ** 2)
-        path, errors, levels = list(w), list(e), list(y)
-        psi_w, psi = np.zeros(horizon), np.zeros(horizon)
-        for h in range(horizon):
-            nxt = phi * path[-1] + seasonal * path[-season] + theta * errors[-1] + seasonal_theta * errors[-season]
-            path.append(nxt)
-            errors.append(0.0)
-            levels.append(nxt + levels[-1] + levels[-season] - levels[-season - 1])
-            psi_w[h] = 1.0 if h == 0 else phi * psi_w[h - 1] + (theta if h == 1 else 0.0)
-            if h >= season:
-                psi_w[h] += seasonal * psi_w[h - season] + (seasonal_theta if h == season else 0.0)
-            psi[h] = psi_w[h] + (psi[h - 1] if h >= 1 else 0.0) + (psi[h - season] if h >= season else 0.0)
-            if h >= season + 1:
-                psi[h] -= psi[h - season - 1]
+        params, variance = fit_seasonal(w, season)
+        own, errors = seasonal_polynomial(-params[0], -params[1], season), seasonal_polynomial(params[2], params[3], season)
+        path, e, levels = list(w), list(innovations(w, params, season)), list(y)
+        for _ in range(horizon):
+            path.append(sum(errors[k] * e[-k] - own[k] * path[-k] for k in (1, season, season + 1)))
+            e.append(0.0)
+            levels.append(path[-1] + levels[-1] + levels[-season] - levels[-season - 1])
         mean = np.array(levels[len(y) :])
-        band = 1.96 * np.sqrt(variance * np.cumsum(psi**2))
+        band = 1.96 * np.sqrt(variance * np.cumsum(psi_weights(params, season, horizon) ** 2))
         return mean, mean - band, mean + band
 
     return _per_series(df, keys, order, value, horizon, model)

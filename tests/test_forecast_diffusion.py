@@ -82,3 +82,36 @@ def test_bootstrap_and_curves(frame):
     assert set(scores) == {"bass", "logistic", "gompertz", "naive_trend"} and scores["bass"].mape < 0.2
     uplift = diffusion.tax_parity_scenarios(diffusion.fit_bass(df, ["k"], "t", "cum"), ["k"]).collect()
     assert {r.scenario: r.uplift for r in uplift}["elasticity_2"] > 1.2
+
+
+def simulated(params, n, season, seed):
+    """Levels of a (1,1,1)(1,1,1) product model."""
+    rng = np.random.default_rng(seed)
+    phi, far_phi, theta, far_theta = params
+    e, w = rng.normal(size=n), np.zeros(n)
+    for t in range(season + 1, n):
+        w[t] = phi * w[t - 1] + far_phi * w[t - season] - phi * far_phi * w[t - season - 1]
+        w[t] += e[t] + theta * e[t - 1] + far_theta * e[t - season] + theta * far_theta * e[t - season - 1]
+    return w
+
+
+@pytest.mark.parametrize("params", [(0.6, 0.3, 0.3, -0.6), (-0.5, 0.6, -0.4, 0.3), (0.8, -0.5, 0.4, -0.4)])
+def test_seasonal_product_model_recovers_planted_coefficients(params):
+    w = simulated(params, 3000, 12, 11)
+    fit, variance = forecast.fit_seasonal(w, 12)
+    assert fit == pytest.approx(params, abs=0.08) and variance == pytest.approx(1.0, abs=0.08)
+    errors = forecast.innovations(w, np.array(params), 12)[200:]
+    assert abs(np.corrcoef(errors[13:], errors[:-13])[0, 1]) < 0.06 and errors.std() == pytest.approx(1.0, abs=0.05)
+
+
+def test_psi_weights_are_the_response_to_one_error():
+    params, season, n = (0.5, 0.3, -0.4, -0.6), 4, 30
+    w = np.zeros(n + season + 1)
+    e = np.zeros(len(w))
+    e[season + 1] = 1.0
+    for t in range(season + 1, len(w)):
+        w[t] = 0.5 * w[t - 1] + 0.3 * w[t - season] - 0.15 * w[t - season - 1] + e[t] - 0.4 * e[t - 1] - 0.6 * e[t - season] + 0.24 * e[t - season - 1]
+    y = np.zeros(len(w))
+    for t in range(season + 1, len(w)):
+        y[t] = w[t] + y[t - 1] + y[t - season] - y[t - season - 1]
+    assert forecast.psi_weights(np.array(params), season, n) == pytest.approx(y[season + 1 :][:n])
