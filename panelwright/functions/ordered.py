@@ -1,10 +1,11 @@
 """Ordered sums over groups of any size.
 
 A plain ordered window puts a whole group into one task.  Here every group is
-first collapsed to its distinct values (map-side combined), each group is cut
-into value ranges at sampled quantiles, and the window runs inside one range;
-the offset of a range is the total of the ranges below it.  The result is
-exact, and no task sees more than about 1/buckets of a hot group.
+first collapsed to its distinct values (map-side combined).  All rows are cut
+into ranges of the group and its order, as many as the counted rows ask for, so
+a small group shares a range with others and a hot one is cut as finely as its
+own size demands.  The window runs inside one range; the offset of a range is
+the total of the group's ranges below it.  The result is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from panelwright.session import cut_lineage
 
-BUCKETS = 64
+#: Rows of one range, about: Spark finds the ranges' ends from a sample of each partition.
+RANGE_ROWS = 200_000
 
 
 def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -27,12 +29,21 @@ def same_keys_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """The frame as a written table with the number of each row's range (``_bucket``), ascending with (keys, order)."""
+    df = cut_lineage(df)
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return df.withColumn("_bucket", F.lit(0))
+    return cut_lineage(df.repartitionByRange(parts, *keys, order).withColumn("_bucket", F.spark_partition_id()))
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     sums: dict[str, str],
-    buckets: int = BUCKETS,
+    rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Running sums in ascending ``order`` (unique per group), inclusive.
 
@@ -40,14 +51,7 @@ def prefix_sums(
     least one column (a constant one for a single group).
     """
     keys = list(keys)
-    # Three branches read the frame, so it is written once instead of derived thrice.
-    df = cut_lineage(df)
-    edges = df.groupBy(*keys).agg(
-        F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 1000).alias("_edges")
-    )
-    cut = same_keys_join(df, edges, keys, "left").withColumn(
-        "_bucket", F.size(F.filter("_edges", lambda e: e < F.col(order)))
-    ).drop("_edges")
+    cut = ranged(df, keys, order, rows)
     totals = cut.groupBy(*keys, "_bucket").agg(
         *[F.sum(source).alias(f"_t_{out}") for out, source in sums.items()]
     )

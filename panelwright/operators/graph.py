@@ -317,8 +317,9 @@ def holdout_horserace(
 def rewire(edges: DataFrame, replicates: int, rounds: int = 12, seed: int = 42) -> DataFrame:
     """Degree-preserving double-edge swaps, many replicates at once.
 
-    Each round puts the edges of a replicate in hash order, pairs neighbours in
-    that order inside hash buckets, and proposes one swap per pair.  Proposals
+    Each round puts the edges of a replicate in one hash order, pairs neighbours
+    in that order, and proposes one swap per pair; how many ranges the order is
+    numbered in changes no pair.  Proposals
     that make a loop, repeat an existing edge or collide with another proposal
     are dropped, so degrees never change.
     """
@@ -326,24 +327,20 @@ def rewire(edges: DataFrame, replicates: int, rounds: int = 12, seed: int = 42)
     state = cut_lineage(
         base.select(F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), "src", "dst")
     )
-    edge_count = base.count()
-    buckets = max(1, edge_count // 4096)
+    buckets = max(1, base.count() // 4096)
     for i in range(rounds):
         h = F.xxhash64(F.lit(seed + i), "replicate", "src", "dst")
-        placed = state.withColumn("_h", h).withColumn("_bucket", F.pmod(h, F.lit(buckets)))
-        w = Window.partitionBy("replicate", "_bucket").orderBy("_h", "src", "dst")
-        numbered = placed.withColumn("_i", F.row_number().over(w) - 1).withColumn(
-            "_pair", F.floor(F.col("_i") / 2)
-        )
+        placed = hash_positions(state.withColumn("_edge", F.struct("src", "dst")), ["replicate"], h, "_edge", "_at", buckets)
+        numbered = placed.withColumn("_pair", F.floor((F.col("_at") - 1) / 2))
         # Orientation of the second edge is a coin from its hash.
-        coin = F.pmod(F.shiftright("_h", 7), F.lit(2)) == 0
-        one = numbered.where(F.col("_i") % 2 == 0).select("replicate", "_bucket", "_pair", "src", "dst")
-        two = numbered.where(F.col("_i") % 2 == 1).select(
-            "replicate", "_bucket", "_pair",
+        coin = F.pmod(F.shiftright(h, 7), F.lit(2)) == 0
+        one = numbered.where(F.col("_at") % 2 == 1).select("replicate", "_pair", "src", "dst")
+        two = numbered.where(F.col("_at") % 2 == 0).select(
+            "replicate", "_pair",
             F.when(coin, F.col("src")).otherwise(F.col("dst")).alias("u"),
             F.when(coin, F.col("dst")).otherwise(F.col("src")).alias("v"),
         )
-        proposal = one.join(two, ["replicate", "_bucket", "_pair"]).select(
+        proposal = one.join(two, ["replicate", "_pair"]).select(
             "replicate",
             F.struct("src", "dst").alias("old1"),
             F.struct(F.least("u", "v").alias("src"), F.greatest("u", "v").alias("dst")).alias("old2"),

@@ -251,3 +251,14 @@ def test_coadoption_over_several_tiles(frame, monkeypatch):
     assert {(f"n{i:02d}", f"n{j:02d}") for i in range(18) for j in range(i + 1, 18) if i % 3 == j % 3} <= got
     assert all(r.src < r.dst and 0 < r.weight <= 1 and r.p_value <= 0.05 for r in edges) and len(got) < 18 * 17 // 2
     assert graph.coadoption_edges(frame([], "state string, t int, share double"), "state", "t", "share").collect() == []
+
+
+def test_rewiring_does_not_depend_on_the_number_of_ranges(frame, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    edges = frame([(min(a, b), max(a, b)) for a, b in {tuple(sorted(rng.sample(range(30), 2))) for _ in range(90)}], "src long, dst long")
+    plain = {tuple(r) for r in graph.rewire(edges, 2, 3).collect()}
+    whole = graph.hash_positions
+    monkeypatch.setattr(graph, "hash_positions", lambda df, keys, value, tie, out, buckets: whole(df, keys, value, tie, out, 7))
+    assert {tuple(r) for r in graph.rewire(edges, 2, 3).collect()} == plain

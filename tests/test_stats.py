@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelwright.functions.ordered import average_ranks, prefix_sums
+from panelwright.functions.ordered import average_ranks, prefix_sums, ranged
 from panelwright.operators import market, series, stats
 
 
@@ -60,6 +60,17 @@ def test_prefix_sums_equal_plain_running_sums(spark):
             assert got[(k, o)] == run
 
 
+def test_ranges_of_a_hot_group_are_bounded(spark):
+    hot = spark.range(200_000).select(F.lit("hot").alias("k"), F.col("id").alias("o"))
+    small = spark.range(500).select(F.concat(F.lit("k"), (F.col("id") % 100).cast("string")).alias("k"), F.col("id").alias("o"))
+    cut = ranged(hot.unionByName(small), ["k"], "o", 5_000)
+    sizes = cut.groupBy("_bucket").agg(F.count("*").alias("n"), F.count_if(F.col("k") != "hot").alias("small")).collect()
+    assert max(r.n for r in sizes) < 15_000 and len(sizes) >= 30
+    assert sum(r.small > 0 for r in sizes) <= 3
+    last = prefix_sums(hot, ["k"], "o", {"s": "o"}, 5_000).agg(F.max("s")).first()[0]
+    assert last == 200_000 * 199_999 // 2
+
+
 def test_average_ranks(frame):
     df = frame([("a", v) for v in (3.0, 1.0, 3.0, 2.0)], "k string, v double")
     out = {r.v: r["rank"] for r in average_ranks(df, ["k"], "v").collect()}
