@@ -6,6 +6,10 @@ it; neighbouring labels are tied by a 2 x 2 table.  Forward-backward gives each
 line's marginal probability of being good, and the mean of the marginals
 weighted by line length is the document's quality.
 
+Only documents are labelled.  In training a line's label is latent: a document
+is good with the probability of its weighted share of good lines, and the
+likelihood of the documents' labels is maximised over the chains.
+
 Chains of a block are walked together: step t handles the t-th line of every
 document that has one.
 """
@@ -116,6 +120,15 @@ class Chains:
 
         ``score`` is the evidence for label 1 over label 0 in time-major order.
         """
+        forward, backward, norm = self._passes(score, tie)
+        marginal = np.exp((forward + backward)[:, 1] - norm)
+        pairs = np.zeros((2, 2))
+        for _, _, joint in self._steps(score, tie, forward, backward, norm):
+            pairs += joint.sum(0)
+        return marginal, pairs, norm[: self.alive[0] if len(self.alive) else 0]
+
+    def _passes(self, score: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log weights of both labels, and each line's log partition."""
         n = len(score)
         emit = np.column_stack([np.zeros(n), score])
         forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
@@ -128,23 +141,68 @@ class Chains:
                 continue
             held = forward[b[t - 1] : b[t - 1] + self.alive[t]]
             forward[now] = emit[now] + np.logaddexp(held[:, :1] + tie[0], held[:, 1:] + tie[1])
-        pairs = np.zeros((2, 2))
-        for t in range(steps - 1, -1, -1):
-            now, k = slice(b[t], b[t + 1]), self.alive[t + 1] if t + 1 < steps else 0
-            if k:
-                later = emit[b[t + 1] : b[t + 1] + k] + backward[b[t + 1] : b[t + 1] + k]
-                backward[b[t] : b[t] + k] = np.logaddexp(tie[:, 0] + later[:, :1], tie[:, 1] + later[:, 1:])
-        whole = forward + backward
-        norm = np.logaddexp(whole[:, 0], whole[:, 1])
-        marginal = np.exp(whole[:, 1] - norm)
-        for t in range(steps - 1):
+        for t in range(steps - 2, -1, -1):
             k = self.alive[t + 1]
             later = emit[b[t + 1] : b[t + 1] + k] + backward[b[t + 1] : b[t + 1] + k]
-            joint = forward[b[t] : b[t] + k, :, None] + tie + later[:, None, :] - norm[b[t] : b[t] + k, None, None]
-            pairs += np.exp(joint).sum(0)
-        if steps:
-            total = norm[: self.alive[0]]
-        return marginal, pairs, total
+            backward[b[t] : b[t] + k] = np.logaddexp(tie[:, 0] + later[:, :1], tie[:, 1] + later[:, 1:])
+        whole = forward + backward
+        return forward, backward, np.logaddexp(whole[:, 0], whole[:, 1])
+
+    def _steps(self, score: np.ndarray, tie: np.ndarray, forward: np.ndarray, backward: np.ndarray, norm: np.ndarray):
+        """(begin of a step, begin of the next, probabilities of the label pairs between them) of every step."""
+        emit = np.column_stack([np.zeros(len(score)), score])
+        for t in range(len(self.alive) - 1):
+            now, then, k = self.begin[t], self.begin[t + 1], self.alive[t + 1]
+            later = emit[then : then + k] + backward[then : then + k]
+            yield now, then, np.exp(forward[now : now + k, :, None] + tie + later[:, None, :] - norm[now : now + k, None, None])
+
+    def shares(self, score: np.ndarray, tie: np.ndarray, weight: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """What the documents' labels say about the lines' labels, which nobody has seen.
+
+        A document is good with the probability of its weighted share of good
+        lines.  ``weight`` is each line's part of its document (time-major),
+        ``label`` the label of each chain, longest first.  Returns how far
+        knowing the label moves the marginals and the expected label pairs, and
+        the log likelihood of the labels.  The expected share given a line's
+        label is the sum of what the lines up to it and those after it give,
+        carried along both passes as means.
+        """
+        forward, backward, norm = self._passes(score, tie)
+        emit = np.column_stack([np.zeros(len(score)), score])
+        past, future = np.zeros((len(score), 2)), np.zeros((len(score), 2))
+        past[:, 1] = weight
+        steps, b = len(self.alive), self.begin
+        for t in range(1, steps):
+            k = self.alive[t]
+            held = forward[b[t - 1] : b[t - 1] + k, :, None] + tie
+            from_ = np.exp(held - np.logaddexp(held[:, 0], held[:, 1])[:, None, :])
+            past[b[t] : b[t] + k] += (from_ * past[b[t - 1] : b[t - 1] + k, :, None]).sum(1)
+        for t in range(steps - 2, -1, -1):
+            k = self.alive[t + 1]
+            later = tie + (emit[b[t + 1] : b[t + 1] + k] + backward[b[t + 1] : b[t + 1] + k])[:, None, :]
+            to = np.exp(later - np.logaddexp(later[:, :, 0], later[:, :, 1])[:, :, None])
+            ahead = future[b[t + 1] : b[t + 1] + k].copy()
+            ahead[:, 1] += weight[b[t + 1] : b[t + 1] + k]
+            future[b[t] : b[t] + k] = (to * ahead[:, None, :]).sum(2)
+        n = self.alive[0] if steps else 0
+        good = np.exp((forward + backward)[:, 1] - norm)
+        first = np.exp((forward + backward)[:n] - norm[:n, None])
+        share = np.clip((first * (past[:n] + future[:n])).sum(1), 1e-9, 1 - 1e-9)
+        chain = np.concatenate([np.arange(self.alive[t]) for t in range(steps)]) if steps else np.zeros(0, np.int64)
+        label = label[:n].astype(float)
+
+        def moved(expected: np.ndarray, q: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.where(y == 1, expected / q - 1, (q - expected) / (1 - q))
+
+        lines = good * moved(past[:, 1] + future[:, 1], share[chain], label[chain])
+        pairs = np.zeros((2, 2))
+        for now, then, joint in self._steps(score, tie, forward, backward, norm):
+            k = len(joint)
+            ahead = future[then : then + k].copy()
+            ahead[:, 1] += weight[then : then + k]
+            expected = past[now : now + k, :, None] + ahead[:, None, :]
+            pairs += (joint * moved(expected, share[:k, None, None], label[:k, None, None])).sum(0)
+        return lines, pairs, float(np.where(label == 1, np.log(share), np.log1p(-share)).sum())
 
 
 @dataclass
@@ -171,24 +229,32 @@ class Crf:
         return np.where(size > 0, good / np.maximum(size, 1), self.prior)
 
 
-def learn(features: np.ndarray, at: np.ndarray, labels: np.ndarray, ridge: float = 1.0, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
-    """Maximises the penalised likelihood of line labels; each line has its document's label.
+def learn(features: np.ndarray, at: np.ndarray, labels: np.ndarray, length: np.ndarray, ridge: float = 1.0, tie_ridge: float = 20.0, start: int = 40, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Maximises the penalised likelihood of the documents' labels; the lines' labels are latent.
 
+    The first ``start`` rounds give each line its document's label and leave the
+    ties out, which tells apart what good and bad lines look like; from then on
+    a line is only bound by the share of good lines its document should have.
     Steps follow the sign of each gradient component with step sizes of their
     own, so features on different scales need no tuning.
     """
     chains = Chains(at)
     x = features[chains.order]
-    y = np.repeat(labels, np.diff(at))[chains.order].astype(float)
-    inner = np.maximum(np.diff(at) - 1, 0)
-    seen = np.array([[inner[labels == 0].sum(), 0.0], [0.0, inner[labels == 1].sum()]])
+    owner = np.repeat(np.arange(len(labels)), np.diff(at))
+    part = (length / np.bincount(owner, length, len(labels))[owner])[chains.order]
+    y, of_chain = labels[owner][chains.order].astype(float), labels[chains.chains]
     theta = np.zeros(x.shape[1] + 4)
+    penalty = np.r_[np.full(x.shape[1], ridge), np.full(4, tie_ridge)]
     step = np.full(len(theta), 0.1)
     before = np.zeros(len(theta))
-    for _ in range(rounds):
+    for r in range(rounds):
         weight, tie = theta[:-4], theta[-4:].reshape(2, 2)
-        marginal, pairs, _ = chains.walk(x @ weight, tie)
-        gradient = np.r_[x.T @ (y - marginal), (seen - pairs).ravel()] - ridge * theta
+        if r < start:
+            pull = np.r_[x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ weight, -500, 500)))), np.zeros(4)]
+        else:
+            lines, pairs, _ = chains.shares(x @ weight, tie, part, of_chain)
+            pull = np.r_[x.T @ lines, pairs.ravel()]
+        gradient = pull - penalty * theta
         turned = gradient * before
         step = np.clip(np.where(turned > 0, step * 1.2, np.where(turned < 0, step * 0.5, step)), 1e-6, 1.0)
         gradient = np.where(turned < 0, 0, gradient)
@@ -208,17 +274,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_cl
 
     def measured(texts: pa.Array) -> dict[str, object]:
         lines = lines_of(texts)
-        packed = [lines.features[a:b].astype("<f4").tobytes() for a, b in zip(lines.at[:-1], lines.at[1:], strict=True)]
+        both = np.column_stack([lines.features, lines.length]).astype("<f4")
+        packed = [both[a:b].tobytes() for a, b in zip(lines.at[:-1], lines.at[1:], strict=True)]
         return {"lines": pa.array(packed, pa.binary())}
 
     def fit(batches: list[pa.RecordBatch]) -> Crf:
         label = np.array([x for b in batches for x in b.column("label").to_pylist()], int)
-        rows = [np.frombuffer(x, "<f4").reshape(-1, WIDTH) for b in batches for x in b.column("lines").to_pylist()]
+        rows = [np.frombuffer(x, "<f4").reshape(-1, WIDTH + 1) for b in batches for x in b.column("lines").to_pylist()]
         prior = (label.sum() + 1) / (len(label) + 2)
         if len(set(label.tolist())) < 2:
             return Crf(np.r_[np.log(prior / (1 - prior)), np.zeros(WIDTH - 1)], np.zeros((2, 2)), float(prior))
         at = np.r_[0, np.cumsum([len(r) for r in rows])]
-        weight, tie = learn(np.concatenate(rows).astype(float), at, label)
+        whole = np.concatenate(rows).astype(float)
+        weight, tie = learn(whole[:, :WIDTH], at, label, whole[:, WIDTH])
         return Crf(weight, tie, float(prior))
 
     return labelled.fit(tx.map_texts(sample, "text", measured, "lines binary", keep=["label"]), fit)
