@@ -38,6 +38,26 @@ def ranged(df: DataFrame, keys: Sequence[str], order: str, rows: int = RANGE_ROW
     return cut_lineage(df.repartitionByRange(parts, *keys, order).withColumn("_bucket", F.spark_partition_id()))
 
 
+def numbered(df: DataFrame, order: Sequence[str], out: str, at: Sequence[int] | None = None, rows: int = RANGE_ROWS) -> DataFrame:
+    """Position of each row (from 0) in the order of all rows; with ``at``, only the rows at those positions.
+
+    Rows are cut into ranges of the whole order, which their first column alone
+    need not tell apart; ranges are counted, and only those that hold a wanted
+    position are sorted.  Rows that are equal in the order are numbered as they
+    come.
+    """
+    cut = ranged(df, list(order[:-1]), order[-1], rows)
+    counts = cut.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).withColumn("_all", F.lit(1))
+    below = Window.partitionBy("_all").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_bucket", "_n", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    if at is not None:
+        wanted = F.array(*[F.lit(int(p)) for p in at]) if at else F.array().cast("array<int>")
+        offsets = offsets.where(F.exists(wanted, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n"))))
+    inside = Window.partitionBy("_bucket").orderBy(*order)
+    placed = cut.join(offsets, "_bucket").withColumn(out, F.col("_before") + F.row_number().over(inside) - 1).drop("_bucket", "_n", "_before")
+    return placed if at is None else placed.where(F.col(out).isin([int(p) for p in at]))
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import FUEL_COLUMNS, month_start, ratio, total
-from panelwright.functions.ordered import average_ranks
+from panelwright.functions.ordered import RANGE_ROWS, average_ranks, numbered
 from panelwright.operators.stats import with_grand_total
 from panelwright.plans.panels import period_status
+from panelwright.session import cut_lineage
 
 
 def stored_or_recomputed_status(spark: SparkSession, table: str, panel_month: DataFrame) -> DataFrame:
@@ -626,28 +627,18 @@ def load_events(events: DataFrame, tiers: Sequence[int] = (1,)) -> DataFrame:
 
 
 def thin_evenly(events: DataFrame, order: Sequence[str], labels: int) -> DataFrame:
-    """``labels`` rows at evenly spaced positions, after the rows are counted per day.
+    """``labels`` rows at evenly spaced positions of the whole order; all rows if there are no more than that.
 
-    Positions come from daily running counts, so only one row per day is ordered
-    in one place.
+    The positions follow from the number of rows; only the ranges of the order
+    that hold one of them are sorted, however many events a day has.
     """
-    day, *rest = order
-    daily = events.groupBy(day).agg(F.count(F.lit(1)).alias("_n"))
-    running = Window.partitionBy(F.lit(0)).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
-    placed = daily.withColumn("_before", F.coalesce(F.sum("_n").over(running), F.lit(0)))
-    size = events.agg(F.count(F.lit(1)).alias("_size")).withColumn("_one", F.lit(1))
-    within = Window.partitionBy(day).orderBy(*rest)
-    numbered = (
-        events.withColumn("_i", F.row_number().over(within) - 1)
-        .join(placed.select(day, "_before"), day)
-        .withColumn("_pos", F.col("_before") + F.col("_i"))
-        .withColumn("_one", F.lit(1))
-        .join(size, "_one")
-    )
-    step = (F.col("_size") - 1).cast("double") / max(labels - 1, 1)
-    chosen = F.transform(F.sequence(F.lit(0), F.lit(labels - 1)), lambda i: F.bround(i * step, 0))
-    keep = (F.col("_size") <= labels) | F.array_contains(chosen, F.col("_pos").cast("double"))
-    return numbered.where(keep).select(*events.columns)
+    events = cut_lineage(events)
+    size = events.count()
+    if size <= labels:
+        return events
+    step = (size - 1) / max(labels - 1, 1)
+    chosen = sorted({round(i * step) for i in range(labels)})  # halves go to the even position
+    return numbered(events, order, "_pos", chosen, rows=max(1000, min(RANGE_ROWS, size // 128))).drop("_pos")
 
 
 def channel_baseline(retail_wholesale: DataFrame) -> DataFrame:

@@ -71,6 +71,17 @@ def test_ranges_of_a_hot_group_are_bounded(spark):
     assert last == 200_000 * 199_999 // 2
 
 
+def test_thinning_a_day_of_many_events(spark):
+    n = 300_000
+    events = spark.range(n).select(F.lit("2024-01-01").alias("date"), F.col("id"), (F.col("id") * 7919 % n).alias("event"))
+    kept = sorted(r.event for r in market.thin_evenly(events, ["date", "event"], 7).collect())
+    assert kept == [round(i * (n - 1) / 6) for i in range(7)]
+    cut = ranged(events, ["date"], "event", n // 128)
+    assert max(r["count"] for r in cut.groupBy("_bucket").count().collect()) < n / 64
+    few = events.limit(5)
+    assert market.thin_evenly(few, ["date", "event"], 7).count() == 5 and market.thin_evenly(few, ["date", "event"], 1).count() == 1
+
+
 def test_average_ranks(frame):
     df = frame([("a", v) for v in (3.0, 1.0, 3.0, 2.0)], "k string, v double")
     out = {r.v: r["rank"] for r in average_ranks(df, ["k"], "v").collect()}
