@@ -255,7 +255,16 @@ def betweenness(m: Market) -> DataFrame:
     return graph.betweenness(borders(m))
 
 
-@query("grf_14_eigenvector")
+@query(
+    "grf_14_eigenvector",
+    f"""WITH RECURSIVE {_SHARES}, k AS (SELECT * FROM shares WHERE weight >= 0.04), b AS (SELECT src, dst, weight FROM k UNION ALL SELECT dst, src, weight FROM k),
+ p AS (SELECT DISTINCT src AS node, 0 AS i, 1::DOUBLE AS x FROM b
+  UNION ALL SELECT a.node, a.i + 1, 0.5 * (a.x + SUM(weight * c.x)) FROM p a JOIN b ON b.src = a.node JOIN p c ON c.node = b.dst AND c.i = a.i WHERE a.i < 1500 GROUP BY a.node, a.i, a.x)
+ SELECT node, x / SQRT(SUM(x * x) OVER ()) AS eigenvector FROM p WHERE i = 1500""",
+    "edges",
+    "eigenvector",
+    digits=6,
+)
 def eigenvector(m: Market) -> DataFrame:
     return graph.eigenvector_centrality(shares(m, 0.04))
 
@@ -382,7 +391,18 @@ def critical_threshold(m: Market) -> DataFrame:
     return graph.critical_threshold(graph.percolation_curve(shares(m), THRESHOLDS))
 
 
-@query("grf_24_critical_threshold_by_year")
+_YEARLY = f"""WITH RECURSIVE shares AS (SELECT year, maker AS src, state_code AS dst, SUM(regs) / SUM(SUM(regs)) OVER (PARTITION BY year, state_code)::DOUBLE AS weight FROM edges WHERE year <= 2000 GROUP BY year, maker, state_code),
+ t AS (SELECT unnest({THRESHOLDS}::DOUBLE[]) AS threshold), e AS (SELECT year, threshold, src, dst FROM t JOIN shares ON weight >= threshold),
+ b AS (SELECT * FROM e UNION ALL SELECT year, threshold, dst, src FROM e),
+ reach AS (SELECT DISTINCT year, threshold, src AS node, src AS other FROM b UNION SELECT r.year, r.threshold, r.node, b.dst FROM reach r JOIN b ON b.year = r.year AND b.threshold = r.threshold AND b.src = r.other),
+ c AS (SELECT year, threshold, node, MIN(other) AS label FROM reach GROUP BY ALL), z AS (SELECT year, threshold, label, COUNT(*) AS n FROM c GROUP BY ALL),
+ g AS (SELECT year, threshold, MAX(n) AS giant FROM z GROUP BY ALL), a AS (SELECT year, COUNT(DISTINCT src) + COUNT(DISTINCT dst) AS n FROM shares GROUP BY year),
+ curve AS (SELECT a.year, t.threshold, COALESCE(giant, 0) / n::DOUBLE AS f FROM a CROSS JOIN t LEFT JOIN g ON g.year = a.year AND g.threshold = t.threshold),
+ d AS (SELECT *, f - LAG(f) OVER (PARTITION BY year ORDER BY threshold) AS d FROM curve)
+ SELECT year, threshold AS critical_threshold FROM d WHERE d IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY year ORDER BY d, threshold) = 1"""
+
+
+@query("grf_24_critical_threshold_by_year", _YEARLY, "edges", "critical_threshold")
 def critical_by_year(m: Market) -> DataFrame:
     """Percolation point of every year in one keyed job."""
     yearly = shares(m, 0.0, ("year",)).where(F.col("year") <= YEAR)
@@ -400,7 +420,20 @@ def morans_i(m: Market) -> DataFrame:
     return graph.morans_i(ev_values(m), neighbours(m))
 
 
-@query("grf_26_threshold_cascade")
+def cascade_sql(runs: str) -> str:
+    """Synchronous cascades of ``runs`` (run, tau, node) as a WITH body ending in table ``cascade`` (run, tau, node, step)."""
+    return f"""{_NEIGHBOURS}, nodes AS (SELECT DISTINCT src AS node FROM neighbours), runs AS ({runs}),
+ s AS (SELECT r.run, r.tau, 0 AS k, n.node, CASE WHEN EXISTS (SELECT 1 FROM runs q WHERE q.run = r.run AND q.tau = r.tau AND q.node = n.node) THEN 0 END AS step
+   FROM (SELECT DISTINCT run, tau FROM runs) r CROSS JOIN nodes n
+  UNION ALL SELECT a.run, a.tau, a.k + 1, a.node, CASE WHEN a.step IS NOT NULL THEN a.step WHEN AVG(CASE WHEN b.step IS NULL THEN 0.0::DOUBLE ELSE 1.0 END) >= a.tau THEN a.k + 1 END
+   FROM s a JOIN neighbours n ON n.src = a.node JOIN s b ON b.run = a.run AND b.tau = a.tau AND b.node = n.dst AND b.k = a.k WHERE a.k < 30 GROUP BY a.run, a.tau, a.k, a.node, a.step),
+ cascade AS (SELECT run, tau, node, CAST(step AS INTEGER) AS step FROM s WHERE k = 30 AND step IS NOT NULL)"""
+
+
+_THREE_SEEDS = "SELECT 1 AS run, 0.3::DOUBLE AS tau, node FROM nodes WHERE node IN ('S00', 'S01', 'S02')"
+
+
+@query("grf_26_threshold_cascade", f"WITH RECURSIVE {cascade_sql(_THREE_SEEDS)} SELECT node, tau, step FROM cascade", "adjacency", "tau")
 def threshold_cascade(m: Market) -> DataFrame:
     seeds = neighbours(m).select(F.col("src").alias("node")).distinct().where(
         F.col("node").isin("S00", "S01", "S02")
@@ -408,13 +441,31 @@ def threshold_cascade(m: Market) -> DataFrame:
     return graph.threshold_cascade(neighbours(m), seeds.withColumn("tau", F.lit(0.3)))
 
 
-@query("grf_27_fit_tau")
+_EARLIEST = """SELECT 1 AS run, t.tau, f.node FROM (SELECT ROUND(i * 0.05, 2)::DOUBLE AS tau FROM range(1, 17) r(i)) t
+ CROSS JOIN (SELECT node FROM years ORDER BY year, node LIMIT 3) f"""
+_FIT_TAU = f"""WITH RECURSIVE {_YEARS}, {cascade_sql(_EARLIEST)},
+ m AS (SELECT t.tau, y.node, y.year::DOUBLE AS y, c.step FROM (SELECT * FROM years WHERE node IN (SELECT node FROM nodes)) y CROSS JOIN (SELECT DISTINCT tau FROM runs) t LEFT JOIN cascade c ON c.tau = t.tau AND c.node = y.node),
+ f AS (SELECT *, COALESCE(step, COALESCE(MAX(step) OVER (PARTITION BY tau) + 1, 1))::DOUBLE AS s FROM m),
+ k AS (SELECT *, RANK() OVER (PARTITION BY tau ORDER BY y) + (COUNT(*) OVER (PARTITION BY tau, y) - 1) / 2.0 AS ry, RANK() OVER (PARTITION BY tau ORDER BY s) + (COUNT(*) OVER (PARTITION BY tau, s) - 1) / 2.0 AS rs FROM f)
+ SELECT tau, CASE WHEN VAR_POP(ry) > 0 AND VAR_POP(rs) > 0 THEN CORR(ry, rs) END AS spearman_rho, COUNT(step) AS cascade_size, COUNT(*) AS n_states,
+  (SELECT string_agg(node, ',' ORDER BY node) FROM (SELECT DISTINCT node FROM runs)) AS seeds FROM k GROUP BY tau"""
+
+
+@query("grf_27_fit_tau", _FIT_TAU, "adjacency panel_year", "tau spearman_rho")
 def fit_tau(m: Market) -> DataFrame:
     taus = [round(0.05 * i, 2) for i in range(1, 17)]
     return graph.fit_tau(neighbours(m), adoption(m), taus)
 
 
-@query("grf_28_seed_influence")
+_ALONE = "SELECT node AS run, 0.25::DOUBLE AS tau, node FROM nodes"
+
+
+@query(
+    "grf_28_seed_influence",
+    f"WITH RECURSIVE {cascade_sql(_ALONE)} SELECT run AS seed, COUNT(*) AS cascade_size, AVG(step) AS mean_step FROM cascade GROUP BY run",
+    "adjacency",
+    "mean_step",
+)
 def seed_influence(m: Market) -> DataFrame:
     return graph.seed_influence(neighbours(m), 0.25)
 
