@@ -284,8 +284,9 @@ def _entries(prefixes: DataFrame) -> DataFrame:
 
 
 def _lengthened(prefixes: DataFrame) -> DataFrame:
-    """(token, node, n, l): the entries of the prefix for l matches."""
-    return prefixes.select(F.explode(F.slice("tokens", F.lit(1), F.col("base") + F.col("l") - 1)).alias("token"), "node", "n", "l")
+    """(token, node, n, l, rem): the entries of the prefix for l matches, with the tokens from each entry on."""
+    place = F.posexplode(F.slice("tokens", F.lit(1), F.col("base") + F.col("l") - 1)).alias("j", "token")
+    return prefixes.select("node", "n", "l", F.size("tokens").alias("m"), place).select("token", "node", "n", "l", (F.col("m") - F.col("j")).alias("rem"))
 
 
 def _linked(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -320,18 +321,23 @@ def _counted_pairs(entries: DataFrame, apart: Column | None = None) -> DataFrame
     """(a, b, met) of the pairs whose lengthened prefixes share as many entries as the smaller l of the two.
 
     Two similar sets share l tokens in their prefixes for l matches, for every l
-    up to their overlap, so none is missed.  Documents meet by token and band of
-    sizes; meetings are added up before and after the shuffle.
+    up to their overlap, so none is missed.  Of these the first l are enough: at
+    each of them fewer than l tokens were shared before and what is left of both
+    sets bounds the rest, so a meeting from which the overlap cannot be reached
+    is not counted.  Documents meet by token and band of sizes; meetings are
+    added up before and after the shuffle.
     """
     n, most = F.col("n"), F.floor(F.col("n") * BELOW / ABOVE).cast("int")
     small = entries.withColumn("band", F.explode(F.sequence(_band(n), _band(most))))
     large = entries.withColumn("band", _band(n))
     order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & (ABOVE * F.col("y.n") <= BELOW * F.col("x.n"))
+    least = F.least("x.l", "y.l")
+    on = on & ((ABOVE + BELOW) * (least - 1 + F.least("x.rem", "y.rem")) >= ABOVE * (F.col("x.n") + F.col("y.n")))
     if apart is not None:
         on = on & apart
     met = small.alias("x").join(large.alias("y"), on)
-    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.least("x.l", "y.l").alias("l"))
+    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), least.alias("l"))
     return pairs.groupBy("a", "b", "l").agg(F.count("*").alias("met")).where(F.col("met") >= F.col("l")).drop("l")
 
 
