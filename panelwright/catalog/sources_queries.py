@@ -139,17 +139,43 @@ def catalog(m: Market) -> DataFrame:
     )
 
 
-@query("src_09_catalog_validation")
-def catalog_validation(m: Market) -> DataFrame:
-    """Catalogue against the files of a folder that holds each dataset's first column."""
+def written_files(m: Market, frames: dict[str, DataFrame]) -> DataFrame:
+    """The files of a folder to which the frames were written whole."""
     folder = fresh(m, "catalog")
-    rows = None
-    for name, frame in reference_frames(m).items():
-        one = frame.select(F.lit(f"{name}.parquet").alias("file"), frame.columns[0])
-        one.write.partitionBy("file").mode("append").parquet(folder)
-        named = m.spark.read.parquet(folder).select(F.col("file").cast("string")).distinct()
-        rows = named
-    return reference.validate_reference_catalog(catalog(m), rows).select("dataset", "file", "status")
+    for name, frame in frames.items():
+        frame.write.parquet(f"{folder}/{name}.parquet")
+    found = m.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder)
+    return found.select(F.regexp_extract("path", r"([^/]+\.parquet)/[^/]+$", 1).alias("file")).distinct()
+
+
+_STATUS = " UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, '{name}.parquet' AS file, CASE WHEN COUNT(*) FILTER (quality LIKE '%approximate%') > 0 THEN 'constrained' ELSE 'usable' END AS status FROM {table}"
+    for name, table in (("population", "ref_population"), ("income", "ref_income"), ("gsdp", "ref_gsdp"), ("cng", "cng"), ("ev", "ev"))
+)
+
+
+@query(
+    "src_09_catalog_validation",
+    f"{_STATUS} UNION ALL SELECT 'tax', 'tax.parquet', 'usable'",
+    "ref_population ref_income ref_gsdp cng ev",
+)
+def catalog_validation(m: Market) -> DataFrame:
+    """Catalogue against the files of a folder that holds every dataset."""
+    files = written_files(m, reference_frames(m))
+    return reference.validate_reference_catalog(catalog(m), files).select("dataset", "file", "status")
+
+
+@query(
+    "src_09_catalog_problems",
+    """SELECT 'missing file' AS problem, 'income.parquet' AS item UNION ALL SELECT 'missing entry', 'income_revised.parquet'
+ UNION ALL SELECT 'invalid status', 'cng' UNION ALL SELECT 'duplicate dataset', 'gsdp' UNION ALL SELECT 'duplicate file', 'gsdp.parquet'""",
+)
+def catalog_problems(m: Market) -> DataFrame:
+    """What is named when a file was renamed, a status is unknown and an entry stands twice."""
+    frames = reference_frames(m)
+    files = written_files(m, {("income_revised" if name == "income" else name): frame for name, frame in frames.items()})
+    entries = catalog(m).withColumn("status", F.when(F.col("dataset") == "cng", "unheard of").otherwise(F.col("status")))
+    return reference.catalog_problems(entries.unionByName(entries.where(F.col("dataset") == "gsdp")), files)
 
 
 @query(
@@ -175,8 +201,11 @@ _DISPATCH_SUMMARY = """SELECT COUNT(*) AS rows, CAST(SUM(qty) AS BIGINT) AS tota
 def dispatch_cache(m: Market) -> DataFrame:
     path = fresh(m, "dispatch")
     reference.cached_table(m.spark, path, lambda: m.dispatch)
-    again = reference.cached_table(m.spark, path, lambda: m.dispatch.limit(0))
-    return bundle.dispatch_summary(again)
+
+    def refuse() -> DataFrame:
+        raise RuntimeError("the stored table was not read")
+
+    return bundle.dispatch_summary(reference.cached_table(m.spark, path, refuse))
 
 
 @query("src_12_dispatch_summary", _DISPATCH_SUMMARY, "wholesale", "unmapped_state_volume_pct")
@@ -198,17 +227,22 @@ def saved_runs(m: Market) -> DataFrame:
 
 @query(
     "src_13_result_sink",
-    "SELECT state_code, year, total_regs FROM panel_year WHERE year = 2000",
+    "SELECT state_code, year, total_regs FROM panel_year",
     "panel_year",
 )
 def result_sink(m: Market) -> DataFrame:
     folder = fresh(m, "runs")
-    rows = m.panel_year.where(F.col("year") == 2000).select("state_code", "year", "total_regs")
+    rows = m.panel_year.select("state_code", "year", "total_regs")
     reference.save_run(folder, "sink", "r1", {"panel": rows}, {"rows": rows.agg(F.count(F.lit(1)))})
     return m.spark.read.parquet(f"{folder}/sink/r1/panel.parquet")
 
 
-@query("src_14_latest_runs")
+@query(
+    "src_14_latest_runs",
+    "SELECT 'descriptive-baseline' AS experiment, '20001231T000000' AS run_id, total_regs::DOUBLE AS total_regs FROM panel_year WHERE state_code = 'ALL' AND year = 2000",
+    "panel_year",
+    "total_regs",
+)
 def latest_runs(m: Market) -> DataFrame:
     return reference.latest_runs(saved_runs(m)).select(
         "experiment", "run_id", F.col("metrics")["total_regs"].alias("total_regs")

@@ -386,16 +386,10 @@ def complexity_indices(
         .join(degree.withColumnRenamed("src", "node"), "node")
         .withColumn("kind", kind)
     )
-    side = Window.partitionBy("kind")
-    spread = F.stddev_pop("v").over(side)
-    return scored.select(
-        F.expr("substring(node, 3)").alias("node"),
-        "kind",
-        F.when(spread > 0, (F.col("v") - F.avg("v").over(side)) / spread)
-        .otherwise(0.0)
-        .alias("complexity"),
-        "degree",
-    )
+    # one row per side
+    side = scored.groupBy("kind").agg(F.avg("v").alias("_mean"), F.stddev_pop("v").alias("_spread"))
+    z = F.when(F.col("_spread") > 0, (F.col("v") - F.col("_mean")) / F.col("_spread")).otherwise(0.0)
+    return scored.join(side, "kind").select(F.expr("substring(node, 3)").alias("node"), "kind", z.alias("complexity"), "degree")
 
 
 def variable_availability(
