@@ -11,16 +11,34 @@ from pyspark.sql import functions as F
 
 from panelwright.catalog.oracle import with_inputs
 from panelwright.plans import panels
+from panelwright.session import files_state, stored_by_year
 from panelwright.sources import cleaning, covariates, tables
 
 
+#: Stored tables by application, state of their source files and name.
+_STORED: dict[tuple, DataFrame] = {}
+_SOURCES = ("lineitem", "orders", "customer", "nation", "part", "supplier", "region")
+
+
 class Market:
-    """The frames one query works on, derived lazily from one folder of tables."""
+    """The frames one query works on, derived lazily from one folder of tables.
+
+    Facts and panels are stored by year the first time a query of the
+    application asks for them, as an ingest would, and read from there while the
+    source files stay as they are.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def _stored(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        state = files_state(self.spark, [f"{self.sf_dir}/{t}.parquet" for t in _SOURCES])
+        key = (self.spark.sparkContext.applicationId, state, name)
+        if key not in _STORED:
+            _STORED[key] = stored_by_year(make())
+        return _STORED[key]
+
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, name)
 
@@ -29,11 +47,11 @@ class Market:
 
     @cached_property
     def facts(self) -> DataFrame:
-        return tables.facts(self.spark, self.sf_dir)
+        return self._stored("facts", lambda: tables.facts(self.spark, self.sf_dir))
 
     @cached_property
     def dispatch(self) -> DataFrame:
-        return tables.dispatch(self.spark, self.sf_dir)
+        return self._stored("dispatch", lambda: tables.dispatch(self.spark, self.sf_dir))
 
     @cached_property
     def dim_state(self) -> DataFrame:
@@ -41,11 +59,11 @@ class Market:
 
     @cached_property
     def panel_month(self) -> DataFrame:
-        return panels.state_month(self.facts)
+        return self._stored("panel_month", lambda: panels.state_month(self.facts))
 
     @cached_property
     def panel_year(self) -> DataFrame:
-        return panels.with_changes(panels.state_year_base(self.facts))
+        return self._stored("panel_year", lambda: panels.with_changes(panels.state_year_base(self.facts)))
 
     @cached_property
     def maker_share(self) -> DataFrame:

@@ -76,6 +76,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_by_year(df: DataFrame) -> DataFrame:
+    """Writes the frame to the shared folder, by ``year`` for readers to prune, and reads it back.
+
+    The table goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{_scratch(spark)}/panel-{uuid.uuid4().hex}"
+    df.write.partitionBy("year").parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def files_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Length and time of change of files or folders, to tell whether what was derived from them still holds."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    found = [path(p) for p in paths]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in found]
+    return tuple((str(p), s.getLen(), s.getModificationTime()) for p, s in zip(paths, states, strict=True))
+
+
 def drop_table(table: DataFrame) -> None:
     """Removes the files of a frame that ``cut_lineage`` returned and nothing reads any more."""
     spark = table.sparkSession
