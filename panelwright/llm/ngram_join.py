@@ -9,10 +9,13 @@ cost, from the frequencies of the tokens that would be in it.  The entries that
 two lengthened prefixes share are counted, and only pairs that share as many as
 the smaller l asks for are verified.
 
-Groups of near copies are not expanded into pairs: every token of the shortest
-prefixes first links its documents to one of them (what precedes the token
-bounds the overlap there, so entries carry the sizes of the sets they may still
-meet), and only pairs that are still in different components are counted.
+``similar_pairs`` lets documents meet at the entries of the lengthened prefixes.
+Groups of near copies are not expanded into pairs: there every token of the
+shortest prefixes first links its documents to one of them (what precedes the
+token bounds the overlap, so entries carry the sizes of the sets they may still
+meet), then pairs that are still in different components meet at these tokens,
+and the lengthened prefixes of a pair are counted against each other before its
+sets are.
 """
 
 from __future__ import annotations
@@ -297,6 +300,14 @@ def _linked(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return out.where((ABOVE + BELOW) * F.col("shared") >= ABOVE * (F.col("na") + F.col("nb")))
 
 
+def _matched(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(a, b) of the pairs whose lengthened prefixes share as many entries as the smaller l of the two."""
+    own = F.slice("tokens", F.lit(1), F.col("base") + F.col("l") - 1)
+    side = lambda k: prefixes.select(F.col("node").alias(k), own.alias(f"p{k}"), F.col("l").alias(f"l{k}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    return both.where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b")
+
+
 def _may_meet(x: str, y: str) -> Column:
     return (F.col(f"{x}.n") <= F.col(f"{y}.most")) & (F.col(f"{y}.n") <= F.col(f"{x}.most"))
 
@@ -317,6 +328,16 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(BELOW / ABOVE)) + 1e-9).cast("int")
 
 
+def _all_pairs(entries: DataFrame, apart: Column) -> DataFrame:
+    """(a, b) of the documents that may meet at an entry of their shortest prefixes, by token and band of sizes."""
+    small = entries.where("most >= n").withColumn("band", F.explode(F.sequence(_band(F.col("n")), _band(F.col("most")))))
+    large = entries.withColumn("band", _band(F.col("n")))
+    order = (F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.node") < F.col("y.node")))
+    on = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & order & _may_meet("x", "y") & apart
+    met = small.alias("x").join(large.alias("y"), on)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _counted_pairs(entries: DataFrame, apart: Column | None = None) -> DataFrame:
     """(a, b, met) of the pairs whose lengthened prefixes share as many entries as the smaller l of the two.
 
@@ -388,19 +409,18 @@ def _named_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     sets, classes, prefixes = _prepared(docs, id_col, text_col, size)
     entries = cut_lineage(_entries(prefixes))
     tried = cut_lineage(_star_pairs(entries))
-    links = cut_lineage(_linked(tried, prefixes).select("a", "b"))
+    links = cut_lineage(_linked(_matched(tried, prefixes), prefixes).select("a", "b"))
     root = cut_lineage(components(links))
     # what the first links leave open: tokens whose documents are still in several components
-    labelled = cut_lineage(_lengthened(prefixes).join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    labelled = cut_lineage(entries.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
     open_ = cut_lineage(labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token"))
     rest = cut_lineage(labelled.join(open_, "token"))
     drop_table(labelled)
-    # two documents of different components share open tokens only, so the count over these is whole
-    counted = cut_lineage(_counted_pairs(rest, F.col("x.root") != F.col("y.root")))
-    untried = counted.join(tried, ["a", "b"], "left_anti")
+    met = cut_lineage(_all_pairs(rest, F.col("x.root") != F.col("y.root")))
+    untried = _matched(met.join(tried, ["a", "b"], "left_anti"), prefixes)
     more = _linked(untried, prefixes).select("a", "b")
     all_links = cut_lineage(links.union(more))
-    for done in (entries, tried, links, root, open_, rest, counted, prefixes):
+    for done in (entries, tried, links, root, open_, rest, met, prefixes):
         drop_table(done)
     final = cut_lineage(components(all_links))
     drop_table(all_links)
