@@ -63,9 +63,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     book = rules.ledger(docs).drop("text", "n_lines")
-    return rules.apply_policy(book, rules.POLICIES["v2"], "kept").withColumn(
-        "base_failed", rules.fails(rules.POLICIES["base"])
-    )
+    judged = rules.apply_policy(book, rules.POLICIES["v2"], "kept").withColumn("base_failed", rules.fails(rules.POLICIES["base"]))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in first])
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
