@@ -7,8 +7,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -534,12 +532,62 @@ def threshold_stability(
     return by_entity.withColumn("verdict", verdict)
 
 
+def _independent(gram: np.ndarray) -> list[int]:
+    """Columns, the first always, that the ones kept before them do not already give."""
+    kept = [0]
+    for j in range(1, len(gram)):
+        inner, cross = gram[np.ix_(kept, kept)], gram[kept, j]
+        if gram[j, j] - cross @ np.linalg.solve(inner, cross) > 1e-8 * gram[j, j]:
+            kept.append(j)
+    return kept
+
+
+def _logit_sums(design: DataFrame, columns: Sequence[str], beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log likelihood, score and information of ``label`` at ``beta``, in one aggregation."""
+    k = len(columns)
+    eta = sum((F.lit(float(b)) * F.col(c) for b, c in zip(beta, columns, strict=True)), F.lit(0.0))
+    mu = 1 / (1 + F.exp(-F.col("_eta")))
+    rows = design.withColumn("_eta", eta).withColumn("_left", F.col("label") - mu).withColumn("_w", mu * (1 - mu))
+    fit = F.col("label") * F.col("_eta") - F.greatest("_eta", F.lit(0.0)) - F.log1p(F.exp(-F.abs("_eta")))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    values = rows.agg(
+        F.sum(fit), *[F.sum(F.col("_left") * F.col(c)) for c in columns],
+        *[F.sum(F.col("_w") * F.col(a) * F.col(b)) for a, b in pairs],
+    ).first()
+    return float(values[0]), np.array(values[1 : k + 1], dtype=float), unpack(values[k + 1 :], k)
+
+
+def _logit(design: DataFrame, columns: Sequence[str], gram: np.ndarray, beta: np.ndarray, max_rounds: int = 100):
+    """Log likelihood, coefficients and their variances by Newton's steps.
+
+    Both are None where the rows are separated: the steps then go on for ever
+    and the information vanishes beside the ``gram`` of the columns.
+    """
+    scale = np.sqrt(np.outer(gram.diagonal(), gram.diagonal()))
+    llf, score, information = _logit_sums(design, columns, beta)
+    for _ in range(max_rounds):
+        if np.linalg.eigvalsh(information / scale)[0] < 1e-13:
+            break
+        step = np.linalg.solve(information, score)
+        if np.abs(step).max() < 1e-9:
+            return llf, beta, np.linalg.inv(information).diagonal()
+        sums = _logit_sums(design, columns, beta + step)
+        while sums[0] < llf - 1e-9 * abs(llf):
+            step = step / 2
+            sums = _logit_sums(design, columns, beta + step)
+        beta, (llf, score, information) = beta + step, sums
+    return llf, None, None
+
+
 def discrete_hazard_model(
     risk_set: DataFrame, covariates: Sequence[str], add_time_trend: bool = True
 ) -> DataFrame:
     """Logit hazard on z-scored covariates and centred year, one row per term.
 
-    The model fit is distributed; fit statistics repeat on every row.
+    The fit is distributed, each step one aggregation; fit statistics repeat on
+    every row.  A term that the ones before it already give has no estimate.
+    No term has one where no finite estimate exists, because no row switched,
+    all did, or the terms tell them apart: ``llf`` is its limit then.
     """
     # The fit passes over the rows once per iteration.
     known = cut_lineage(risk_set.dropna(subset=list(covariates)))
@@ -547,28 +595,37 @@ def discrete_hazard_model(
         *[F.avg(c).alias(f"m_{c}") for c in covariates],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in covariates],
         F.avg("year").alias("m_year"),
-        F.sum("switched").alias("events"),
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum("switched"), F.lit(0)).alias("events"),
     ).first()
-    terms = [
-        ((F.col(c) - F.lit(spread[f"m_{c}"])) / F.lit(spread[f"s_{c}"] or 1.0)).alias(c) for c in covariates
-    ]
-    names = list(covariates)
-    if add_time_trend:
-        terms.append((F.col("year") - F.lit(spread["m_year"])).alias("year_c"))
-        names.append("year_c")
-    design = VectorAssembler(inputCols=names, outputCol="features").transform(
-        known.select(F.col("switched").cast("double").alias("label"), *terms)
-    )
-    model = GeneralizedLinearRegression(
-        family="binomial", link="logit", maxIter=200, tol=1e-10
-    ).fit(design)
-    summary = model.summary
-    llf = -summary.deviance / 2
-    rows = [
-        (name, float(b), float(np.exp(b)), float(p), int(summary.numInstances), int(spread["events"]),
-         float(llf), float(1 - summary.deviance / summary.nullDeviance))
-        for name, b, p in zip(names, model.coefficients, summary.pValues, strict=False)
-    ]
+    n, events = int(spread["rows"]), int(spread["events"])
+    names = [*covariates, "year_c"] if add_time_trend else list(covariates)
+    estimates: dict[str, tuple[float, float, float]] = {}
+    llf = 0.0 if n else None
+    pseudo = None
+    if 0 < events < n:
+        terms = []
+        for c in covariates:
+            mean, sd = spread[f"m_{c}"], spread[f"s_{c}"]
+            # The spread of equal values is rounding noise.
+            scaled = (F.col(c) - F.lit(mean)) / F.lit(sd) if sd > 1e-12 * abs(mean) else F.lit(0.0)
+            terms.append(scaled.alias(c))
+        if add_time_trend:
+            terms.append((F.col("year") - F.lit(spread["m_year"])).alias("year_c"))
+        design = known.select(F.col("switched").cast("double").alias("label"), F.lit(1.0).alias("_one"), *terms)
+        columns = ["_one", *names]
+        gram = unpack(cross_products(design, [], columns).first()["xp"], len(columns))
+        kept = _independent(gram)
+        columns, gram = [columns[i] for i in kept], gram[np.ix_(kept, kept)]
+        start = np.zeros(len(kept))
+        start[0] = np.log(events / (n - events))
+        llf, beta, variance = _logit(design, columns, gram, start)
+        alone = events * np.log(events / n) + (n - events) * np.log(1 - events / n)
+        pseudo = float(1 - llf / alone)
+        if beta is not None:
+            for name, b, v in list(zip(columns, beta, variance, strict=True))[1:]:
+                estimates[name] = (float(b), float(np.exp(b)), norm_sf2(b / v**0.5))
+    rows = [(name, *estimates.get(name, (None, None, None)), n, events, llf, pseudo) for name in names]
     return risk_set.sparkSession.createDataFrame(
         rows,
         "term string, coef double, odds_ratio_per_sd double, p_value double, n_obs bigint, "

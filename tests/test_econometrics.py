@@ -125,6 +125,37 @@ def test_hazard_rises_with_income(frame):
     assert last.survival < 0.2
 
 
+def test_hazard_without_a_finite_estimate(frame):
+    schema = "year int, switched int, x double, twice double, flat double"
+
+    def terms(rows):
+        risk = frame([(y, s, x, 2 * x, 0.1) for y, s, x in rows], schema)
+        return {r.term: r for r in econometrics.discrete_hazard_model(risk, ["x", "twice", "flat"]).collect()}
+
+    cells = [(2000 + i % 5, float(i * 7 % 11)) for i in range(60)]
+    for label in (0, 1):
+        out = terms([(y, label, x) for y, x in cells])
+        assert set(out) == {"x", "twice", "flat", "year_c"}
+        for r in out.values():
+            assert (r.coef, r.odds_ratio_per_sd, r.p_value, r.pseudo_r2) == (None,) * 4
+            assert (r.n_obs, r.n_events, r.llf) == (60, 60 * label, 0.0)
+    apart = terms([(y, int(x > 5), x) for y, x in cells])["x"]
+    assert apart.coef is None and apart.llf == pytest.approx(0, abs=1e-6) and apart.pseudo_r2 == pytest.approx(1)
+    assert terms([])["x"].n_obs == 0
+    mixed = terms([(y, int(i % 3 == 0), x) for i, (y, x) in enumerate(cells)])
+    assert mixed["twice"].coef is None and mixed["flat"].coef is None and 0 < mixed["x"].p_value < 1
+    z = np.array([x for _, x in cells])
+    z = np.column_stack([np.ones(60), (z - z.mean()) / z.std(), [y - 2002 for y, _ in cells]])
+    left = np.array([float(i % 3 == 0) for i in range(60)])
+    slopes = np.array([mixed["x"].coef, mixed["year_c"].coef])
+    low, high = -20.0, 20.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        miss = left - 1 / (1 + np.exp(-z @ [middle, *slopes]))
+        low, high = (middle, high) if miss.sum() > 0 else (low, middle)
+    assert np.abs(z.T @ miss).max() < 1e-5
+
+
 def dummies(rows, x):
     """Dummy-variable fit with errors clustered by entity."""
     entities, times = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
