@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelwright.functions.columns import fiscal_year_of
+from panelwright.session import cut_lineage
 from panelwright.sources.cleaning import MAKER_MAP, clean
 
 # Order priority read as fuel.
@@ -19,6 +20,7 @@ PRIORITY_FUEL = {
 FULL_COVERAGE_FROM = "1998-01-01"
 SUV_SEGMENTS = ("Large", "Promo")
 HATCH_SEGMENTS = ("Small", "Economy")
+LINES_PER_TASK = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +55,17 @@ def dim_state(spark: SparkSession, sf_dir: str, with_all: bool = False) -> DataF
     return states.unionByName(everything)
 
 
-def sold_lines(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
-    """Order lines with buyer nation, part and priority, dated by month number.
+def _tasks(lines: DataFrame) -> int:
+    """Tasks for work over all order lines, so that one task's share does not grow with them."""
+    return max(lines.count() // LINES_PER_TASK + 1, lines.sparkSession.sparkContext.defaultParallelism)
 
-    ``day`` is ``ship`` or ``ordered``.  Only keys are carried: names join after
-    the aggregation.  Each join takes the strategy its sizes allow.
+
+def sold_lines(spark: SparkSession, sf_dir: str, day: str, tasks: int | None = None) -> DataFrame:
+    """Order lines with buyer and nation, part key and priority, dated by month number.
+
+    ``day`` is ``ship`` or ``ordered``.  Orders find their buyer before their
+    lines, in ``tasks`` pieces where that is given.  Only keys are carried:
+    names join after the aggregation.
     """
     line_columns = ["l_orderkey", "l_partkey", "l_quantity"]
     order_columns = ["o_orderkey", "o_custkey", "o_orderpriority"]
@@ -66,11 +74,11 @@ def sold_lines(spark: SparkSession, sf_dir: str, day: str) -> DataFrame:
     line = table(spark, sf_dir, "lineitem").select(*line_columns)
     orders = table(spark, sf_dir, "orders").select(*order_columns)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_type")
+    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    if tasks is not None:
+        line, bought = line.repartition(tasks, "l_orderkey"), bought.repartition(tasks, "o_orderkey")
     return (
-        line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        line.join(bought, F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("month_number", F.year(stamp) * 12 + F.month(stamp) - 1)
     )
 
@@ -87,8 +95,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines collapse to nation, month, brand and priority first; the national rows
     and all labels are made from that small result.
     """
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     cells = (
         sold_lines(spark, sf_dir, "ship")
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("c_nationkey", "month_number", "p_brand", "o_orderpriority")
         .agg(F.sum("l_quantity").alias("units"))
     )
@@ -120,16 +130,31 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dispatch_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dispatch lines in the raw column layout, with untidy labels and text quantities."""
+    """The dispatch lines in the raw column layout, with untidy labels and text quantities.
+
+    There are nearly as many cells as lines, so they are summed under numbers
+    only: one per kind of part (brand, name and type), stored so that it stays.
+    The cells are dealt to as many tasks as the lines ask for.
+    """
     labels = F.array(*[F.lit(k) for k in MAKER_MAP])
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
     city = F.concat(F.lit(" city "), F.col("n_nationkey"), F.lit("-"), F.col("bucket").cast("string"))
+    named_by = ["p_brand", "p_name", "p_type"]
+    part = table(spark, sf_dir, "part").select("p_partkey", *named_by)
+    kinds = cut_lineage(part.select(*named_by).distinct().withColumn("kind", F.monotonically_increasing_id()))
+    other = kinds.withColumnsRenamed({c: f"_{c}" for c in named_by})
+    same = [part[c].eqNullSafe(other[f"_{c}"]) for c in named_by]
+    part_kind = cut_lineage(part.join(other, same).select("p_partkey", "kind"))
+    tasks = _tasks(table(spark, sf_dir, "lineitem"))
+    keys = ["c_nationkey", "bucket", "month_number", "kind"]
     cells = (
-        sold_lines(spark, sf_dir, "ordered")
-        .groupBy(
-            "c_nationkey", (F.col("o_custkey") % 4).alias("bucket"), "month_number", "p_brand", "p_name", "p_type"
-        )
+        sold_lines(spark, sf_dir, "ordered", tasks)
+        .join(part_kind, F.col("l_partkey") == F.col("p_partkey"))
+        .select("c_nationkey", (F.col("o_custkey") % 4).alias("bucket"), "month_number", "kind", "l_quantity")
+        .repartition(tasks, *keys)
+        .groupBy(*keys)
         .agg(F.sum("l_quantity").cast("bigint").alias("units"))
+        .join(kinds, "kind")
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import regimes, segments
-from panelwright.sources import bundle, cleaning, reference
+from panelwright.sources import bundle, cleaning, reference, tables
 
 STATES = [("ALL", "All", "", "ALL", False), ("S1", "One", "One", "N", False), ("S2", "Two", "Two", "S", True)]
 STATE_SCHEMA = "state_code string, state_name string, geojson_name string, zone string, is_ut boolean"
@@ -108,3 +108,25 @@ def test_hmm_recovers_planted_regimes(frame):
     stay = {(r.regime, r.next_regime): r.probability for r in fit["transition_matrix"].collect()}
     assert stay[(0, 0)] > 0.8 and stay[(1, 1)] > 0.8
     assert fit["regime_means"].where(F.col("regime_label").isNull()).count() == 0
+
+
+def test_dispatch_cells_are_dealt_by_the_number_of_lines(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    save("nation", [(1, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    save("region", [(0, "R")], "r_regionkey int, r_name string")
+    save("customer", [(5, 1)], "c_custkey long, c_nationkey int")
+    save("orders", [(i, 5, "5-LOW", "1997-01-02") for i in range(50)],
+         "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string")
+    parts = [(0, "Brand#1", "red", None), (1, "Brand#1", "red", None), (2, "Brand#1", "red", "SMALL"), (3, "Brand#1", None, "SMALL")]
+    save("part", parts, "p_partkey long, p_brand string, p_name string, p_type string")
+    save("lineitem", [(i, i % 4, 1.0, "1997-02-01") for i in range(50)],
+         "l_orderkey long, l_partkey long, l_quantity double, l_shipdate string")
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 1)
+    raw = tables.dispatch_raw(spark, folder)
+    assert raw.rdd.getNumPartitions() == 51
+    cells = sorted((r.mdl or "", r["Seg-5"] or "", int(r.SumOfQty)) for r in raw.collect())
+    assert cells == [("", "SMALL", 12), ("red ", "", 26), ("red ", "SMALL", 12)]
