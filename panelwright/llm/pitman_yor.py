@@ -1,21 +1,23 @@
 """A hierarchical Pitman-Yor language model over words, learned from the whole corpus.
 
-A word is drawn in the restaurant of its context; all context restaurants share
-one parent, the restaurant of the corpus, whose own base is uniform over the
-known words and one unknown.  The context of a word is the ending (last two
-bytes) of the word before it, one of 255 classes, or the text's beginning: a
-pair of words is too rare to seat customers, its ending carries inflection.
+A word is drawn in the restaurant of the word before it.  The parent of that
+restaurant is the one of the class of the word before: its ending (last two
+bytes), one of 255 classes, or the text's beginning.  All classes share one
+parent, the restaurant of the corpus, whose own base is uniform over the known
+words and one unknown.  A table in one restaurant is a customer in its parent.
 
 Given the number of customers and tables in each restaurant, words are
 independent of each other.  So the corpus is counted once by word, in ranges of
 the hash space, and each range seats its own words by Gibbs sampling: sweep by
 sweep the customers of a word in one context leave and sit down again, given the
 tables of its other contexts.  Predictive probabilities are averaged over the
-sweeps after the first.
+sweeps after the first.  A word before has successors in many ranges; its
+customers and tables are summed over all of them, range by range of the words
+before, and go back to the ranges that seat its successors.
 
-Scoring sends words back by range too.  Pairs of word and context that make up a
-2^-20th of all tokens or more (at most 2^20 pairs, whatever the input) are known
-to every task instead, so no range gets the same word from every document.
+Scoring sends words back by range too.  Pairs of word and word before that make
+up a 2^-20th of all tokens or more (at most 2^20 pairs, whatever the input) are
+known to every task instead.
 """
 
 from __future__ import annotations
@@ -31,16 +33,18 @@ from pyspark.sql import functions as F
 from panelwright.llm import labelled
 from panelwright.llm import text as tx
 from panelwright.llm.ngram_join import _even_keys
-from panelwright.session import cut_lineage
+from panelwright.session import cut_lineage, drop_table
 
 CLASSES = 256
 #: Share of all tokens from which a pair of word and context is sent to every task.
 SENT_SHARE = 2.0**-20
 CONCENTRATION = 1.0
 WARM_UP, SAMPLES = 3, 4
+#: Seatings after which the sizes of all restaurants are summed again before the counted one.
+SEATINGS = 1
 _END = np.uint64(0x5E4D)
 #: Bytes of text per range, about: ranges follow from the corpus alone, so no setting moves a score.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 12 << 20
 
 
 def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,9 +75,22 @@ def _pairs(word: np.ndarray, context: np.ndarray, parts: int) -> tuple[np.ndarra
     return part, pair
 
 
+def words_before(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The word before each token, 32 bits of it; 0 at a text's beginning."""
+    before = np.zeros(len(word), np.uint32)
+    before[1:] = (tx.mix(word[:-1]) >> np.uint64(32)).astype(np.uint32)
+    before[at[:-1]] = 0
+    return before
+
+
+def _joint(pair: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A pair and the word before as one number of 48 bits."""
+    return tx.mix(pair ^ tx.mix(before.astype(np.uint64))) >> np.uint64(16)
+
+
 @dataclass
 class Totals:
-    """What all ranges share: per context customers and tables, the parent's, and the corpus's sizes."""
+    """What all ranges share: per class customers and tables, the parent's, and the corpus's sizes."""
 
     customers: np.ndarray
     tables: np.ndarray
@@ -83,6 +100,7 @@ class Totals:
     words: int
     discount: float
     parent_discount: float
+    own_discount: float = 0.75
 
 
 def opened(rng: np.random.Generator, customers: np.ndarray, weight: np.ndarray, discount: float) -> np.ndarray:
@@ -111,7 +129,7 @@ def _least(first: float, second: float) -> float:
 
 
 class Seating:
-    """The restaurants of the words of one range."""
+    """The classes' restaurants, and the corpus's, of the words of one range."""
 
     def __init__(self, pair: np.ndarray, customers: np.ndarray, seed: int) -> None:
         self.pair, self.customers = pair, customers
@@ -143,6 +161,14 @@ class Seating:
         base = (CONCENTRATION + t.parent_discount * t.parent_tables) / (t.words + 1)
         return (np.maximum(upper - t.parent_discount * kept, 0) + base) / (CONCENTRATION + t.parent_customers)
 
+    def share(self, t: Totals, without: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Probability of the words of the pairs ``at`` in their classes, less some customers of each."""
+        left = self.customers[at] - without
+        kept = np.minimum(self.tables[at], left)
+        mass = CONCENTRATION + t.discount * t.tables[self.context[at]]
+        own = np.maximum(left - t.discount * kept, 0)
+        return (own + mass * self.upper_share(t, None, self.word[at])) / (CONCENTRATION + t.customers[self.context[at]])
+
     def sweep(self, t: Totals) -> None:
         for turn in self._turns:
             word = self.word[turn]
@@ -160,68 +186,138 @@ class Seating:
         own = np.maximum(self.customers - t.discount * self.tables, 0)
         return (own + mass * self.upper_share(t)[self.word]) / (CONCENTRATION + t.customers[self.context])
 
-    def predictive(self, t: Totals) -> np.ndarray:
+
+class Followers:
+    """The restaurants of the words before, above them those of the classes, for the words of one range.
+
+    Entries (pair, word before) are in ascending order.
+    """
+
+    def __init__(self, pair: np.ndarray, before: np.ndarray, customers: np.ndarray, seed: int) -> None:
+        self.pair, self.before, self.customers = pair, before, customers
+        new = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+        first = np.flatnonzero(new)
+        self.group = np.cumsum(new) - 1
+        self.tables = np.minimum(customers, 1).astype(float)
+        self.classes = Seating(pair[first], np.bincount(self.group, self.tables, len(first)).astype(np.int64), seed)
+        self.word = self.classes.word[self.group]
+        self.count = np.bincount(self.word, customers, len(self.classes.first)).astype(np.int64)
+        own = (before.astype(np.uint64) << np.uint64(8)) | (pair & np.uint64(CLASSES - 1))
+        self.contexts, self.context = np.unique(own, return_inverse=True)
+        self._rng = np.random.Generator(np.random.PCG64([seed, 1]))
+        # as in the classes' seating; a single customer keeps a single table
+        rank = np.arange(len(pair)) - first[self.group]
+        self._turns = [np.flatnonzero((rank % 4 == k) & (customers > 1)) for k in range(4)]
+
+    def sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables of each of ``contexts`` in this range."""
+        n = len(self.contexts)
+        return np.bincount(self.context, self.customers, n), np.bincount(self.context, self.tables, n)
+
+    def sweep(self, t: Totals, context_tables: np.ndarray) -> None:
+        for turn in self._turns:
+            group = self.group[turn]
+            mass = CONCENTRATION + t.own_discount * context_tables[self.context[turn]]
+            weight = mass * self.classes.share(t, self.tables[turn], group)
+            new = opened(self._rng, self.customers[turn], weight, t.own_discount)
+            self.classes.customers += np.bincount(group, new - self.tables[turn], len(self.classes.pair)).astype(np.int64)
+            self.tables[turn] = new
+        self.classes.sweep(t)
+
+    def probabilities(self, t: Totals, context_customers: np.ndarray, context_tables: np.ndarray) -> np.ndarray:
+        """Probability of every entry's word after its word before under the present seating."""
+        mass = CONCENTRATION + t.own_discount * context_tables[self.context]
+        own = np.maximum(self.customers - t.own_discount * self.tables, 0)
+        return (own + mass * self.classes.probabilities(t)[self.group]) / (CONCENTRATION + context_customers[self.context])
+
+    def predictive(self, t: Totals, context_customers: np.ndarray, context_tables: np.ndarray) -> np.ndarray:
         """Probabilities averaged over the seatings after the warm-up."""
         for _ in range(WARM_UP):
-            self.sweep(t)
+            self.sweep(t, context_tables)
         total = np.zeros(len(self.pair))
         for _ in range(SAMPLES):
-            self.sweep(t)
-            total += self.probabilities(t)
+            self.sweep(t, context_tables)
+            total += self.probabilities(t, context_customers, context_tables)
         return total / SAMPLES
 
 
 def _counted(docs: DataFrame, parts: int, keys: np.ndarray, tasks: int) -> DataFrame:
-    """(part, pairs, train, seen): for each range one row with its pairs, their training count and count."""
+    """(part, pairs, before, train, seen): for each range one row with its pairs, their words before, training count and count."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.released(batches):
             for block in tx.blocks(batch, "text"):
                 word, context, at = tokens_of(block.column("text"))
                 train = np.repeat(block.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))
+                before = words_before(word, at)
                 part, pair = _pairs(word, context, parts)
-                order = np.lexsort((pair, part))
-                part, pair, train = part[order], pair[order], train[order]
-                start = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])])
+                order = np.lexsort((before, pair, part))
+                part, pair, before, train = part[order], pair[order], before[order], train[order]
+                start = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (pair[1:] != pair[:-1]) | (part[1:] != part[:-1])])
                 seen = np.diff(np.r_[start, len(pair)])
                 of_train = np.add.reduceat(train.astype(np.int64), start)
                 cut = np.searchsorted(part[start], np.arange(parts + 1))
-                yield _by_part(keys, cut, _six(pair[start]), of_train.astype("<u4"), seen.astype("<u4"))
+                yield _by_part(keys, cut, pair[start], before[start].astype("<u4"), of_train.astype("<u4"), seen.astype("<u4"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _runs(tx.released(batches)):
-            pair = np.concatenate([_from_six(r["pairs"]) for r in rows])
-            counts = [np.concatenate([np.frombuffer(r[c], "<u4") for r in rows]).astype(np.int64) for c in ("train", "seen")]
-            order = np.argsort(pair, kind="stable")
-            pair = pair[order]
-            start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            sums = [np.add.reduceat(c[order], start) for c in counts]
-            yield _rows(part=[part], pairs=[pair[start].tobytes()], train=[sums[0].tobytes()], seen=[sums[1].tobytes()])
-
-    sent = tx.small_batches(docs).select("text", "train").mapInArrow(send, "key int, part int, pairs binary, train binary, seen binary")
+            pair = np.concatenate([_spread(r["pairs"], "<u8") for r in rows])
+            before, *counts = (np.concatenate([_spread(r[c], "<u4") for r in rows]) for c in ("before", "train", "seen"))
+            order = np.lexsort((before, pair))
+            pair, before = pair[order], before[order]
+            start = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (pair[1:] != pair[:-1])])
+            sums = [np.add.reduceat(c[order].astype(np.int64), start) for c in counts]
+            yield _rows(part=[part], pairs=[_squeezed(pair[start])], before=[_squeezed(before[start])], train=[_squeezed(sums[0])], seen=[_squeezed(sums[1])])
+
+    sent = tx.small_batches(docs).select("text", "train").mapInArrow(send, "key int, part int, pairs binary, before binary, train binary, seen binary")
     ranged = sent.repartition(tasks, "key").sortWithinPartitions("part")
-    return ranged.mapInArrow(merge, "part int, pairs binary, train binary, seen binary")
+    return ranged.mapInArrow(merge, "part int, pairs binary, before binary, train binary, seen binary")
+
+
+def _met(sent: DataFrame, keys: np.ndarray, tasks: int) -> DataFrame:
+    """(part, customers, tables): the contexts' sizes over all ranges, for each range in the order of its contexts.
+
+    ``sent`` (key, part, of, ids, customers, tables) holds what range ``of`` has of
+    the contexts in range ``part`` of the words before.
+    """
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _runs(tx.released(batches)):
+            ids = [_spread(r["ids"], "<u8") for r in rows]
+            _, place = np.unique(np.concatenate(ids), return_inverse=True)
+            cut = np.cumsum([len(i) for i in ids])[:-1]
+            of = [r["of"] for r in rows]
+            sums = [np.split(np.bincount(place, np.concatenate([_spread(r[c], "<i8") for r in rows])).astype(np.int64)[place], cut) for c in ("customers", "tables")]
+            yield _rows(key=[int(keys[o]) for o in of], part=of, at=[part] * len(of), customers=[_squeezed(v) for v in sums[0]], tables=[_squeezed(v) for v in sums[1]])
+
+    def line_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in _runs(tx.released(batches)):
+            yield _rows(part=[part], **{c: [_squeezed(np.concatenate([_spread(r[c], "<i8") for r in rows]))] for c in ("customers", "tables")})
+
+    back = sent.repartition(tasks, "key").sortWithinPartitions("part").mapInArrow(meet, "key int, part int, at int, customers binary, tables binary")
+    return back.repartition(tasks, "key").sortWithinPartitions("part", "at").mapInArrow(line_up, "part int, customers binary, tables binary")
 
 
-def _six(pair: np.ndarray) -> np.ndarray:
-    """48-bit numbers as six bytes each."""
-    return np.ascontiguousarray(pair.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+def _squeezed(values: np.ndarray) -> bytes:
+    """An array's bytes compressed plane by plane: sorted hashes and small counts have few bytes that differ."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
+def _spread(squeezed: bytes, kind: str) -> np.ndarray:
+    raw = pa.decompress(squeezed[8:], int.from_bytes(squeezed[:8], "little"), codec="zstd", asbytes=True)
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _rows(**columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("key", "part") else pa.binary()) for k, v in columns.items()], names=list(columns))
+    return pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k in ("key", "part", "of", "at") else pa.binary()) for k, v in columns.items()], names=list(columns))
 
 
-def _by_part(keys: np.ndarray, cut: np.ndarray, pairs: np.ndarray, train: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+def _by_part(keys: np.ndarray, cut: np.ndarray, pairs: np.ndarray, before: np.ndarray, train: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
     full = np.flatnonzero(np.diff(cut))
-    piece = lambda a: [a[cut[p] : cut[p + 1]].tobytes() for p in full]
-    return _rows(key=[int(keys[p]) for p in full], part=full.tolist(), pairs=piece(pairs), train=piece(train), seen=piece(seen))
+    piece = lambda a: [_squeezed(a[cut[p] : cut[p + 1]]) for p in full]
+    return _rows(key=[int(keys[p]) for p in full], part=full.tolist(), pairs=piece(pairs), before=piece(before), train=piece(train), seen=piece(seen))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -237,77 +333,110 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]
         yield held[-1]["part"], held
 
 
-def _seating(row: dict) -> Seating:
-    return Seating(np.frombuffer(row["pairs"], np.uint64), np.frombuffer(row["train"], np.int64), 1 + row["part"])
+def _followers(row: dict) -> Followers:
+    return Followers(_spread(row["pairs"], "<u8"), _spread(row["before"], "<u4"), _spread(row["train"], "<i8"), 1 + row["part"])
+
+
+def _sizes(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Customers and tables of the contexts of a range, over all ranges."""
+    return _spread(row["customers"], "<i8"), _spread(row["tables"], "<i8")
 
 
 class Model:
-    """Counts by range, written to the shared folder, and what the ranges share."""
+    """Counts by range with the sizes of their contexts, written to the shared folder, and what the ranges share."""
 
     def __init__(self, docs: DataFrame) -> None:
-        """Counts (text, train) and seats every range twice to learn the totals of the restaurants.
+        """Counts (text, train) and seats every range to learn the sizes of the restaurants.
 
-        The first seating guesses the others from each range itself, the second
-        one follows the totals that all ranges made in the first.
+        First every word has one table in each of its contexts; each seating
+        follows the sizes that all ranges made in the one before.
         """
         spark = docs.sparkSession
         size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         self.parts = max(1, -(-int(size) // RANGE_BYTES))
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.keys = np.resize(np.array(_even_keys(spark, self.tasks), np.int64), self.parts)
-        self.counts = cut_lineage(_counted(docs, self.parts, self.keys, self.tasks))
-        self.totals = self._totals(self._totals(None))
+        counts = cut_lineage(_counted(docs, self.parts, self.keys, self.tasks))
+        self.totals, self.counts = None, counts
+        for _ in range(1 + SEATINGS):
+            self.totals, sizes = self._totals(self.counts)
+            self.counts = counts.join(sizes, "part")
         self.known = self._known()
 
-    def _totals(self, before: Totals | None) -> Totals:
-        parts = self.parts
+    def _totals(self, counts: DataFrame) -> tuple[Totals, DataFrame]:
+        """Totals of all ranges after a seating under the present ones (none: one table each), and the sizes of the contexts."""
+        parts, keys, before = self.parts, self.keys, self.totals
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    s = _seating(row)
-                    local = s.totals(1 / parts) if before is None else before
-                    if s.customers.sum():
+                    s = _followers(row)
+                    if before is not None and s.customers.sum():
+                        _, tables = _sizes(row)
                         for _ in range(WARM_UP):
-                            s.sweep(local)
-                    final = s.totals(1.0)
-                    ones = [(s.customers == 1).sum(), (s.customers == 2).sum(), (s.upper == 1).sum(), (s.upper == 2).sum()]
-                    sizes = [s.upper.sum(), s.upper_tables.sum(), s.customers.sum(), (s.count > 0).sum(), np.frombuffer(row["seen"], np.int64).sum()]
+                            s.sweep(before, tables)
+                    c = s.classes
+                    final = c.totals(1.0)
+                    ones = [(v == k).sum() for v in (s.customers, c.customers, c.upper) for k in (1, 2)]
+                    sizes = [c.upper.sum(), c.upper_tables.sum(), s.customers.sum(), (s.count > 0).sum(), _spread(row["seen"], "<i8").sum()]
                     values = np.r_[final.customers, final.tables, ones, sizes].astype(float)
-                    yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(values)), pa.int32()), "value": pa.array(values, pa.float64())})
-
-        sums = self.counts.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).collect()
-        v = np.zeros(2 * CLASSES + 9)
+                    n = len(values)
+                    none = [pa.nulls(n, pa.binary())] * 3
+                    of_all = [pa.nulls(n, pa.int32()), pa.array(np.full(n, -1), pa.int32()), pa.array(np.arange(n), pa.int32()), *none, pa.array(values)]
+                    yield pa.RecordBatch.from_arrays(of_all, names=names)
+                    to = ((s.contexts * np.uint64(parts)) >> np.uint64(40)).astype(np.int64)
+                    cut = np.searchsorted(to, np.arange(parts + 1))
+                    full = np.flatnonzero(np.diff(cut)).tolist()
+                    arrays = s.contexts, *[v.astype("<i8") for v in s.sizes()]
+                    pieces = [pa.array([_squeezed(v[cut[p] : cut[p + 1]]) for p in full], pa.binary()) for v in arrays]
+                    ends = [pa.array([int(keys[p]) for p in full], pa.int32()), pa.array(full, pa.int32()), pa.array([row["part"]] * len(full), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*ends, *pieces, pa.nulls(len(full), pa.float64())], names=names)
+
+        names = ["key", "part", "of", "ids", "customers", "tables", "value"]
+        made = cut_lineage(counts.mapInArrow(run, "key int, part int, of int, ids binary, customers binary, tables binary, value double"))
+        sums = made.where("part = -1").groupBy("of").agg(F.sum("value").alias("value")).collect()
+        v = np.zeros(2 * CLASSES + 11)
         for row in sums:
-            v[row.at] = row.value
-        once, twice, upper_once, upper_twice, upper, upper_tables, tokens, words, seen = v[2 * CLASSES :]
+            v[row.of] = row.value
+        own_once, own_twice, once, twice, upper_once, upper_twice, upper, upper_tables, tokens, words, seen = v[2 * CLASSES :]
         self.seen = int(seen)
-        return Totals(v[:CLASSES], v[CLASSES : 2 * CLASSES], upper, upper_tables, int(tokens), int(words), _least(once, twice), _least(upper_once, upper_twice))
+        discounts = _least(once, twice), _least(upper_once, upper_twice), _least(own_once, own_twice)
+        totals = Totals(v[:CLASSES], v[CLASSES : 2 * CLASSES], upper, upper_tables, int(tokens), int(words), *discounts)
+        sizes = cut_lineage(_met(made.where("part >= 0").drop("value"), self.keys, self.tasks))
+        drop_table(made)
+        return totals, sizes
 
     def _known(self) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Frequent pairs by range: pairs, log10 probability, training count of the word."""
+        """Frequent entries by range: numbers in ascending order, log10 probability, training count of the word."""
         totals, least = self.totals, SENT_SHARE * self.seen
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    at = np.frombuffer(row["seen"], np.int64) >= least
+                    at = _spread(row["seen"], "<i8") >= least
                     if at.any():
-                        s = _seating(row)
-                        score = np.log10(s.predictive(totals))
-                        yield _rows(part=[row["part"]], pairs=[s.pair[at].tobytes()], train=[score[at].tobytes()], seen=[s.count[s.word[at]].tobytes()])
+                        number, value, count = _answers(row, totals, at)
+                        yield _rows(part=[row["part"]], pairs=[number.tobytes()], train=[value.tobytes()], seen=[count.tobytes()])
 
         rows = self.counts.mapInArrow(run, "part int, pairs binary, train binary, seen binary").collect()
         return {r.part: (np.frombuffer(r.pairs, np.uint64), np.frombuffer(r.train, float), np.frombuffer(r.seen, np.int64)) for r in rows}
 
 
+def _answers(row: dict, totals: Totals, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of a range's entries in ascending order, their log10 probability, training count of their word."""
+    s = _followers(row)
+    number, value, count = _joint(s.pair[at], s.before[at]), np.log10(s.predictive(totals, *_sizes(row))[at]), s.count[s.word[at]]
+    order = np.argsort(number)
+    return number[order], value[order], count[order]
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(row, n_tokens, n_known, base_score, score) of each different row number of (row, text), added up over rows that share one."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model.known)
     totals, parts, keys, tasks = model.totals, model.parts, model.keys, model.tasks
     schema = "row long, n_tokens long, n_known long, base_score double, score double"
-    wide = "key int, part int, pairs binary, train binary, seen binary, block long"
+    wide = "key int, part int, pairs binary, before binary, train binary, seen binary, customers binary, tables binary, block long"
     names = [f.strip().split(" ")[0] for f in wide.split(",")]
 
     def base(count: np.ndarray) -> np.ndarray:
@@ -315,17 +444,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 6, pa.int64()]
         for batch in tx.released(batches):
             for block in tx.blocks(batch, "text"):
                 word, context, at = tokens_of(block.column("text"))
                 ids = block.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
                 owner = np.repeat(np.arange(len(ids)), np.diff(at))
                 part, pair = _pairs(word, context, parts)
+                pair = _joint(pair, words_before(word, at))
                 order = np.lexsort((pair, part))
                 part, pair, owner = part[order], pair[order], owner[order]
                 cut = np.searchsorted(part, np.arange(parts + 1))
-                number = int(tx.signed(np.array([tx.mix(ids.view(np.uint64)).sum()], np.uint64))[0])
+                # blocks that share a number have the same rows in the same places
+                number = int(tx.signed(np.array([tx.mix(ids.view(np.uint64) ^ tx.mix(np.arange(1, len(ids) + 1, dtype=np.uint64))).sum()], np.uint64))[0])
                 sums = np.zeros((4, len(ids)))
                 rest: dict[str, list] = {c: [] for c in names}
                 for p in np.flatnonzero(np.diff(cut)).tolist():
@@ -342,62 +473,66 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         start = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
                         rest["key"].append(int(keys[p]))
                         rest["part"].append(p)
-                        rest["pairs"].append(_six(mine[start]).tobytes())
-                        rest["train"].append(np.diff(np.r_[start, len(mine)]).astype("<u4").tobytes())
+                        rest["pairs"].append(_squeezed(mine[start]))
+                        rest["train"].append(_squeezed(np.diff(np.r_[start, len(mine)]).astype("<u4")))
                         some, local = np.unique(who, return_inverse=True)
-                        rest["seen"].append(len(some).to_bytes(4, "little") + ids[some].astype("<i8").tobytes() + local.astype("<u2" if len(some) < 1 << 16 else "<u4").tobytes())
+                        rest["before"].append(_squeezed(some.astype("<u4")))
+                        rest["seen"].append(_squeezed(local.astype("<u4")))
                 # what is known already goes with the questions, as range -1
                 rest["key"].append(int(keys[number % parts]))
                 rest["part"].append(-1)
                 rest["pairs"].append(_packed_sums(ids, sums))
-                rest["train"].append(None)
-                rest["seen"].append(None)
+                for c in ("before", "train", "seen"):
+                    rest[c].append(None)
                 rest["block"] = [number] * len(rest["key"])
+                rest |= {c: [None] * len(rest["key"]) for c in ("customers", "tables")}
                 yield pa.RecordBatch.from_arrays([pa.array(rest[c], k) for c, k in zip(names, kinds, strict=True)], names=names)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: tuple | None = None
         for batch in tx.released(batches):
-            blocks, packed = [], []
+            blocks, places, packed = [], [], []
             for row in batch.to_pylist():
                 if row["part"] == -1:
                     blocks.append(row["block"])
+                    places.append(None)
                     packed.append(row["pairs"])
                     continue
                 if row["block"] is None:
-                    s = _seating(row)
-                    table = s.pair, np.log10(s.predictive(totals)), s.count[s.word]
+                    table = _answers(row, totals)
                     continue
                 pairs, value, count = table
-                place = np.searchsorted(pairs, _from_six(row["pairs"]))
-                place = np.repeat(place, np.frombuffer(row["train"], "<u4"))
-                n = int.from_bytes(row["seen"][:4], "little")
-                ids = np.frombuffer(row["seen"], "<i8", n, 4)
-                who = np.frombuffer(row["seen"], "<u2" if n < 1 << 16 else "<u4", offset=4 + 8 * n)
+                place = np.searchsorted(pairs, _spread(row["pairs"], "<u8"))
+                place = np.repeat(place, _spread(row["train"], "<u4"))
+                n, who = len(_spread(row["before"], "<u4")), _spread(row["seen"], "<u4")
                 got = count[place]
                 sums = [np.bincount(who, minlength=n), np.bincount(who, got > 0, n), np.bincount(who, base(got), n), np.bincount(who, value[place], n)]
                 blocks.append(row["block"])
-                packed.append(_packed_sums(ids, np.array(sums)))
+                places.append(row["before"])
+                packed.append(np.array(sums, "<f8").tobytes())
             if blocks:
-                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(packed, pa.binary())], names=["part", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(places, pa.binary()), pa.array(packed, pa.binary())], names=["part", "places", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _runs(batches):
-            parted = [np.frombuffer(r["sums"], float).reshape(5, -1) for r in rows]
-            ids, place = np.unique(np.concatenate([p[0].view(np.int64) for p in parted]), return_inverse=True)
-            sums = [np.bincount(place, np.concatenate([p[k] for p in parted]), len(ids)) for k in range(1, 5)]
+            own = [np.frombuffer(r["sums"], float).reshape(5, -1) for r in rows if r["places"] is None]
+            ids, sums = own[0][0].view(np.int64), sum(o[1:] for o in own)
+            for r in rows:
+                if r["places"] is not None:
+                    sums[:, _spread(r["places"], "<u4")] += np.frombuffer(r["sums"], float).reshape(4, -1)
             cols = [ids, np.rint(sums[0]).astype(np.int64), np.rint(sums[1]).astype(np.int64), sums[2], sums[3]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "n_tokens", "n_known", "base_score", "score"])
 
     own = keys[: tasks].tolist()  # the keys repeat after as many ranges as there are tasks
     key_of = F.get(F.array(*[F.lit(int(k)) for k in own]), F.col("part") % len(own))
     none = F.lit(None)
-    first = model.counts.select(key_of.cast("int").alias("key"), "part", "pairs", "train", none.cast("binary").alias("seen"), none.cast("long").alias("block"))
+    seated = "part", "pairs", "before", "train", none.cast("binary").alias("seen"), "customers", "tables"
+    first = model.counts.select(key_of.cast("int").alias("key"), *seated, none.cast("long").alias("block"))
     asked = tx.small_batches(docs).select("row", "text").mapInArrow(send, wide)
     # a range's counts come before its questions
     ranged = first.union(asked).repartition(tasks, "key").sortWithinPartitions("part", F.col("block").isNotNull())
     # a block's answers, one row per range, meet again and are added up per document
-    answers = ranged.mapInArrow(settle, "part long, sums binary").repartition(tasks, "part").sortWithinPartitions("part")
+    answers = ranged.mapInArrow(settle, "part long, places binary, sums binary").repartition(tasks, "part").sortWithinPartitions("part")
     out = answers.mapInArrow(add, schema)
     return out.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
 

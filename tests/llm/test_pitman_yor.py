@@ -120,3 +120,61 @@ def test_scores_do_not_depend_on_partitions(spark, docs_rows, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [i for i, _ in found[0]] == [i for i, _ in found[1]]
     assert [x for _, x in found[0]] == pytest.approx([x for _, x in found[1]], rel=1e-9)
+
+
+def test_words_before_with_one_ending_keep_their_own_successors(spark):
+    ids = [i for i in range(400) if not held(i)][:200]
+    new = [i for i in range(400, 900) if held(i)][:4]
+    rows = [(i, ("rowing boat" if i % 2 else "sewing shirt") + f" u{i}") for i in ids]
+    asked = ["rowing boat", "rowing shirt", "sewing shirt", "sewing boat"]
+    rows += list(zip(new, asked, strict=True))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    score = {r.doc_id: r.score for r in py.score_documents(df).collect()}
+    own, other, own2, other2 = (score[i] for i in new)
+    assert own > other + 1 and own2 > other2 + 1
+
+
+def followers(seed=4):
+    rng = np.random.default_rng(seed)
+    rows = {}
+    for w in range(30):
+        for u in range(12):
+            c = int(rng.zipf(1.6)) % 300
+            if c:
+                rows[((w << 8) | u % 4, u)] = c
+    keys = sorted(rows)
+    return py.Followers(np.array([k[0] for k in keys], np.uint64), np.array([k[1] for k in keys], np.uint32), np.array([rows[k] for k in keys], np.int64), seed)
+
+
+def test_probabilities_after_a_word_sum_to_one():
+    s = followers()
+    for _ in range(4):
+        s.sweep(s.classes.totals(1.0), s.sizes()[1])
+    t, (customers, tables) = s.classes.totals(1.0), s.sizes()
+    assert s.classes.customers.tolist() == np.bincount(s.group, s.tables).tolist()
+    assert (s.tables <= s.customers).all() and (s.tables >= 1).all() and s.tables.sum() < s.customers.sum()
+    present, upper = s.probabilities(t, customers, tables), s.classes.probabilities(t)
+    unknown = (py.CONCENTRATION + t.parent_discount * t.parent_tables) / (t.words + 1) / (py.CONCENTRATION + t.parent_customers)
+    for k in range(len(s.contexts)):
+        mine, z = s.context == k, int(s.contexts[k]) & 255
+        of_class = (py.CONCENTRATION + t.discount * t.tables[z]) / (py.CONCENTRATION + t.customers[z])
+        words = {int(s.classes.word[p]): upper[p] for p in np.flatnonzero(s.classes.context == z)}
+        parent = [words.get(w, of_class * s.classes.upper_share(t)[w]) for w in range(len(s.count))]
+        absent = np.setdiff1d(np.arange(len(s.count)), s.word[mine])
+        mass = (py.CONCENTRATION + t.own_discount * tables[k]) / (py.CONCENTRATION + customers[k])
+        assert present[mine].sum() + mass * (sum(parent[w] for w in absent) + of_class * unknown) == pytest.approx(1)
+
+
+def test_sizes_of_contexts_are_summed_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(py, "RANGE_BYTES", 20)
+    texts = ["a b", "a c d", "a b e f", "a g h i j k", "b a a b"] * 3
+    model = py.Model(spark.createDataFrame([(t, True) for t in texts], "text string, train boolean"))
+    assert model.parts > 3
+    found = {}
+    for row in model.counts.collect():
+        s, (customers, tables) = py._followers(row.asDict()), py._sizes(row.asDict())
+        for k, c, t in zip(s.contexts.tolist(), customers.tolist(), tables.tolist(), strict=True):
+            assert found.setdefault(k, (c, t)) == (c, t)
+    follows = collections.Counter(u for t in texts for u in [None, *t.split()])
+    assert sorted(c for c, _ in found.values()) == sorted(follows.values())
+    assert all(1 <= t <= c for c, t in found.values())
