@@ -130,3 +130,25 @@ def test_dispatch_cells_are_dealt_by_the_number_of_lines(spark, tmp_path, monkey
     assert raw.rdd.getNumPartitions() == 51
     cells = sorted((r.mdl or "", r["Seg-5"] or "", int(r.SumOfQty)) for r in raw.collect())
     assert cells == [("", "SMALL", 12), ("red ", "", 26), ("red ", "SMALL", 12)]
+
+
+def test_registrations_are_dealt_by_the_number_of_lines_where_the_session_has_fewer_tasks(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    save("nation", [(1, "N")], "n_nationkey int, n_name string")
+    save("customer", [(5, 1)], "c_custkey long, c_nationkey int")
+    save("orders", [(i, 5, "5-LOW") for i in range(50)], "o_orderkey long, o_custkey long, o_orderpriority string")
+    save("part", [(0, "Brand#1"), (1, "Brand#2")], "p_partkey long, p_brand string")
+    save("lineitem", [(i, i % 2, 1.0, "1997-02-01") for i in range(50)],
+         "l_orderkey long, l_partkey long, l_quantity double, l_shipdate string")
+    found = []
+    for lines, dealt in ((1, True), (1000, False)):
+        monkeypatch.setattr(tables, "FACT_LINES_PER_TASK", lines)
+        facts = tables.facts(spark, folder)
+        plan = facts._jdf.queryExecution().optimizedPlan().toString()
+        assert ("RepartitionByExpression" in plan and ", 51" in plan) == dealt
+        found.append(sorted(map(tuple, facts.collect())))
+    assert found[0] == found[1] and sum(r[-1] for r in found[0]) == 100
