@@ -62,17 +62,29 @@ def _tasks(lines: DataFrame) -> int:
     return max(lines.count() // LINES_PER_TASK + 1, lines.sparkSession.sparkContext.defaultParallelism)
 
 
+def _more_than_session(spark: SparkSession, tasks: int) -> bool:
+    return tasks > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _fact_tasks(lines: DataFrame) -> int | None:
     """Tasks for the registrations where the session's own number leaves one task more lines than it should hold."""
     tasks = lines.count() // FACT_LINES_PER_TASK + 1
-    return tasks if tasks > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    return tasks if _more_than_session(lines.sparkSession, tasks) else None
+
+
+def _dealt(names: DataFrame, tasks: int | None, key: str) -> DataFrame:
+    """The smaller side of a join with the lines, in ``tasks`` pieces where the session makes fewer.
+
+    The lines follow its pieces, and stay where they are if it is small enough to be sent whole.
+    """
+    return names.repartition(tasks, key) if tasks is not None and _more_than_session(names.sparkSession, tasks) else names
 
 
 def sold_lines(spark: SparkSession, sf_dir: str, day: str, tasks: int | None = None) -> DataFrame:
     """Order lines with buyer and nation, part key and priority, dated by month number.
 
     ``day`` is ``ship`` or ``ordered``.  Orders find their buyer before their
-    lines, in ``tasks`` pieces where that is given.  Only keys are carried:
+    lines, both in ``tasks`` pieces where that is given.  Only keys are carried:
     names join after the aggregation.
     """
     line_columns = ["l_orderkey", "l_partkey", "l_quantity"]
@@ -82,7 +94,7 @@ def sold_lines(spark: SparkSession, sf_dir: str, day: str, tasks: int | None = N
     line = table(spark, sf_dir, "lineitem").select(*line_columns)
     orders = table(spark, sf_dir, "orders").select(*order_columns)
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    bought = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    bought = orders.join(_dealt(customer, tasks, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     if tasks is not None:
         line, bought = line.repartition(tasks, "l_orderkey"), bought.repartition(tasks, "o_orderkey")
     return (
@@ -104,9 +116,10 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     and all labels are made from that small result.
     """
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    tasks = _fact_tasks(table(spark, sf_dir, "lineitem"))
     cells = (
-        sold_lines(spark, sf_dir, "ship", _fact_tasks(table(spark, sf_dir, "lineitem")))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
+        sold_lines(spark, sf_dir, "ship", tasks)
+        .join(_dealt(part, tasks, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy("c_nationkey", "month_number", "p_brand", "o_orderpriority")
         .agg(F.sum("l_quantity").alias("units"))
     )
@@ -142,7 +155,7 @@ def dispatch_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     There are nearly as many cells as lines, so they are summed under numbers
     only: one per kind of part (brand, name and type), stored so that it stays.
-    The cells are dealt to as many tasks as the lines ask for.
+    The cells, and the joins before them, are dealt to as many tasks as the lines ask for.
     """
     labels = F.array(*[F.lit(k) for k in MAKER_MAP])
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int")
@@ -157,12 +170,12 @@ def dispatch_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = ["c_nationkey", "bucket", "month_number", "kind"]
     cells = (
         sold_lines(spark, sf_dir, "ordered", tasks)
-        .join(part_kind, F.col("l_partkey") == F.col("p_partkey"))
+        .join(_dealt(part_kind, tasks, "p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
         .select("c_nationkey", (F.col("o_custkey") % 4).alias("bucket"), "month_number", "kind", "l_quantity")
         .repartition(tasks, *keys)
         .groupBy(*keys)
         .agg(F.sum("l_quantity").cast("bigint").alias("units"))
-        .join(kinds, "kind")
+        .join(_dealt(kinds, tasks, "kind"), "kind")
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
     region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")

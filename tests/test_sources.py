@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +153,40 @@ def test_registrations_are_dealt_by_the_number_of_lines_where_the_session_has_fe
         assert ("RepartitionByExpression" in plan and ", 51" in plan) == dealt
         found.append(sorted(map(tuple, facts.collect())))
     assert found[0] == found[1] and sum(r[-1] for r in found[0]) == 100
+
+
+def test_every_join_of_the_lines_is_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path)
+
+    def save(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+
+    save("nation", [(1, "N", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    save("region", [(0, "R")], "r_regionkey int, r_name string")
+    save("customer", [(5, 1)], "c_custkey long, c_nationkey int")
+    save("orders", [(i, 5, "5-LOW", "1997-01-02") for i in range(50)],
+         "o_orderkey long, o_custkey long, o_orderpriority string, o_orderdate string")
+    save("part", [(0, "Brand#1", "red", "SMALL"), (1, "Brand#2", "red", "SMALL")],
+         "p_partkey long, p_brand string, p_name string, p_type string")
+    save("lineitem", [(i, i % 2, 1.0, "1997-02-01") for i in range(50)],
+         "l_orderkey long, l_partkey long, l_quantity double, l_shipdate string")
+    monkeypatch.setattr(tables, "LINES_PER_TASK", 1)
+    monkeypatch.setattr(tables, "FACT_LINES_PER_TASK", 1)
+    joins = {"l_orderkey", "o_orderkey", "o_custkey", "c_custkey", "l_partkey", "p_partkey"}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for make, more in ((tables.facts, set()), (tables.dispatch_raw, {"kind"})):
+        for limit in ("-1", threshold):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            try:
+                made = make(spark, folder)
+                plan = made._jdf.queryExecution().executedPlan().toString()
+                units = sum(int(r.SumOfQty if more else r["count"]) for r in made.collect())
+            finally:
+                spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+            assert units == (50 if more else 100)
+            found = set(re.findall(r"hashpartitioning\((\w+)#\d+L?, (\d+)\)", plan))
+            if limit == "-1":
+                assert {(k, "51") for k in joins | more} <= found
+            assert not {k for k, n in found if n != "51"} & (joins | more)
+            # Parts that are sent whole leave the lines where they are.
+            assert limit == "-1" or "l_partkey" not in {k for k, _ in found}
